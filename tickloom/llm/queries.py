@@ -3,14 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import sentences
+from tickloom.llm import mixing, packing, percentiles, sentences, tokens
 from tickloom.session import table
 
+#: Quantiles that are reported.
+QUANTILES = [0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    summary = percentiles.summarise(percentiles.trace_lengths(spark, d), ["generator"], "length").filter("generator is not null")
+    both = percentiles.select(summary, ["generator"], [0.5, 0.99])
+    wide = both.groupBy("generator", "n").pivot("q", [0.5, 0.99]).agg(F.max("value"))
+    return wide.filter((F.col("n") >= 100) & (F.col("`0.99`") >= 50 * F.col("`0.5`"))).select(F.col("generator").cast("bigint").alias("generator"))
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles per generator, from runs made per generator and block."""
+    summary = percentiles.summarise(percentiles.trace_lengths(spark, d, "block"), ["generator", "block"], "length", eps=0)
+    return percentiles.select(summary.drop("block"), ["generator"], QUANTILES).withColumn("generator", F.col("generator").cast("bigint"))
+
+
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Exact medians per generator and block, whose runs also make up p4_percentiles."""
+    summary = percentiles.summarise(percentiles.trace_lengths(spark, d, "block"), ["generator", "block"], "length", eps=0)
+    return percentiles.select(summary, ["generator", "block"], [0.5]).withColumn("generator", F.col("generator").cast("bigint")).drop("q")
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(tokens.sizes(table(spark, d, "documents")), table(spark, d, "pack_capacities"))
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each size, what they hold and how full they are."""
+    per = p6_packed(spark, d).groupBy("container", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    sized = per.join(F.broadcast(table(spark, d, "pack_capacities").dropDuplicates()), "container")
+    return sized.groupBy("container").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("n").alias("pieces"), F.sum("t").alias("tokens"),
+        (F.sum("t") / F.sum("capacity_tokens")).alias("filled"), F.max("t").alias("fullest"), F.max("n").alias("most_pieces"),
+    )
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(tokens.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(tokens.sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))[1]
+
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents")).select("doc_id", "end_char")
 
 
-QUERIES = {f.__name__: f for f in (p8_found,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_blocks, p6_packed, p6_usage, p7_mixture, p7_shares, p8_found)}
+
+_LENGTHS = """lengths as (select generator, block, e - b as length from (
+    select id, min(generator) as generator, min(begin_tick) as b, min(end_tick) as e, min(block) as block from trace_transactions where id is not null group by id)
+  where b is not null and e >= b and e <> 9223372036854775807)"""
+
+SQL = {
+    "p4_found": f"""with {_LENGTHS} select cast(generator as bigint) as generator from lengths where generator is not null group by generator
+      having count(*) >= 100 and quantile_disc(length, 0.99) >= 50 * quantile_disc(length, 0.5)""",
+    "p4_percentiles": f"""with {_LENGTHS}, ranked as (select generator, length, row_number() over (partition by generator order by length) as r,
+        count(*) over (partition by generator) as n from lengths),
+      qs as (select unnest([0.25, 0.5, 0.75, 0.9, 0.99]) as q)
+      select cast(generator as bigint) as generator, cast(q as double) as q, n, length as value from ranked, qs
+      where r = greatest(ceil(round(cast(q as double) * n, 6)), 1)""",
+    "p4_blocks": f"""with {_LENGTHS}, ranked as (select generator, block, length, row_number() over (partition by generator, block order by length) as r,
+        count(*) over (partition by generator, block) as n from lengths)
+      select cast(generator as bigint) as generator, block, n, length as value from ranked where r = greatest(ceil(round(0.5 * n, 6)), 1)""",
+}
