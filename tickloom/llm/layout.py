@@ -7,6 +7,7 @@ the page in the order a person reads them, each a list of pieces (first, last +
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from statistics import median
 
 #: Blanks that stand between two columns read as one line.
@@ -26,10 +27,10 @@ _PIECE = re.compile(r"\S(?:.*\S)?")
 
 
 class Line:
-    __slots__ = ("end", "first", "height", "kind", "start", "width", "x", "y")
+    __slots__ = ("end", "height", "kind", "start", "width", "x", "y")
 
-    def __init__(self, start, end, x, y, height, width, first):
-        self.start, self.end, self.x, self.y, self.height, self.width, self.first = start, end, x, y, height, width, first
+    def __init__(self, start, end, x, y, height, width):
+        self.start, self.end, self.x, self.y, self.height, self.width = start, end, x, y, height, width
         self.kind = BODY
 
 
@@ -77,28 +78,32 @@ def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
     """Blocks (kind, lines) in reading order. `boxes` holds (x0, y0, x1, y1) or None per line;
     without as many boxes as lines the text's own order stands and headings are the lines in
     capitals that stand alone."""
-    spans, at = [], 0
-    for s in text.split("\n"):
-        spans.append((at, s))
-        at += len(s) + 1
-    if boxes is not None and len(boxes) != len(spans):
+    rows = text.split("\n")
+    if boxes is not None and len(boxes) != len(rows):
         boxes = None
-    wide = sum(ACROSS in s.strip() for _, s in spans)
-    if wide > ACROSS_SHARE * len(spans):
+    if ACROSS in text and sum(ACROSS in s.strip() for s in rows) > ACROSS_SHARE * len(rows):
+        spans, at = [], 0
+        for s in rows:
+            spans.append((at, s))
+            at += len(s) + 1
         return _read_across(spans, boxes)
-    lines, placed = [], []
-    for k, (start, s) in enumerate(spans):
-        m = _PIECE.search(s)
-        if m is None:
+    lines, placed, after = [], [], 0
+    for k, s in enumerate(rows):
+        start = after
+        after += len(s) + 1
+        t = s.strip()
+        if not t:
             continue
+        if t is not s and s[0].isspace():
+            start += len(s) - len(s.lstrip())
+        n = len(t)
         b = boxes[k] if boxes is not None else None
-        first = s[m.start() : m.end()].split(None, 1)[0]
-        n = m.end() - m.start()
         if b is None:
-            lines.append(Line(start + m.start(), start + m.end(), 0, k * 34, 0, n, len(first)))
+            lines.append(Line(start, start + n, 0, k * 34, 0, n))
+            placed.append(False)
         else:
-            lines.append(Line(start + m.start(), start + m.end(), b[0], b[1], b[3] - b[1], n, len(first)))
-        placed.append(b is not None)
+            lines.append(Line(start, start + n, b[0], b[1], b[3] - b[1], n))
+            placed.append(True)
     if not lines:
         return []
     if not any(placed):
@@ -107,12 +112,7 @@ def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
                 ln.kind = HEADING_BLOCK
         return _blocks([lines])
     columns = _columns([ln.x for ln, p in zip(lines, placed, strict=True) if p])
-    of: list[int | None] = []
-    for ln, p in zip(lines, placed, strict=True):
-        c = None
-        if p:
-            c = max((i for i, x in enumerate(columns) if x <= ln.x + 40), default=0)
-        of.append(c)
+    of: list[int | None] = [max(0, bisect_right(columns, ln.x + 40) - 1) if p else None for ln, p in zip(lines, placed, strict=True)]
     usual = median([ln.height for ln in lines if ln.height])
     for ln, c, p in zip(lines, of, placed, strict=True):
         if p:
@@ -130,6 +130,8 @@ def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
         flows[c].append(ln)
     for flow in flows:
         flow.sort(key=lambda ln: ln.y)
+        if all(placed):
+            continue
         for a, b, c in zip(flow, flow[1:], flow[2:], strict=False):
             if b.height == 0 and a.kind == c.kind and b.kind != a.kind == ADVERT:
                 b.kind = a.kind
@@ -148,8 +150,7 @@ def _read_across(spans: list[tuple[int, str]], boxes: list | None) -> list[tuple
             if m:
                 while len(flows) <= c:
                     flows.append([])
-                first = part[m.start() : m.end()].split(None, 1)[0]
-                ln = Line(start + at + m.start(), start + at + m.end(), 0, k, 0, m.end() - m.start(), len(first))
+                ln = Line(start + at + m.start(), start + at + m.end(), 0, k, 0, m.end() - m.start())
                 if _is_upper(part):
                     ln.kind = HEADING_BLOCK
                 elif c == 0 and boxes is not None and boxes[k] is not None and INSET[0] < boxes[k][0] - edge < INSET[1]:

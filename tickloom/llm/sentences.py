@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,9 +43,9 @@ CAPITALS_AFTER_COMMAS = 0.08
 COLLOCATION = 7.88
 
 _SCRIPTS = (
-    ("thai", re.compile("[฀-๿]")), ("deva", re.compile("[ऀ-ॿ]")), ("arab", re.compile("[؀-ۿ]")),
-    ("kana", re.compile("[぀-ヿ]")), ("hani", re.compile("[一-鿿]")), ("cyrl", re.compile("[Ѐ-ӿ]")),
-    ("grek", re.compile("[Ͱ-Ͽἀ-῿]")), ("latn", re.compile("[A-Za-zÀ-ɏ]")),
+    ("thai", re.compile("[฀-๿]+")), ("deva", re.compile("[ऀ-ॿ]+")), ("arab", re.compile("[؀-ۿ]+")),
+    ("kana", re.compile("[぀-ヿ]+")), ("hani", re.compile("[一-鿿]+")), ("cyrl", re.compile("[Ѐ-ӿ]+")),
+    ("grek", re.compile("[Ͱ-Ͽἀ-῿]+")), ("latn", re.compile("[A-Za-zÀ-ɏ]+")),
 )
 _URDU = re.compile("[ٹڈڑےںہگپچ]")
 #: Scripts with capitals.
@@ -54,25 +55,31 @@ SOLID = frozenset(("hani", "kana", "thai"))
 
 _WORD = re.compile(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}\.?(?![^\W\d_])|[^\W\d_]+\.?")
 _UNIT = re.compile(r"[^\s.,!?;:()\"'“”«»‘’।۔،؟|॥\d…]+(?:\.[^\s.,!?;:()\"'“”«»‘’।۔،؟|॥\d…]{1,2})*\.?")
-_FOLLOW = re.compile(r"(\S*[^\W\d_]\.|\S[!?])[ ]+([\"'“”«»„‘’]?)[ ]?(\S)")
+_FOLLOW = re.compile(r"([.!?]) +([\"'“”«»„‘’]?) ?(\S)")
 _REPORT = re.compile(r"[!?,،。！？][\"'”»’」』]\s*([^\s.,!?،۔।。！？]{1,12})")
+_JOINT = re.compile(rf"[{BROKEN}] *\n")
 _COMMA = re.compile(r"[^\W\d_]{2} ?, ([^\W\d_])")
 _PLAIN = re.compile(r"[。！？]\s*([^\s「」『』“”。！？，、…]{2})")
 _THAI_BLANK = re.compile(r"([฀-๿]{4,6}) +(?=[฀-๿])")
 
 
+@lru_cache(maxsize=65536)
+def _script(ch: str) -> str:
+    return next((name for name, pattern in _SCRIPTS if pattern.match(ch)), "")
+
+
 def script_of(text: str) -> str:
-    """The script that most of the letters of a text are in ('' without letters)."""
-    best, most = "", 0
-    for name, pattern in _SCRIPTS:
-        n = len(pattern.findall(text))
-        if name == "hani" and best == "kana":
-            continue
-        if name == "kana" and n * 12 > len(text):
-            return name
-        if n > most:
-            best, most = name, n
-    return best
+    """The script that most of the letters of a text are in ('' without letters); texts with some
+    kana among their ideographs are Japanese."""
+    present = {_script(ch) for ch in set(text)} - {""}
+    if len(present) < 2:
+        return present.pop() if present else ""
+    counts: Counter = Counter()
+    for ch, n in Counter(text).items():
+        counts[_script(ch)] += n
+    if counts["kana"] * 12 > len(text):
+        return "kana"
+    return max((name for name, _ in _SCRIPTS), key=lambda name: counts[name])
 
 
 def group_of(text: str, lang: str | None) -> tuple[str, str]:
@@ -95,12 +102,13 @@ def _kind(ch: str, quote: str) -> str:
     return "U" if ch.isupper() else "l"
 
 
-def count_text(text: str, lang: str | None, counts: Counter) -> None:
-    """Add a text's counts, with keys (group, what, item)."""
+def count_text(text: str, lang: str | None, counts: Counter, raw: dict[str, Counter]) -> None:
+    """Add a text's counts, with keys (group, what, item); its words go to `raw` as they stand."""
     script, group = group_of(text, lang)
     if script == "":
         return
-    joined = re.sub(rf"[{BROKEN}] *\n", "", text)
+    joined = _JOINT.sub("", text)
+    unit = _WORD if script in CASED else _UNIT
     if script in ("hani", "kana"):
         for m in _REPORT.finditer(joined):
             counts[group, "r", m[1][:2]] += 1
@@ -117,19 +125,14 @@ def count_text(text: str, lang: str | None, counts: Counter) -> None:
                 for n in ENDER_LENGTHS:
                     counts[group, "tl", s[-n:]] += 1
         return
-    words = Counter((_WORD if script in CASED else _UNIT).findall(joined))
-    for w, n in words.items():
-        if w[-1] == ".":
-            counts[group, "p", w[:-1]] += n
-        else:
-            counts[group, "w", w] += n
+    raw[group].update(joined.split())
     for m in _FOLLOW.finditer(joined):
-        w = m[1]
-        if w[-1] == ".":
-            found = (_WORD if script in CASED else _UNIT).findall(w)
-            if found and w.endswith(found[-1]):
+        p, mark = m.start(), m[1]
+        if mark == ".":
+            found = unit.findall(joined[max(0, p - 24) : p + 1].split()[-1])
+            if found and found[-1][-1] == ".":
                 counts[group, "f" + _kind(m[3], m[2]), found[-1][:-1]] += 1
-        else:
+        elif p and not joined[p - 1].isspace():
             counts[group, "b" + _kind(m[3], m[2]), ""] += 1
     if script not in CASED:
         for m in _REPORT.finditer(joined):
@@ -141,8 +144,18 @@ def count_text(text: str, lang: str | None, counts: Counter) -> None:
 
 def _count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    raw: dict[str, Counter] = defaultdict(Counter)
 
     def out():
+        for group, seen in raw.items():
+            unit = _WORD if group.split("-")[0] in CASED else _UNIT
+            for token, n in seen.items():
+                for w in unit.findall(token):
+                    if w[-1] == ".":
+                        counts[group, "p", w[:-1]] += n
+                    else:
+                        counts[group, "w", w] += n
+        raw.clear()
         keys = list(counts)
         for i in range(0, len(keys), 50_000):
             some = keys[i : i + 50_000]
@@ -153,8 +166,8 @@ def _count_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
             if text and not text.isspace():
-                count_text(text, lang, counts)
-        if len(counts) > 500_000:
+                count_text(text, lang, counts, raw)
+        if len(counts) + sum(map(len, raw.values())) > 500_000:
             yield from out()
     yield from out()
 
@@ -292,6 +305,7 @@ def _bounded(df: DataFrame) -> list:
 _MARK = re.compile(r"[.!?…。！？．।॥|۔؟·;;　]+")
 _CAPITAL = re.compile(r"(?<=\w)( ?,)[ \n]+(?=[^\W\d_a-zà-ÿа-яα-ω])([^\W\d_]+\.?)")
 _TAIL = re.compile(r"(?:[  ]?[»”“«](?=[\s.,;!?…]|$)|[)\]\"”’'」』])*")
+_ALNUM = re.compile(r"\w")
 _NEXT = re.compile(r"\s*")
 _PAIRS = re.compile(r"[\"'“”„«»‘’「」『』()（）]")
 _NUMBER = re.compile(r"(?:§\s*)?[$#]?[\d.,]*\d$")
@@ -379,17 +393,11 @@ class Splitter:
                 continue  # within or before a number
             after = _TAIL.match(s, q).end()
             # within a quotation or bracket that goes on behind the mark?
-            k = bisect_right(starts, p) - 1
-            inside = False
-            while k >= 0 and k > bisect_right(starts, p) - 4:
-                a, b = spans[k]
-                if a < p and b >= after:
-                    inside = True
-                k -= 1
-            if inside:
+            k = bisect_right(starts, p)
+            if any(b >= after for _, b in spans[max(0, k - 3) : k]):
                 continue
             tail = s[q:after]
-            close = next((i for i in range(after - 1, q - 1, -1) if i in closes), None)
+            close = next((i for i in range(after - 1, q - 1, -1) if i in closes), None) if tail else None
             nxt = _NEXT.match(s, after).end()
             ch = s[nxt] if nxt < n else ""
             if ch and nxt == after and ch in ",،、，:;" or (ch and ch in ",،" and nxt == after):
@@ -423,7 +431,7 @@ class Splitter:
         merged, last = [], 0
         for e in sorted({*found, *extra, len(s.rstrip())}):
             piece = s[last:e]
-            if any(c.isalnum() for c in piece):
+            if _ALNUM.search(piece):
                 merged.append(e)
                 last = e
             elif merged and piece.strip() and not piece.strip().strip("".join((TERMINALS, CLOSERS, EITHER, ")]"))):
@@ -493,10 +501,11 @@ class Splitter:
         return True
 
 
-def _breaks_paragraph(ln: Line, nxt: Line, room: int, solid: bool) -> bool:
+def _breaks_paragraph(text: str, ln: Line, nxt: Line, room: int, solid: bool) -> bool:
     if solid:
         return ln.width < 0.55 * room
-    return ln.width + 1 + nxt.first <= room - 3
+    left = room - 4 - ln.width
+    return left > 0 and len(text[nxt.start : nxt.end].split(None, 1)[0]) <= left
 
 
 def _join(text: str, lines: list[Line], solid: bool, cased: bool, room: int):
@@ -515,7 +524,7 @@ def _join(text: str, lines: list[Line], solid: bool, cased: bool, room: int):
         parts.append(part)
         at += len(part)
         if i < last:
-            short = _breaks_paragraph(ln, lines[i + 1], room, solid)
+            short = _breaks_paragraph(text, ln, lines[i + 1], room, solid)
             if short and cased and not solid:
                 head = text[lines[i + 1].start]
                 short = not head.islower() and part[-1] not in ",;:—"
@@ -578,7 +587,7 @@ def split_page(text: str | None, boxes: list | None, lang: str | None, model: Mo
 
 def nearest_group(text: str, group: str, model: Model) -> str:
     """The Latin group whose most common words the text has most of; the labelled one on a tie."""
-    words = Counter(re.findall(r"[^\W\d_]+", text))
+    words = Counter(text.split())
     best, most = group, sum(words[w] for w in model.common.get(group, ()))
     for g, common in sorted(model.common.items()):
         n = sum(words[w] for w in common)
