@@ -17,6 +17,8 @@ from tickloom.session import Scratch
 
 #: Buckets into which the children of one parent are split for ordering them.
 BUCKETS = 256
+#: Rows that one task finishes (some 40 MB) when peeling or ranking has shrunk to them.
+SMALL = 400_000
 
 
 def clean_edges(df: DataFrame, node: str, parent: str, none: tuple = ()) -> DataFrame:
@@ -35,8 +37,47 @@ def clean_edges(df: DataFrame, node: str, parent: str, none: tuple = ()) -> Data
     )
 
 
-def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
-    """What never peels off: (all nodes on or under cycles, with their cycle's smallest id).
+def _positions(node: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Where each `to` stands in `node`; len(node) where it doesn't."""
+    order = np.argsort(node)
+    at = np.searchsorted(node[order], to)
+    at = np.minimum(at, len(node) - 1)
+    return np.where(node[order[at]] == to, order[at], len(node))
+
+
+def _gather(it: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    parts = [p for p in it if len(p)]
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def _stay(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of (node, jump): the nodes from which jumps never leave."""
+    pdf = _gather(it)
+    if pdf is not None:
+        node = pdf["node"].to_numpy(np.int64)
+        to = np.append(_positions(node, pdf["jump"].to_numpy(np.int64)), len(node))
+        for _ in range(len(node).bit_length() + 1):
+            to = to[to]
+        yield pd.DataFrame({"node": node[to[:-1] < len(node)]})
+
+
+def _cycles(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of (node, parent) that are all on or under cycles: (node, cycle, on_cycle)."""
+    pdf = _gather(it)
+    if pdf is not None:
+        node = pdf["node"].to_numpy(np.int64)
+        to = _positions(node, pdf["parent"].to_numpy(np.int64))
+        low = node.copy()
+        for _ in range(len(node).bit_length() + 1):
+            low, to = np.minimum(low, low[to]), to[to]
+        on = np.zeros(len(node), bool)
+        on[to] = True
+        yield pd.DataFrame({"node": node, "cycle": low[to], "on_cycle": on})
+
+
+def _peel(edges: DataFrame, left: int, scratch: Scratch, small: int) -> DataFrame | None:
+    """What never peels off: (node, cycle, on_cycle) of all nodes on or under cycles, `cycle`
+    being the smallest id on the cycle. None without any.
 
     After step k, `jump` leads from a node 2^k parents up. A node without such a parent has left:
     it is within 2^k of a root. The nodes still jumped to are those left when 2^k layers of
@@ -44,23 +85,22 @@ def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFra
     chain of a million nodes takes 20 steps, and tables shrink as the layers go. When no node
     leaves, all that remain are on or under cycles; `low`, the smallest id on the way, is
     carried on among those until neither it nor the peeled leaves change: then the jumps end on
-    cycles and `low` covers them.
+    cycles and `low` covers them. What is down to `small` rows is finished by one task.
     """
-    jump = scratch.write(edges.select("node", F.col("parent").alias("jump")))
-    left, stage = jump.count(), None
-    while left:
+    jump, stuck = edges.select("node", F.col("parent").alias("jump")), False
+    while left > small and not stuck:
         step = jump.alias("a").join(jump.alias("b"), F.col("a.jump") == F.col("b.node"))
-        longer = scratch.write(step.select("a.node", F.col("b.jump").alias("jump")))
-        n = longer.count()
+        longer, n = scratch.counted(step.select("a.node", F.col("b.jump").alias("jump")))
         scratch.drop(jump)
-        jump = longer
-        if n == left:
-            stage = jump
-            break
-        left = n
-    if stage is None:
-        return None, None
-    trapped = scratch.write(edges.join(stage.select("node"), "node", "left_semi"))
+        jump, stuck, left = longer, n == left, n
+    if not left:
+        return None
+    stay = jump.select("node") if stuck else jump.coalesce(1).mapInPandas(_stay, "node long")
+    trapped, n = scratch.counted(edges.join(stay, "node", "left_semi"))
+    if not n:
+        return None
+    if n <= small:
+        return scratch.write(trapped.coalesce(1).mapInPandas(_cycles, "node long, cycle long, on_cycle boolean"))
     state = scratch.write(trapped.select("node", F.col("parent").alias("jump"), F.least("node", "parent").alias("low")))
     images = -1
     while True:
@@ -73,22 +113,18 @@ def _peel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFra
                 (F.col("b.low") < F.col("a.low")).alias("changed"),
             )
         )
-        targets = scratch.write(longer.groupBy("jump").agg(F.count(F.lit(1)).alias("n")))
-        changed = longer.join(targets.select(F.col("jump").alias("node")), "node", "left_semi").filter("changed").limit(1).count()
-        n = targets.count()
+        targets, n = scratch.counted(longer.select(F.col("jump").alias("node")).distinct())
+        changed = longer.filter("changed").join(targets, "node", "left_semi").limit(1).count()
         scratch.drop(state)
-        state = longer.drop("changed")
-        state._tickloom_path = longer._tickloom_path
+        state = longer
         if n == images and not changed:
             break
         images = n
         scratch.drop(targets)
-    on_cycle = scratch.write(
-        targets.select(F.col("jump").alias("node")).join(state.select("node", "low"), "node").select("node", F.col("low").alias("cycle"))
-    )
+    on_cycle = scratch.write(targets.join(state.select("node", "low"), "node").select("node", F.col("low").alias("cycle")))
     under = state.join(on_cycle.select(F.col("node").alias("jump"), "cycle"), "jump").select("node", "cycle")
-    members = scratch.write(under.join(on_cycle.select("node", F.lit(True).alias("on_cycle")), "node", "left"))
-    return members.withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False))), on_cycle
+    members = under.join(on_cycle.select("node", F.lit(True).alias("on_cycle")), "node", "left")
+    return scratch.write(members.withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False))))
 
 
 def _chains(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,41 +181,67 @@ def _chains(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _CHAINS = "node long, side int, steps long, rise long, last long, has_next boolean, next_node long, next_side int, is_head boolean"
 
 
-def _rank(tour: DataFrame, scratch: Scratch) -> DataFrame:
+_HEADS = "node long, side int, steps long, rise long, last long"
+
+
+def _finish_heads(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rank sublists (node, side, steps, rise, last, has_next, next_node, next_side) whose
+    successors are all there: sums to the end of the tour, and the node that ends it."""
+    pdf = _gather(it)
+    if pdf is None:
+        return
+    node, side = pdf["node"].to_numpy(np.int64), pdf["side"].to_numpy(np.int64)
+    n = len(node)
+    order = np.lexsort((side, node))
+    key = pd.MultiIndex.from_arrays([node[order], side[order]])
+    asked = pd.MultiIndex.from_arrays([pdf["next_node"].to_numpy(np.int64), pdf["next_side"].to_numpy(np.int64)])
+    at = key.get_indexer(asked)
+    to = np.where(pdf["has_next"].to_numpy(bool), order[at], np.arange(n))
+    steps, rise = pdf["steps"].to_numpy(np.int64), pdf["rise"].to_numpy(np.int64)
+    moving = to != np.arange(n)
+    s, r = np.where(moving, steps, 0), np.where(moving, rise, 0)
+    while True:
+        further = to[to]
+        if np.array_equal(further, to):
+            break
+        s, r, to = s + s[to], r + r[to], further
+    yield pd.DataFrame({"node": node, "side": side.astype(np.int32), "steps": s + steps[to], "rise": r + rise[to], "last": pdf["last"].to_numpy(np.int64)[to]})
+
+
+def _rank(tour: DataFrame, scratch: Scratch, small: int) -> DataFrame:
     """(node, side, steps, rise, root): sums from each element to the end of its tour, itself
     included, and the node whose exit ends the tour.
 
     Parallel list ranking over sublists. Partitions by ranges of ids rank what lies inside them
     (ids are given in order of creation, so relatives are mostly neighbours; nothing but speed
     depends on it); only sublist heads whose tour goes on elsewhere are ranked across
-    partitions, by pointer jumping, in as many rounds as the logarithm of the longest chain.
+    partitions, by pointer jumping, in as many rounds as the logarithm of the longest chain, or
+    by one task where there are no more than `small`.
     """
     parts = int(tour.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = scratch.write(tour.repartitionByRange(parts, "node").mapInPandas(_chains, _CHAINS))
-    heads = scratch.write(
-        local.filter("is_head").select("node", "side", "steps", "rise", "last", "has_next", "next_node", "next_side")
-    )
-    done = []
+    heads = local.filter("is_head").select("node", "side", "steps", "rise", "last", "has_next", "next_node", "next_side")
     # heads of tours that end in their own partition and that nobody points to need no round
     waiting = heads.filter("has_next").select(F.col("next_node").alias("node"), F.col("next_side").alias("side"))
-    state = scratch.write(heads.join(waiting, ["node", "side"], "left_semi").unionByName(
-        heads.filter("has_next").join(waiting, ["node", "side"], "left_anti")))
-    scratch.drop(heads)
-    while state.filter("has_next").limit(1).count():
-        a, b = state.filter("has_next").alias("a"), state.alias("b")
-        moved = a.join(b, (F.col("a.next_node") == F.col("b.node")) & (F.col("a.next_side") == F.col("b.side"))).select(
-            "a.node",
-            "a.side",
-            (F.col("a.steps") + F.col("b.steps")).alias("steps"),
-            (F.col("a.rise") + F.col("b.rise")).alias("rise"),
-            "b.last",
-            "b.has_next",
-            "b.next_node",
-            "b.next_side",
-        )
-        longer = scratch.write(moved.unionByName(state.filter("not has_next")))
-        scratch.drop(state)
-        state = longer
+    state, n = scratch.counted(heads.join(waiting.withColumn("asked", F.lit(True)), ["node", "side"], "left").filter("has_next or asked").drop("asked"))
+    if n <= small:
+        state = scratch.write(state.coalesce(1).mapInPandas(_finish_heads, _HEADS))
+    else:
+        while state.filter("has_next").limit(1).count():
+            a, b = state.filter("has_next").alias("a"), state.alias("b")
+            moved = a.join(b, (F.col("a.next_node") == F.col("b.node")) & (F.col("a.next_side") == F.col("b.side"))).select(
+                "a.node",
+                "a.side",
+                (F.col("a.steps") + F.col("b.steps")).alias("steps"),
+                (F.col("a.rise") + F.col("b.rise")).alias("rise"),
+                "b.last",
+                "b.has_next",
+                "b.next_node",
+                "b.next_side",
+            )
+            longer = scratch.write(moved.unionByName(state.filter("not has_next")))
+            scratch.drop(state)
+            state = longer
     done = state.select(
         F.col("node").alias("next_node"), F.col("side").alias("next_side"), F.col("steps").alias("s"), F.col("rise").alias("r"), F.col("last").alias("root")
     )
@@ -301,7 +363,7 @@ class Forest:
         return p.filter("ancestor <> node").select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = ()) -> Forest:
+def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = (), small: int = SMALL) -> Forest:
     """Rank the trees of parent-child rows.
 
     NULL nodes are dropped; NULL parents, those in `none` and those without a row end the path,
@@ -311,10 +373,10 @@ def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = ()) -> Forest
     spark = df.sparkSession
     scratch = Scratch(spark, "forest")
     nodes = scratch.write(clean_edges(df, node, parent, none))
-    edges = scratch.write(
+    edges, n = scratch.counted(
         nodes.filter("parent is not null").join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
     )
-    cyclic, _ = _peel(edges, scratch)
+    cyclic = _peel(edges, n, scratch, small)
     forest = edges if cyclic is None else edges.join(cyclic.select("node"), "node", "left_anti")
     has_children = forest.select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
     flagged = scratch.write(forest.join(has_children, "node", "full_outer").select("node", "parent", F.coalesce("inner", F.lit(False)).alias("inner")))
@@ -340,7 +402,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = ()) -> Forest
         "node", F.lit(1).alias("side"), F.coalesce(up_to, F.lit(0)).alias("next_node"), F.when(F.col("after").isNull(), 1).otherwise(0).alias("next_side"),
         up_to.isNotNull().alias("has_next"), F.lit(1).cast("bigint").alias("steps"), F.lit(-1).cast("bigint").alias("rise"),
     )
-    ranked = _rank(down.unionByName(up), scratch)
+    ranked = _rank(down.unionByName(up), scratch, small)
     # a suffix that opens with the node's entry closes the node and its open ancestors: its sum is -depth
     both = ranked.groupBy("node").agg(
         F.max("root").alias("root"),

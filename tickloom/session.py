@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "tickloom", **conf: str) -> SparkSession:
@@ -53,12 +54,17 @@ class Scratch:
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The table and its number of rows, counted while it is written."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tickloom_path = path  # type: ignore[attr-defined]
-        return out
+        return out, int(seen.get["n"])
 
     def drop(self, *tables: DataFrame | None) -> None:
         sc = self.spark.sparkContext
