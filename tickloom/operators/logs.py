@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +34,10 @@ def render(logs: DataFrame, callsites: DataFrame, args: list[str], style: str =
         raise ValueError(f"unknown format style {style!r}")
     one = format_brace if style == "brace" else format_printf
 
-    @F.pandas_udf("string")
-    def message(fmt: pd.Series, values: pd.DataFrame) -> pd.Series:
-        columns = [values[c].astype(object).where(values[c].notna(), None).tolist() for c in values.columns]
-        rows = zip(*columns, strict=True) if columns else ([] for _ in fmt)
-        plain = lambda v: int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else v
-        return pd.Series([one(f, [plain(v) for v in row]) for f, row in zip(fmt, rows, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def message(fmt: pa.Array, values: pa.Array) -> pa.Array:
+        rows = ([] if v is None else list(v.values()) for v in values.to_pylist())
+        return pa.array([one(f, row) for f, row in zip(fmt.to_pylist(), rows, strict=True)], pa.string())
 
     joined = logs.join(callsites.select("datatype_id", "format"), "datatype_id")
     return joined.withColumn("message", message("format", F.struct(*(F.col(a).alias(f"a{i}") for i, a in enumerate(args)))))
