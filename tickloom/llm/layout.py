@@ -74,6 +74,11 @@ def _is_upper(s: str) -> bool:
     return s.isupper() and sum(ch.isalpha() for ch in s) > 3
 
 
+def _is_title(s: str) -> bool:
+    words = s.split()
+    return len(words) > 1 and s[-1] not in ".!?,;" and all(w[0].isupper() for w in words)
+
+
 def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
     """Blocks (kind, lines) in reading order. `boxes` holds (x0, y0, x1, y1) or None per line;
     without as many boxes as lines the text's own order stands and headings are the lines in
@@ -151,15 +156,39 @@ def _read_across(spans: list[tuple[int, str]], boxes: list | None) -> list[tuple
                 while len(flows) <= c:
                     flows.append([])
                 ln = Line(start + at + m.start(), start + at + m.end(), 0, k, 0, m.end() - m.start())
-                if _is_upper(part):
-                    ln.kind = HEADING_BLOCK
-                elif c == 0 and boxes is not None and boxes[k] is not None and INSET[0] < boxes[k][0] - edge < INSET[1]:
-                    ln.kind = ADVERT
+                inset = c == 0 and boxes is not None and boxes[k] is not None and INSET[0] < boxes[k][0] - edge < INSET[1]
+                ln.kind = ADVERT if inset else HEADING_BLOCK if _is_upper(part) or _is_title(part) else BODY
                 flows[c].append(ln)
             at += len(part) + len(ACROSS)
+    for flow in flows:
+        _adverts_within(flow, spans)
     return _blocks(flows)
 
 
+def _adverts_within(flow: list[Line], spans: list[tuple[int, str]]) -> None:
+    """Capitals amid a sentence are an advert rather than a heading, and so are up to two lines
+    between such lines."""
+    def text(ln):
+        start, row = spans[ln.y]
+        return row[ln.start - start : ln.end - start]
+
+    before = None
+    marked = []
+    for i, ln in enumerate(flow):
+        if ln.kind == HEADING_BLOCK and before is not None and text(before)[-1] not in ".!?…\"'”»“«)" and _is_upper(text(ln)):
+            ln.kind = ADVERT
+        if ln.kind == ADVERT:
+            marked.append(i)
+        elif ln.kind == BODY:
+            before = ln
+        else:
+            before = None
+    for a, b in zip(marked, marked[1:], strict=False):
+        if 1 < b - a <= 3 and all(flow[j].kind != HEADING_BLOCK for j in range(a + 1, b)):
+            for j in range(a + 1, b):
+                flow[j].kind = ADVERT
+
+
 def _blocks(flows: list[list[Line]]) -> list[tuple[int, list[Line]]]:
     """Body lines between two headings are one block, through columns and past adverts."""
     blocks: list[tuple[int, list[Line]]] = []

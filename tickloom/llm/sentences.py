@@ -304,7 +304,7 @@ def _bounded(df: DataFrame) -> list:
 
 _MARK = re.compile(r"[.!?…。！？．।॥|۔؟·;;　]+")
 _CAPITAL = re.compile(r"(?<=\w)( ?,)[ \n]+(?=[^\W\d_a-zà-ÿа-яα-ω])([^\W\d_]+\.?)")
-_TAIL = re.compile(r"(?:[  ]?[»”“«](?=[\s.,;!?…]|$)|[)\]\"”’'」』])*")
+_TAIL = re.compile(r"(?:[ \u00a0]?[»”](?=[\s.,;!?…]|$)|[“«](?=[\s.,;!?…]|$)|[)\]\"”’'」』])*")
 _ALNUM = re.compile(r"\w")
 _NEXT = re.compile(r"\s*")
 _PAIRS = re.compile(r"[\"'“”„«»‘’「」『』()（）]")
@@ -491,7 +491,7 @@ class Splitter:
         if role is None and len(before) == 1 and before.isupper():
             role = "A"
         if glued and ch.isalnum():
-            if role is not None or len(before) < 3 and self.cased:
+            if role is not None or len(before) < 2 and self.cased:
                 return False
             return ch.isupper() if self.cased else len(before) > 2 and self.script != "deva"
         if role == "A":
@@ -505,7 +505,11 @@ def _breaks_paragraph(text: str, ln: Line, nxt: Line, room: int, solid: bool) ->
     if solid:
         return ln.width < 0.55 * room
     left = room - 4 - ln.width
-    return left > 0 and len(text[nxt.start : nxt.end].split(None, 1)[0]) <= left
+    if left <= 0:
+        return False
+    words = text[nxt.start : nxt.end].split(None, 2)
+    first = len(words[0]) + (1 + len(words[1]) if words[0] == "§" and len(words) > 1 else 0)
+    return first <= left
 
 
 def _join(text: str, lines: list[Line], solid: bool, cased: bool, room: int):
