@@ -6,7 +6,7 @@ from tickloom.api import convert, format_of, read_trace
 
 
 def test_formats_by_name(tmp_path):
-    assert [format_of(x) for x in ("a.vcd", "a.VCD.gz", "b.kanata", "b.log.gz", "c.fst", "d.vtr", str(tmp_path))] == ["vcd", "vcd", "kanata", "kanata", "fst", "recording", "saved"]
+    assert [format_of(x) for x in ("a.vcd", "a.VCD.gz", "b.kanata", "b.log.gz", "c.fst", "d.bin", str(tmp_path))] == ["vcd", "vcd", "kanata", "kanata", "fst", "recording", "saved"]
 
 
 def test_waves(spark, tmp_path):

@@ -237,7 +237,7 @@ def test_malformed_recordings_are_errors(tmp_path):
     (tmp_path / "b").write_bytes(data)
     with pytest.raises(C.Corrupt):
         C.declarations(str(tmp_path / "b"))
-    for bad in (b"", b"VTR" * 20, bytes(data[:8]) + b"\x04\x00" + bytes(data[10:])):
+    for bad in (b"", b"XYZ" * 20, bytes(data[:8]) + b"\x04\x00" + bytes(data[10:])):
         (tmp_path / "c").write_bytes(bad)
         with pytest.raises(C.Corrupt):
             C.catalogue(str(tmp_path / "c"))

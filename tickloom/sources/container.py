@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEq
 from tickloom.model import SECTION_KIND, STATES
 
 # Fixed values of the format.
-MAGIC, TRAILER = b"\x89VTR\r\n\x1a\n", b"VTR_END\0"
+MAGIC, TRAILER = bytes.fromhex("89 56 54 52 0d 0a 1a 0a"), bytes.fromhex("56 54 52 5f 45 4e 44 00")
 VERSION = (3, 5)
 META, STRINGS, HIERARCHY, SIGNAL_BLOCK, TX_BLOCK, BLACKOUT, DIRECTORY, RECORD_BLOCK, DATATYPES, VALUES = 1, 2, 3, 4, 5, 6, 7, 9, 10, 11
 FIRST_DECLARED_TYPE = 23
