@@ -107,18 +107,15 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
     docs = scratch.write(sizes.filter("tokens > 0").join(F.broadcast(rows.select("source")), "source").select("doc_id", "source", "lang", "tokens"))
     code = F.split(F.lower(F.trim("lang")), "[-_]")[0]
     names = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
-    per_lang = docs.groupBy("source", F.coalesce(F.try_element_at(names, code), code, F.lit("")).alias("language")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
-    stat: dict[str, dict] = defaultdict(lambda: {"tokens": 0, "docs": 0, "langs": {}})
-    for r in per_lang.collect():  # sources of the small table by languages
-        s = stat[r["source"]]
-        s["tokens"] += r["tokens"]
-        s["docs"] += r["n"]
-        if r["language"]:
-            s["langs"][r["language"]] = r["n"]
+    language = F.coalesce(F.try_element_at(names, code), code, F.lit(""))
+    per_lang = docs.groupBy("source", language.alias("language")).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+    named = F.when(F.col("language") != "", F.struct("n", "language"))
+    per_source = per_lang.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("docs"), F.max(named)["language"].alias("language"))
+    stat = {r["source"]: r for r in per_source.collect()}  # one row per source of the small table
     leaves = []
     for r in wanted:
-        s = stat[r["source"]] if r["source"] in stat else {"tokens": 0, "docs": 0, "langs": {}}
-        language = max(sorted(s["langs"]), key=lambda x: s["langs"][x], default="")
+        s = stat[r["source"]] if r["source"] in stat else {"tokens": 0, "docs": 0, "language": None}
+        language = s["language"] or ""
         leaves.append({"source": r["source"], "share": float(r["target_share"] or 0), "supply": s["tokens"] * int(r["max_repeats"] or 0),
                        "language": language, "domain": DOMAINS.get(language, "other"), "tokens": s["tokens"], "docs": s["docs"]})
     given = budgets(leaves, total)

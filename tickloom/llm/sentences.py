@@ -195,14 +195,24 @@ def statistics(documents: DataFrame) -> DataFrame:
 
 
 def _abbreviation_rows(stats: DataFrame) -> DataFrame:
-    """Per group and word seen with a period: the counts that its scores need."""
+    """Per group the words seen mostly with a period that score as abbreviations (or are single
+    capitals), with what follows them. The score is the log-likelihood ratio of "always with a
+    period" against the group's rate, times the penalties for length and for other uses."""
     total = stats.filter("what in ('p', 'w')").groupBy("grp").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("what") == "p", F.col("n"))).alias("total_p"))
-    return (
+    rows = (
         stats.filter("what in ('p', 'w', 'fU', 'fD', 'fq', 'fl')").groupBy("grp", "item")
         .agg(*(F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("p", "w", "fU", "fD", "fq", "fl")))
         .filter("p >= 3 and p > w")
         .join(total, "grp")
     )
+    k, other = F.col("p"), F.col("w")
+    p0 = F.least(F.col("total_p") / F.col("total"), F.lit(0.999))
+    ll = 2 * (k * F.log(F.lit(0.99) / p0) + other * F.log(F.lit(0.01) / (1 - p0)))
+    bare = F.replace("item", F.lit("."), F.lit(""))
+    letters, periods = F.length(bare), F.length("item") - F.length(bare) + 1
+    score = ll * F.exp(-letters.cast("double")) * periods * F.pow(letters.cast("double"), -other.cast("double"))
+    single = (F.length("item") == 1) & (F.upper("item") == F.col("item")) & (F.lower("item") != F.col("item"))
+    return rows.withColumn("single", single).filter((letters > 0) & (F.col("single") | (score >= ABBREVIATION_SCORE)))
 
 
 class Model:
@@ -236,19 +246,8 @@ def learn(documents: DataFrame) -> Model:
     model = Model()
     base = {r["grp"]: r for r in stats.filter("what like 'b_'").groupBy("grp").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("what").isin("bD", "bq"), F.col("n")).otherwise(0)).alias("k")).collect()}
-    # the score, as far as it bounds the rows, is computed before anything is collected
-    rows = _abbreviation_rows(stats).limit(MODEL_BOUND + 1).collect()
-    if len(rows) > MODEL_BOUND:
-        raise ValueError("too many abbreviation candidates")
-    for r in rows:
-        n, k, big, big_p = r["p"] + r["w"], r["p"], r["total"], r["total_p"]
-        p0 = big_p / big
-        ll = 2 * (k * math.log(0.99) + (n - k) * math.log(0.01) - k * math.log(p0) - (n - k) * math.log(1 - p0))
-        letters, periods = len(r["item"].replace(".", "")), r["item"].count(".") + 1
-        score = ll * math.exp(-letters) * periods * letters ** -r["w"] if letters else 0
-        single = letters == 1 and r["item"].isupper()
-        if score < ABBREVIATION_SCORE and not single:
-            continue
+    for r in _bounded(_abbreviation_rows(stats)):
+        single = r["single"]
         follows = r["fU"] + r["fD"] + r["fq"] + r["fl"]
         like_end = r["fD"] + r["fq"] + (r["fl"] if r["grp"].split("-")[0] in CASED else 0)
         share = like_end / follows if follows else 0
@@ -265,15 +264,18 @@ def learn(documents: DataFrame) -> Model:
     model.plain_commas = {r["grp"] for r in commas.collect() if r["k"] < CAPITALS_AFTER_COMMAS * r["n"]}
     reports = stats.filter("what = 'r' and grp not in ('hani', 'kana')").alias("a").join(
         stats.filter("what = 'w'").select("grp", "item", F.col("n").alias("w")).alias("b"), ["grp", "item"], "left"
-    ).filter("a.n >= 5").select("grp", "item", "n", "w")
+    ).filter("a.n >= 5 and a.n > 0.3 * w").select("grp", "item", "n", "w")
     for r in _bounded(reports):
-        if r["w"] is None or _llr(r["n"], r["w"] + 1, 1, 40) > COLLOCATION and r["n"] > 0.3 * r["w"]:
+        if _llr(r["n"], r["w"] + 1, 1, 40) > COLLOCATION:
             model.reporters[r["grp"]].add(r["item"])
     for group in ("hani", "kana"):
         seen = {w: {} for w in ("r", "rb")}
-        for r in _bounded(stats.filter(f"grp = '{group}' and what in ('r', 'rb') and n >= 5")):
+        mine = stats.filter(f"grp = '{group}' and what in ('r', 'rb')")
+        whole = {r["what"]: r["n"] for r in mine.groupBy("what").agg(F.sum("n").alias("n")).collect()}
+        quoted, plain = (whole.get(w, 0) for w in seen)
+        often = mine.filter((F.col("what") == "r") & (F.col("n") >= F.lit(max(5, 0.05 * quoted)))).select("item")  # 20 at most
+        for r in mine.join(F.broadcast(often), "item", "left_semi").collect():
             seen[r["what"]][r["item"]] = r["n"]
-        quoted, plain = (sum(x.values()) for x in seen.values())
         for w, n in seen["r"].items():
             if n > 0.05 * quoted and n * plain > 10 * seen["rb"].get(w, 1) * quoted and _llr(n, quoted, seen["rb"].get(w, 0), plain) > COLLOCATION:
                 model.reporters[group].add(w)
@@ -281,7 +283,8 @@ def learn(documents: DataFrame) -> Model:
         F.coalesce(F.sum(F.when(F.col("what") == "ts", F.col("n"))), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(F.col("what") == "tl", F.col("n"))), F.lit(0)).alias("l")
     )
     sums = {r["grp"]: (r["s"], r["l"]) for r in ends.groupBy("grp").agg(F.sum("s").alias("s"), F.sum("l").alias("l")).collect()}
-    for r in _bounded(ends.filter("s >= 5 and s > l")):
+    least = min((s for s, _ in sums.values()), default=0) / 1000  # an ender stands before one blank in a thousand at least
+    for r in _bounded(ends.filter("s >= 5 and s > l").filter(F.col("s") >= F.lit(least))):
         s, ln = sums[r["grp"]]
         if r["item"][-1] != "ๆ" and _llr(r["s"], r["s"] + r["l"], s - r["s"], s + ln - r["s"] - r["l"]) > COLLOCATION:
             model.enders[r["grp"]].add(r["item"])
