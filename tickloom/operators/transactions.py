@@ -12,7 +12,7 @@ from tickloom.operators.waveform import check_window
 def in_window(first: int, last: int, begin: str = "begin", end: str = "end") -> Column:
     """Transactions: both ends of record and window count. Rows without ticks are out."""
     check_window(first, last)
-    return F.coalesce((F.col(begin) <= last) & (F.col(end) >= first), F.lit(False))
+    return (F.col(begin) <= last) & (F.col(end) >= first)
 
 
 def in_window_half_open(first: int, last: int, begin: str = "begin", end: str = "end") -> Column:

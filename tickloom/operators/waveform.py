@@ -77,9 +77,8 @@ def previous_values(changes: DataFrame, value: str) -> DataFrame:
 def frames(changes: DataFrame, starts: DataFrame, value: str) -> DataFrame:
     """The value of every signal at the start of each block before any of the block's changes
     (starts: start_time, one row a block, a few rows): the last change with time < start."""
-    signals = changes.select("signal_id").distinct()
-    listed = starts.agg(F.sort_array(F.collect_set("start_time")).alias("s"))
-    probes = signals.join(F.broadcast(listed), F.lit(True)).select("signal_id", F.explode("s").alias("start_time"))
+    listed = starts.agg(F.sort_array(F.collect_set("start_time")).alias("s")).scalar()
+    probes = changes.select("signal_id").distinct().select("signal_id", F.explode(listed).alias("start_time"))
     asked = probes.withColumn("probe_time", F.col("start_time") - 1)
     return value_at(changes, asked, [value]).select("signal_id", "start_time", value)
 

@@ -228,7 +228,7 @@ def active_generators_window(t):
 
 @query(f"with {_TX} select id, generator from tx where b <= {TX_WINDOW[1]} and e >= {TX_WINDOW[0]}")
 def tx_window_inclusive(t):
-    return t.transactions.filter(transactions.in_window(*TX_WINDOW)).select("id", "generator")
+    return t.transactions_where(transactions.in_window(*TX_WINDOW, "begin_tick", "end_tick")).select("id", "generator")
 
 
 @query(f"with {_LOC} select id, kind, b as \"begin\", e as \"end\" from loc where b <= {DAY_WINDOW[1]} and case when e > b then e > {DAY_WINDOW[0]} else b >= {DAY_WINDOW[0]} end")
@@ -244,7 +244,8 @@ def logs_without_owner(t):
 
 @query(f"with {_TX} select id, status, span_kind from tx where generator = 3455 and parent is null and b <= 20000000")
 def tx_by_generator(t):
-    return transactions.query_transactions(t.transactions, None, 20_000_000, generator=3455, parent=0).select("id", "status", "span_kind")
+    some = t.transactions_where("generator = 3455 and begin_tick <= 20000000 and coalesce(parent, 0) = 0")
+    return transactions.query_transactions(some, None, 20_000_000, generator=3455, parent=0).select("id", "status", "span_kind")
 
 
 @query(f"with {_TX}, {_EMB} select t.id, t.generator from tx t where t.id in (select owner from emb where id = 1000709)")
@@ -312,7 +313,7 @@ def lane_autoclose(t):
 
 @query(f"with {_TX} select generator, id from (select generator, id, row_number() over (partition by generator order by id) as r from tx where status = 4) where r <= 3")
 def tracker_bind_oldest(t):
-    return transactions.oldest(t.transactions.filter("status = 4").select("generator", "id"), "generator", 3)
+    return transactions.oldest(t.transactions_where("status = 4").select("generator", "id"), "generator", 3)
 
 
 @query(f"with {_TX}, k as (select generator, max(id) as key from tx where status = 2 group by 1) select t.generator, count(*) as younger from tx t join k using (generator) where t.id > k.key group by 1")
@@ -323,13 +324,13 @@ def tracker_younger(t):
 
 @query(f"with {_TX} select id, attrs[5] as status from tx where attrs[2] = 4800")
 def address_search(t):
-    return t.transactions.filter(F.get("attrs", F.lit(1)) == 4800).select("id", F.get("attrs", F.lit(4)).alias("status"))
+    return t.transactions_where(F.get("attrs", F.lit(1)) == 4800).select("id", F.get("attrs", F.lit(4)).alias("status"))
 
 
 @query(f"with {_TX} select greatest(count(*) - 100, 0) as more from tx where b <= {TX_WINDOW[1]} and e >= {TX_WINDOW[0]}")
 def truncation_count(t):
     """Rows that a listing of 100 leaves out."""
-    return t.transactions.filter(transactions.in_window(*TX_WINDOW)).agg(F.greatest(F.count(F.lit(1)) - 100, F.lit(0)).alias("more"))
+    return t.transactions_where(transactions.in_window(*TX_WINDOW, "begin_tick", "end_tick")).agg(F.greatest(F.count(F.lit(1)) - 100, F.lit(0)).alias("more"))
 
 
 @query(f"""with {_TX} select case status when 0 then 'unset' when 1 then 'ok' when 2 then 'error' when 3 then 'aborted' when 4 then 'open' end as status,
@@ -347,12 +348,12 @@ _ERR = f"{_TX}, {_REL}, err as (select id from tx where status = 2)"
 
 @query(f"with {_ERR} select seq, kind, source, destination from rel where source in (select id from err)")
 def relations_out(t):
-    return relations.touching(t.relations, t.transactions.filter("status = 2"), False).select("seq", "kind", "source", "destination")
+    return relations.touching(t.relations, t.transactions_where("status = 2"), False).select("seq", "kind", "source", "destination")
 
 
 @query(f"with {_ERR} select seq, kind, source, destination from rel where destination in (select id from err)")
 def relations_in(t):
-    return relations.touching(t.relations, t.transactions.filter("status = 2"), True).select("seq", "kind", "source", "destination")
+    return relations.touching(t.relations, t.transactions_where("status = 2"), True).select("seq", "kind", "source", "destination")
 
 
 @query(f"with {_REL} select kind, source, destination, count(*) as n from rel group by 1, 2, 3")

@@ -51,15 +51,21 @@ class Trace:
         """Changes with hours as ticks, so that activity has runs."""
         return self.changes.withColumn("time", F.expr(f"time div {HOUR}"))
 
-    @cached_property
-    def transactions(self) -> DataFrame:
-        rows = self.raw("trace_transactions").filter("id is not null")
+    def transactions_where(self, condition: str | F.Column = "true") -> DataFrame:
+        """Transactions, each once, whose rows meet a condition on the raw columns. Deliveries of a
+        record agree, so the condition holds for all or none of them and is applied before they
+        are made one, where it reaches the scan."""
+        rows = self.raw("trace_transactions").filter("id is not null").filter(condition)
         one = rows.groupBy("id").agg(*(F.min(c).alias(c) for c in ("parent", "generator", "begin_tick", "end_tick", "status", "span_kind", "attrs", "block")))
         return one.select(
             "id", F.expr("nullif(parent, 0)").alias("parent"), F.col("generator").cast("bigint").alias("generator"), F.col("begin_tick").alias("begin"),
             F.col("end_tick").alias("end"), "status", "span_kind", "attrs", "block",
         )
 
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self.transactions_where()
+
     @cached_property
     def embedded(self) -> DataFrame:
         rows = self.raw("embedded_stages").filter("stage_id is not null")

@@ -41,9 +41,10 @@ def frontier(ops: DataFrame, producers: DataFrame) -> DataFrame:
 def released(ops: DataFrame, producers: DataFrame) -> DataFrame:
     """Operations that may be applied: those below the frontier; with one active producer those at
     it too; all when every producer is finished."""
-    at = frontier(ops, producers)
-    cond = F.col("f.frontier").isNull() | (F.col("o.stamp") < F.col("f.frontier")) | ((F.col("f.active") < 2) & (F.col("o.stamp") == F.col("f.frontier")))
-    return ops.alias("o").join(F.broadcast(at).alias("f"), cond).select("o.*")
+    at = frontier(ops, producers).select(F.struct("frontier", "active")).scalar()
+    rows = ops.withColumn("_f", at)
+    cond = F.col("_f.frontier").isNull() | (F.col("stamp") < F.col("_f.frontier")) | ((F.col("_f.active") < 2) & (F.col("stamp") == F.col("_f.frontier")))
+    return rows.filter(cond).drop("_f")
 
 
 def merge_order(ops: DataFrame) -> DataFrame:
