@@ -4,8 +4,8 @@ Tasks sort the values of each group that they hold into runs; a run is reduced t
 weights, so that a rank is wrong by at most `eps` of all values, and runs of different
 partitions, blocks or days combine by standing side by side. Selection then works on the runs:
 each proposes the median of what it still has in range, the weighted median of the proposals
-becomes the pivot, the runs count three ways against it, and the ruled-out range is discarded,
-for all groups and percentiles at once, until every rank is found.
+becomes the pivot, the runs count three ways against it, and the ruled-out range is discarded
+(runs are rewritten whenever at most half of their points are left), for all groups and percentiles at once, until every rank is found.
 """
 
 from __future__ import annotations
@@ -80,61 +80,92 @@ def summarise(values: DataFrame, keys: list[str], value: str, eps: float = 0.001
 
 
 def _scan(mode: str):
-    """Of each (run, percentile): its proposal, its counts against the pivot, or the number or the
-    points themselves that are still in range."""
+    """Of each run, for each percentile asked of its group: the median it proposes and its weight,
+    its weights and numbers of points below and above the pivot, or its points in range."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if not b.num_rows:
                 continue
             keys = b.column_names[: b.column_names.index("points")]
-            cols = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (b["points"], b["weights"])]
-            bound = [(b[c].fill_null(0).to_numpy(), b[c].is_valid().to_numpy(zero_copy_only=False)) for c in ("low", "high")]
-            pivots = b["pivot"].to_numpy() if mode == "count" else None
-            row, one, two = [], [], []
-            offsets, points = cols[0]
-            weights = cols[1][1]
+            offsets, points, weights = b["points"].offsets.to_numpy(), b["points"].values.to_numpy(), b["weights"].values.to_numpy()
+            asks = b["asks"]
+            at, ask = asks.offsets.to_numpy(), asks.values
+            q = ask.field("q").to_numpy()
+            low, high, pivot = (ask.field(c).fill_null(0).to_numpy() for c in ("low", "high", "pivot"))
+            has_low, has_high = (ask.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("low", "high"))
+            row, which, out = [], [], []
             for i in range(b.num_rows):
                 p, w = points[offsets[i] : offsets[i + 1]], weights[offsets[i] : offsets[i + 1]]
-                lo = np.searchsorted(p, bound[0][0][i], "right") if bound[0][1][i] else 0
-                hi = np.searchsorted(p, bound[1][0][i], "left") if bound[1][1][i] else len(p)
-                if lo >= hi:
-                    continue
-                if mode == "propose":
-                    sums = np.cumsum(w[lo:hi])
+                for k in range(at[i], at[i + 1]):
+                    lo = np.searchsorted(p, low[k], "right") if has_low[k] else 0
+                    hi = np.searchsorted(p, high[k], "left") if has_high[k] else len(p)
+                    if lo >= hi:
+                        continue
+                    if mode == "gather":
+                        row += [i] * (hi - lo)
+                        which += [k] * (hi - lo)
+                        out += [(v, n, 0, 0) for v, n in zip(p[lo:hi].tolist(), w[lo:hi].tolist(), strict=True)]
+                        continue
                     row.append(i)
-                    one.append(p[lo + np.searchsorted(sums, (sums[-1] + 1) // 2)])
-                    two.append(sums[-1])
-                elif mode == "size":
-                    row.append(i)
-                    one.append(hi - lo)
-                    two.append(0)
-                elif mode == "count":
-                    a, z = np.searchsorted(p[lo:hi], pivots[i], "left"), np.searchsorted(p[lo:hi], pivots[i], "right")
-                    row.append(i)
-                    one.append(w[lo : lo + a].sum())
-                    two.append(w[lo + a : lo + z].sum())
-                else:
-                    row += [i] * (hi - lo)
-                    one += p[lo:hi].tolist()
-                    two += w[lo:hi].tolist()
-            t = pa.Table.from_batches([b.select([*keys, "q"])]).take(pa.array(row, pa.int64()))
-            t = t.append_column("one", pa.array(one, pa.int64())).append_column("two", pa.array(two, pa.int64()))
+                    which.append(k)
+                    if mode == "propose":
+                        sums = np.cumsum(w[lo:hi])
+                        out.append((p[lo + np.searchsorted(sums, (sums[-1] + 1) // 2)], sums[-1], 0, 0))
+                    else:
+                        x, z = lo + np.searchsorted(p[lo:hi], pivot[k], "left"), lo + np.searchsorted(p[lo:hi], pivot[k], "right")
+                        out.append((w[lo:x].sum(), w[x:z].sum(), x - lo, hi - z))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            t = pa.Table.from_batches([b.select(keys)]).take(pa.array(row, pa.int64()))
+            t = t.append_column("q", pa.array(q[np.array(which, np.int64)], pa.float64()))
+            for name, v in zip(("one", "two", "three", "four"), columns, strict=True):
+                t = t.append_column(name, pa.array(v, pa.int64()))
             yield from t.combine_chunks().to_batches()
 
     return run
 
 
-def _matched(runs: DataFrame, active: DataFrame, keys: list[str], mode: str) -> DataFrame:
-    """Runs beside the percentiles still sought of their group (a broadcast where these few rows
-    per group are below Spark's threshold by the size of their file, else a sort)."""
-    ask = active.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in active.columns if c not in keys))
+def _compact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs without the points that are out of every range asked of their group."""
+    for b in it:
+        if not b.num_rows:
+            continue
+        keys = b.column_names[: b.column_names.index("points")]
+        offsets, points, weights = b["points"].offsets.to_numpy(), b["points"].values.to_numpy(), b["weights"].values.to_numpy()
+        at, ask = b["asks"].offsets.to_numpy(), b["asks"].values
+        low, high = (ask.field(c).fill_null(0).to_numpy() for c in ("low", "high"))
+        has_low, has_high = (ask.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("low", "high"))
+        keep = np.zeros(len(points), bool)
+        for i in range(b.num_rows):
+            p, base = points[offsets[i] : offsets[i + 1]], offsets[i]
+            for k in range(at[i], at[i + 1]):
+                lo = np.searchsorted(p, low[k], "right") if has_low[k] else 0
+                hi = np.searchsorted(p, high[k], "left") if has_high[k] else len(p)
+                keep[base + lo : base + max(lo, hi)] = True
+        left = np.append(0, np.cumsum(keep))[offsets].astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(left - left[0]), pa.array(v[offsets[0] : offsets[-1]][keep[offsets[0] : offsets[-1]]])) for v in (points, weights)]
+        t = pa.Table.from_batches([b.select(keys)]).append_column("points", lists[0]).append_column("weights", lists[1])
+        yield from t.filter(pa.array(np.diff(left) > 0)).combine_chunks().to_batches()
+
+
+def _asked(active: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """The percentiles still sought, one row a group; written, so that the size is known."""
+    pivot = F.col("pivot") if "pivot" in active.columns else F.lit(None).cast("bigint")
+    asks = F.collect_list(F.struct("q", "low", "high", pivot.alias("pivot"))).alias("asks")
+    return scratch.write(active.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(asks))
+
+
+def _matched(runs: DataFrame, ask: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """Runs beside what is asked of their group: a broadcast where that is below Spark's threshold
+    by the size of its file, else a sort."""
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    joined = runs.join(ask, cond).select(*keys, "points", "weights", "q", "low", "high", *(["pivot"] if mode == "count" else []))
+    joined = runs.join(ask, cond).select(*keys, "points", "weights", "asks")
     types = ", ".join(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys)
-    return joined.mapInArrow(_scan(mode), f"{types}, q double, one long, two long")
+    if mode == "compact":
+        return joined.mapInArrow(_compact, f"{types}, points array<long>, weights array<long>")
+    return joined.mapInArrow(_scan(mode), f"{types}, q double, one long, two long, three long, four long")
 
 
 def _at_rank(pairs: Column, rank: Column) -> Column:
@@ -172,35 +203,41 @@ def select(summary: DataFrame, keys: list[str], quantiles: list[float]) -> DataF
             cond = cond & c
         return a.alias("a").join(b.alias("b"), cond, how)
 
+    stored = None
     while True:
-        big = active.filter(f"value is null and left > {FINISH}")
-        if not big.limit(1).count():
+        ranges = active.filter("value is null").groupBy(*keys, "low", "high").agg(F.max("left").alias("left"))
+        seen = ranges.agg(F.count_if(F.col("left") > FINISH).alias("big"), F.coalesce(F.sum("left"), F.lit(0)).alias("left")).first()
+        if not seen["big"]:
             break
-        proposals = _matched(runs, big, keys, "propose").groupBy(*by).agg(
+        if stored is None or seen["left"] < stored / 2:
+            if stored is not None:
+                smaller = scratch.write(_matched(runs, _asked(active.filter("value is null"), keys, scratch), keys, "compact"))
+                scratch.drop(runs)
+                runs = smaller
+            stored = seen["left"]
+        big = active.filter(f"value is null and left > {FINISH}")
+        ask = _asked(big, keys, scratch)
+        proposals = _matched(runs, ask, keys, "propose").groupBy(*by).agg(
             F.sort_array(F.collect_list(F.struct("one", "two"))).alias("pairs"), F.sum("two").alias("weight")
         )
         pivots = proposals.select(*by, _at_rank(F.col("pairs"), F.floor((F.col("weight") - 1) / 2)).alias("pivot"))
         asked = scratch.write(matching(big, pivots).select("a.*", "b.pivot"))
-        counts = _matched(runs, asked, keys, "count").groupBy(*by).agg(F.sum("one").alias("less"), F.sum("two").alias("equal"))
+        against = _asked(asked, keys, scratch)
+        counts = _matched(runs, against, keys, "count").groupBy(*by).agg(
+            F.sum("one").alias("less"), F.sum("two").alias("equal"), F.sum("three").alias("points_less"), F.sum("four").alias("points_more")
+        )
         r, less, equal, pivot = F.col("a.rank"), F.col("b.less"), F.col("b.equal"), F.col("a.pivot")
         below, hit = r < less, (r >= less) & (r < less + equal)
         narrowed = matching(asked, counts).select(
             *(F.col(f"a.{c}").alias(c) for c in by), "a.n", F.when(below, r).otherwise(r - less - equal).alias("rank"),
             F.when(below, F.col("a.low")).otherwise(pivot).alias("low"), F.when(below, pivot).otherwise(F.col("a.high")).alias("high"),
-            F.col("a.left"), F.when(hit, pivot).alias("value"),
-        )
-        narrowed = scratch.write(narrowed)
-        # points left in the new ranges
-        still = _matched(runs, narrowed.filter("value is null"), keys, "size")
-        sizes = still.groupBy(*by).agg(F.sum("one").alias("left"))
-        after = matching(narrowed, sizes, "left").select(
-            *(F.col(f"a.{c}").alias(c) for c in by), "a.n", "a.rank", "a.low", "a.high", F.coalesce(F.col("b.left"), F.lit(0)).cast("bigint").alias("left"), "a.value"
+            F.when(below, F.col("b.points_less")).otherwise(F.col("b.points_more")).alias("left"), F.when(hit, pivot).alias("value"),
         )
-        following = scratch.write(after.unionByName(active.filter(f"value is not null or left <= {FINISH}")))
-        scratch.drop(asked, narrowed, active)
+        following = scratch.write(narrowed.unionByName(active.filter(f"value is not null or left <= {FINISH}")))
+        scratch.drop(ask, asked, against, active)
         active = following
     few = active.filter("value is null")
-    gathered = _matched(runs, few, keys, "gather").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("one", "two"))).alias("pairs"))
+    gathered = _matched(runs, _asked(few, keys, scratch), keys, "gather").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("one", "two"))).alias("pairs"))
     last = matching(few, gathered).select(*(F.col(f"a.{c}").alias(c) for c in by), "a.n", _at_rank(F.col("b.pairs"), F.col("a.rank")).alias("value"))
     return active.filter("value is not null").select(*by, "n", "value").unionByName(last)
 
