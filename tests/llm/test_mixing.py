@@ -79,6 +79,12 @@ def test_too_large_a_total_gives_all_there_is(spark):
     assert {(r["source"], r["tokens"]) for r in shares.collect()} == {("a", 60), ("b", 15)}
 
 
+def test_repeated_documents_count_once_and_those_without_an_id_are_left_out(spark):
+    docs = [(1, "a", "en", 10), (1, "a", "en", 10), (None, "a", "en", 50), (2, "b", "en", 10)]
+    chosen, _ = M.mixture(*frames(spark, docs, [("a", 0.5, 1), ("b", 0.5, 1)]))
+    assert sorted(map(tuple, chosen.collect())) == [(1, "a", 10, 1), (2, "b", 10, 1)]
+
+
 def test_empty_documents_and_targets(spark):
     chosen, shares = M.mixture(*frames(spark, [], TARGETS))
     assert chosen.count() == 0 and shares.count() == 4

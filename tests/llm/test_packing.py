@@ -55,6 +55,12 @@ def test_many_tiny_and_equal_items_keep_the_segment_limit(spark):
     assert dict(check(rows, docs, [("c", 160)]))
 
 
+def test_repeated_documents_count_once_and_those_without_an_id_are_left_out(spark):
+    docs = [(1, 40, 3), (2, 5, 0), (3, 7, None)]
+    rows = K.fill(*frames(spark, docs * 3 + [(None, 9, 0)], [("c", 16)])).collect()
+    assert dict(check(rows, [(1, 40, 3), (2, 5, 0), (3, 7, 0)], [("c", 16)]))
+
+
 def test_empty_tables_and_no_sizes(spark):
     assert K.fill(*frames(spark, [], [("c", 10)])).count() == 0
     assert K.fill(*frames(spark, [(1, 5, 0)], [])).count() == 0

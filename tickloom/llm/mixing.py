@@ -15,6 +15,8 @@ DOMAINS = {"en": "latin", "de": "latin", "fr": "latin", "es": "latin", "ru": "cy
            "hi": "indic", "th": "thai", "zh": "east asian", "ja": "east asian"}
 #: Documents per hash bucket of a source that order them, about.
 BUCKET = 2048
+#: Documents outside a source's prefix that may be added to come nearer to its budget.
+FITTED = 4
 
 
 def budgets(leaves: list[dict], total: float | None = None) -> dict[str, float]:
@@ -95,16 +97,17 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
     chosen: (doc_id, source, tokens, repeats); shares: (source, target_share, budget_tokens,
     tokens, share, documents, most_repeats) of every target. A source gives whole epochs and of
     the next one, in an order seeded by the epoch, the documents whose running sum of tokens
-    comes nearest to its budget. Running sums go by hash buckets of a source and then within the
+    is within its budget, and up to FITTED others, each the one nearest to what is still missing. Running sums go by hash buckets of a source and then within the
     one bucket that the budget ends in, so a source that holds most documents is no single task.
-    Documents of sources without a target, NULL sources and documents without tokens are not
-    used. `targets` is a small table: its rows pass the driver; repeated rows count once.
+    Documents of sources without a target, NULL sources, and documents without tokens or an id
+    are not used; repeated documents count once. `targets` is a small table: its rows pass the driver; repeated rows count once.
     """
     spark = sizes.sparkSession
     scratch = Scratch(spark, "mixture")
     wanted = [r.asDict() for r in targets.dropDuplicates(["source"]).filter("source is not null").collect()]
     rows = spark.createDataFrame([(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in wanted], "source string, target_share double, max_repeats int")
-    docs = scratch.write(sizes.filter("tokens > 0").join(F.broadcast(rows.select("source")), "source").select("doc_id", "source", "lang", "tokens"))
+    once = sizes.filter("tokens > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "lang")).alias("d")).select("doc_id", "d.*")
+    docs = scratch.write(once.join(F.broadcast(rows.select("source")), "source").select("doc_id", "source", "lang", "tokens"))
     code = F.split(F.lower(F.trim("lang")), "[-_]")[0]
     names = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
     language = F.coalesce(F.try_element_at(names, code), code, F.lit(""))
@@ -134,9 +137,25 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
     sums = sums.withColumn("before", before)
     w = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     run = epoch.join(sums, ["source", "bucket"]).withColumn("upto", F.col("before") + F.coalesce(F.sum("tokens").over(w), F.lit(0)))
-    # the document that the budget ends in is taken if at least half of it is within
-    taken = F.col("upto") + F.col("tokens") / 2 <= F.col("rest")
-    chosen = run.withColumn("repeats", F.col("epochs") + taken.cast("int")).filter("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+    run = scratch.write(run.select("doc_id", "source", "tokens", "epochs", "rest", "h", (F.col("upto") + F.col("tokens") <= F.col("rest")).alias("inside")))
+    # what the prefix lacks is made up by the documents outside it that come nearest, one at a time
+    lacks = run.groupBy("source", "rest").agg(F.coalesce(F.sum(F.when(F.col("inside"), F.col("tokens"))), F.lit(0)).alias("has"))
+    gaps = {r["source"]: r["rest"] - r["has"] for r in lacks.collect()}  # sources of the small table
+    more: list[tuple[str, int]] = []
+    for _ in range(FITTED):
+        short = spark.createDataFrame([(s, g) for s, g in gaps.items() if g > 0], "source string, gap long")
+        used = spark.createDataFrame(more, "source string, doc_id long")
+        off = F.abs(F.col("tokens") - F.col("gap"))
+        outside = run.filter("not inside").join(F.broadcast(used), ["source", "doc_id"], "left_anti").join(F.broadcast(short), "source")
+        best = outside.filter(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "h", "doc_id", "tokens")).alias("b")).collect()
+        if not best:
+            break
+        for r in best:
+            more.append((r["source"], r["b"]["doc_id"]))
+            gaps[r["source"]] -= r["b"]["tokens"]
+    fitted = spark.createDataFrame(more, "source string, doc_id long").withColumn("fitted", F.lit(True))
+    chosen = run.join(F.broadcast(fitted), ["source", "doc_id"], "left").withColumn("repeats", F.col("epochs") + (F.col("inside") | F.coalesce("fitted", F.lit(False))).cast("int"))
+    chosen = chosen.filter("repeats > 0").select("doc_id", "source", "tokens", "repeats")
     chosen = scratch.write(chosen)
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("most_repeats"))
     whole = got.agg(F.sum("tokens").alias("t")).scalar()

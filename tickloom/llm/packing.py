@@ -84,7 +84,8 @@ def fill(
     A container holds at most its capacity in tokens, capacity // tokens_per_segment segments (1
     at least) and loss_share of its capacity in loss-bearing tokens (those behind the prompt). A document
     is whole unless it alone exceeds a limit; then its pieces are whole containers but the last.
-    Documents without tokens (NULL or empty texts) are in no container. Each size is a separate
+    Documents without tokens (NULL or empty texts) or an id are in no container; repeated documents
+    count once. Each size is a separate
     task. Groups of `group` items, by a hash, are packed apart; what lies in containers less
     full than REPACK is then packed again in groups that mix the leftovers of all others.
     Container sizes are a handful (a fixed table); documents spread by hash, so nothing is skewed.
@@ -94,7 +95,8 @@ def fill(
     kinds = [(r["container"], int(r["capacity_tokens"])) for r in capacities.dropDuplicates().collect() if r["capacity_tokens"]]
     if not kinds:
         return spark.createDataFrame([], _PACKED).drop("loss_tokens", "capacity")
-    docs = scratch.write(sizes.filter("tokens > 0").select("doc_id", "tokens", "prompt_tokens"))
+    once = sizes.filter("tokens > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("tokens", "prompt_tokens")).alias("d"))
+    docs = scratch.write(once.select("doc_id", "d.tokens", F.coalesce("d.prompt_tokens", F.lit(0)).alias("prompt_tokens")))
     options = F.array(*(
         F.struct(
             F.lit(name).alias("container"), F.lit(cap).cast("bigint").alias("capacity"), F.lit(max(1, cap // tokens_per_segment)).cast("bigint").alias("segments"),

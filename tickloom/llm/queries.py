@@ -54,7 +54,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "end_char")
+    return sentences.sentences(table(spark, d, "documents")).select("doc_id", "end_char").distinct()
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_blocks, p6_packed, p6_usage, p7_mixture, p7_shares, p8_found)}
