@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom import model
 from tickloom.operators import activity, clocks, logs, relations, scopes, transactions, validation, waveform
+from tickloom.session import ship
 from tickloom.sources import container, kanata, vcd
 
 #: Rows that listings give by default.
@@ -235,6 +236,7 @@ EMPTY = {
 
 def read_trace(spark: SparkSession, path: str, **options: str) -> Trace:
     """A trace of any supported kind. FST waveforms need an external decoder and are refused."""
+    ship(spark)
     kind = format_of(path)
     if kind == "fst":
         raise ValueError("FST files are not supported; convert them to VCD")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,24 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "tickloom", **co
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, so that they need not find it on
+    their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tickloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tickloom-"), "tickloom.zip")  # served by the driver
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("tickloom", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._tickloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
