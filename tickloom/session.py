@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,12 +39,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_tickloom_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="tickloom-"), "tickloom.zip")  # served by the driver
+    folder = tempfile.mkdtemp(prefix="tickloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "tickloom.zip")  # served by the driver
     with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
+        for at, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(at, name)
                     z.write(path, os.path.join("tickloom", os.path.relpath(path, root)))
     sc.addPyFile(target)
     sc._tickloom_shipped = True
@@ -58,6 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
