@@ -160,3 +160,33 @@ def test_batches_and_partitions_do_not_matter(spark, model):
     assert one == sorted(map(tuple, S.sentences(df.repartition(9), model).collect()))
     counts = [sorted(map(tuple, S.statistics(df.repartition(n)).collect())) for n in (1, 6)]
     assert counts[0] == counts[1]
+
+
+def test_starters_and_collocations_settle_each_period(spark):
+    rng = random.Random(5)
+    docs = []
+    for i in range(400):
+        sents = []
+        for _ in range(8):
+            words = [rng.choice(WORDS) for _ in range(6)]
+            pick = rng.random()
+            if pick < 0.25:
+                words.insert(3, "Inc. " + rng.choice(NAMES))
+            elif pick < 0.35:
+                words.append("Inc")
+            elif pick < 0.5:
+                words.insert(3, "Dr. Yet")
+            elif pick < 0.65:
+                words.insert(3, f"{rng.randrange(9)}. Tarsk")
+            elif pick < 0.75:
+                words.append(f"{rng.randrange(1800, 1900)}")
+            sents.append(" ".join([rng.choice(["Yet", "Thus", "Soon"]), *words]) + ".")
+        docs.append((i, " ".join(sents), "en"))
+    model = S.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert {"Inc", "Dr"} <= set(model.abbreviations["latn-en"])
+    assert {"yet", "thus", "soon"} == model.starters["latn-en"]
+    assert {("Dr", "yet"), ("#", "tarsk")} == model.collocations["latn-en"]
+    # the same abbreviation or number ends a sentence before a starter, not before another word
+    text = "Thus lorn Inc. Kelm dell galt Inc. Yet the marsh Dr. Yet bray. Soon 3. Tarsk dell 1850. Thus ive."
+    want = ["Thus lorn Inc. Kelm dell galt Inc.", "Yet the marsh Dr. Yet bray.", "Soon 3. Tarsk dell 1850.", "Thus ive."]
+    assert split(text, model) == want

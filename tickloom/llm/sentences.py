@@ -2,7 +2,7 @@
 
 Two passes over whole texts. The first counts, per language, how words stand with and without a
 period and what follows them; log-likelihood ratios turn the counts into abbreviations,
-collocations and sentence enders, without any labels. The second restores the reading order of
+collocations, sentence starters and sentence enders, without any labels. The second restores the reading order of
 each page and classifies every mark by these statistics.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.layout import ADVERT, BODY, Line, read_page
@@ -41,6 +41,10 @@ ABBREVIATION_SCORE = 0.3
 CAPITALS_AFTER_COMMAS = 0.08
 #: Least log-likelihood ratio of a collocation (chi-squared, p < 0.005).
 COLLOCATION = 7.88
+#: Least log-likelihood ratio of a sentence starter (Kiss and Strunk 2006).
+STARTER = 30
+#: Stands for any number before a period in the counts of pairs.
+NUMBER = "#"
 
 _SCRIPTS = (
     ("thai", re.compile("[฀-๿]+")), ("deva", re.compile("[ऀ-ॿ]+")), ("arab", re.compile("[؀-ۿ]+")),
@@ -56,6 +60,7 @@ SOLID = frozenset(("hani", "kana", "thai"))
 _WORD = re.compile(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}\.?(?![^\W\d_])|[^\W\d_]+\.?")
 _UNIT = re.compile(r"[^\s.,!?;:()\"'“”«»‘’।۔،؟|॥\d…]+(?:\.[^\s.,!?;:()\"'“”«»‘’।۔،؟|॥\d…]{1,2})*\.?")
 _FOLLOW = re.compile(r"([.!?]) +([\"'“”«»„‘’]?) ?(\S)")
+_SURE = re.compile(r"[!?؟۔।॥] +(?=[^\s\d])")
 _REPORT = re.compile(r"[!?,،。！？][\"'”»’」』]\s*([^\s.,!?،۔।。！？]{1,12})")
 _JOINT = re.compile(rf"[{BROKEN}] *\n")
 _COMMA = re.compile(r"[^\W\d_]{2} ?, ([^\W\d_])")
@@ -129,11 +134,23 @@ def count_text(text: str, lang: str | None, counts: Counter, raw: dict[str, Coun
     for m in _FOLLOW.finditer(joined):
         p, mark = m.start(), m[1]
         if mark == ".":
-            found = unit.findall(joined[max(0, p - 24) : p + 1].split()[-1])
+            before = joined[max(0, p - 24) : p + 1].split()[-1]
+            found = unit.findall(before)
+            word = None
             if found and found[-1][-1] == ".":
-                counts[group, "f" + _kind(m[3], m[2]), found[-1][:-1]] += 1
+                word = found[-1][:-1]
+                counts[group, "f" + _kind(m[3], m[2]), word] += 1
+            elif before[-2:-1].isdigit():
+                word = NUMBER
+            follower = word and not m[2] and not m[3].islower() and unit.match(joined, m.start(3))
+            if follower:
+                counts[group, "c", f"{word} {follower[0].rstrip('.').lower()}"] += 1
         elif p and not joined[p - 1].isspace():
             counts[group, "b" + _kind(m[3], m[2]), ""] += 1
+    for m in _SURE.finditer(joined):
+        follower = unit.match(joined, m.end())
+        if follower:
+            counts[group, "s", follower[0].rstrip(".").lower()] += 1
     if script not in CASED:
         for m in _REPORT.finditer(joined):
             counts[group, "r", m[1]] += 1
@@ -215,11 +232,63 @@ def _abbreviation_rows(stats: DataFrame) -> DataFrame:
     return rows.withColumn("single", single).filter((letters > 0) & (F.col("single") | (score >= ABBREVIATION_SCORE)))
 
 
+def _llr_column(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """`_llr` of columns."""
+
+    def ll(k, n, p):
+        p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(p) + (n - k) * F.log(1 - p)
+
+    p = (k1 + k2) / (n1 + n2)
+    v = 2 * (ll(k1, n1, k1 / n1) + ll(k2, n2, k2 / n2) - ll(k1, n1, p) - ll(k2, n2, p))
+    return F.when((n1 <= 0) | (n2 <= 0), F.lit(0.0)).when(k1 / n1 >= k2 / n2, v).otherwise(-v)
+
+
+def _followers(stats: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sentence starters (grp, follower) and collocations (grp, word, follower).
+
+    Sure ends are closing marks other than periods, and periods after words that are no
+    `candidates` for abbreviations, no single letters and no numbers. A starter follows sure ends
+    more often than it stands elsewhere, in capitals or not; only those that also follow other
+    periods are asked for. A small letter says by itself that a sentence goes on, so followers
+    that begin with one are not counted and all are in small letters here. A collocation is
+    a follower that stands after an abbreviation or number more often than after sure ends, so that
+    the period between them belongs to the word; after an abbreviation only starters are in doubt.
+    Pairs seen once are none.
+    """
+    pairs = stats.filter("what = 'c'").select("grp", F.substring_index("item", " ", 1).alias("word"), F.substring_index("item", " ", -1).alias("follower"), "n")
+    pairs = pairs.join(candidates.select("grp", F.col("item").alias("word"), F.lit(True).alias("known")), ["grp", "word"], "left")
+    unsure = F.coalesce("known", F.lit(False)) | (F.length("word") == 1)
+    sure = pairs.filter(~unsure).select("grp", "follower", "n").unionByName(stats.filter("what = 's'").select("grp", F.col("item").alias("follower"), "n"))
+    open_ = pairs.filter(unsure).select("grp", "word", "follower", "n")
+    starts = sure.groupBy("grp", "follower").agg(F.sum("n").alias("k"))
+    ends = starts.groupBy("grp").agg(F.sum("k").alias("ends"))
+    words = stats.filter("what in ('p', 'w')").groupBy("grp", F.lower("item").alias("follower")).agg(F.sum("n").alias("all"))
+    total = words.groupBy("grp").agg(F.sum("all").alias("total"))
+    elsewhere, others = F.greatest(F.col("all") - F.col("k"), F.lit(0)), F.greatest(F.col("total") - F.col("ends"), F.lit(1))
+    starters = (
+        starts.join(open_.select("grp", "follower").distinct(), ["grp", "follower"], "left_semi")
+        .join(words, ["grp", "follower"]).join(ends, "grp").join(total, "grp")
+        .filter(_llr_column(F.col("k"), F.col("ends"), F.least(elsewhere, others), others) > STARTER).select("grp", "follower")
+    )
+    by_word = open_.groupBy("grp", "word").agg(F.sum("n").alias("whole"))
+    starters = starters.persist()
+    doubtful = open_.filter("n >= 2").join(starters.withColumn("starts", F.lit(True)), ["grp", "follower"], "left").filter((F.col("word") == NUMBER) | (F.col("starts") & (F.length("word") > 1)))
+    collocations = (
+        doubtful.join(by_word, ["grp", "word"]).join(ends, "grp").join(starts, ["grp", "follower"], "left")
+        .filter(_llr_column(F.col("n"), F.col("whole"), F.coalesce("k", F.lit(0)), F.col("ends")) > COLLOCATION).select("grp", "word", "follower")
+    )
+    return starters, collocations
+
+
 class Model:
     """What classification needs: small sets per group, filtered by their scores."""
 
     def __init__(self):
         self.abbreviations: dict[str, dict[str, str]] = defaultdict(dict)
+        #: Words that open sentences, and (word, follower) whose period ends none.
+        self.starters: dict[str, set] = defaultdict(set)
+        self.collocations: dict[str, set] = defaultdict(set)
         self.reporters: dict[str, set] = defaultdict(set)
         self.enders: dict[str, set] = defaultdict(set)
         self.common: dict[str, set] = defaultdict(set)
@@ -246,7 +315,8 @@ def learn(documents: DataFrame) -> Model:
     model = Model()
     base = {r["grp"]: r for r in stats.filter("what like 'b_'").groupBy("grp").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("what").isin("bD", "bq"), F.col("n")).otherwise(0)).alias("k")).collect()}
-    for r in _bounded(_abbreviation_rows(stats)):
+    candidates = _abbreviation_rows(stats).persist()
+    for r in _bounded(candidates):
         single = r["single"]
         follows = r["fU"] + r["fD"] + r["fq"] + r["fl"]
         like_end = r["fD"] + r["fq"] + (r["fl"] if r["grp"].split("-")[0] in CASED else 0)
@@ -259,6 +329,13 @@ def learn(documents: DataFrame) -> Model:
         if share > 0.45 * max(ends, 0.1) and not single:
             continue  # its periods behave as those of any word at a sentence's end
         model.abbreviations[r["grp"]][r["item"]] = "M" if share > 0.02 and not single else "A"
+    starters, collocations = _followers(stats, candidates)
+    for r in _bounded(starters):
+        model.starters[r["grp"]].add(r["follower"])
+    for r in _bounded(collocations):
+        model.collocations[r["grp"]].add((r["word"], r["follower"]))
+    candidates.unpersist()
+    starters.unpersist()
     commas = stats.filter("what in ('kU', 'kl')").groupBy("grp").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("what") == "kU", F.col("n")).otherwise(0)).alias("k"))
     model.plain_commas = {r["grp"] for r in commas.collect() if r["k"] < CAPITALS_AFTER_COMMAS * r["n"]}
@@ -362,6 +439,8 @@ class Splitter:
         self.script, self.cased, self.solid = script, script in CASED, script in SOLID
         self.abbr = model.abbreviations.get(group, {})
         self.misread = model.misread(group)
+        self.starters = model.starters.get(group, set())
+        self.collocations = model.collocations.get(group, set())
         self.reporters = model.reporters.get(group, set())
         self.enders = model.enders.get(group, set())
         self.commas = self.cased and group in model.plain_commas
@@ -487,6 +566,8 @@ class Splitter:
             opening = number is not None and not s[begin : max(begin, p - 16) + number.start()].strip(" \n\"'“„«‘—»")
             if opening or number is not None and number[0].startswith("§"):
                 return False
+            if number is not None and (NUMBER, self._follower(s, nxt)) in self.collocations:
+                return False
             return not ch.islower() if self.cased else self.script != "latn"
         if mark == "·":
             return True
@@ -497,12 +578,23 @@ class Splitter:
             if role is not None or len(before) < 2 and self.cased:
                 return False
             return ch.isupper() if self.cased else len(before) > 2 and self.script != "deva"
+        if role is not None and len(before) > 1 and ch.isalpha() and not ch.islower() and self._opens(before, s, nxt):
+            return True
         if role == "A":
             return ch == ""
         if role == "M":
             return ch == "" or not ch.isalpha() or ch.islower() and self.cased
         return True
 
+    def _follower(self, s: str, nxt: int) -> str:
+        word = (_WORD if self.cased else _UNIT).match(s, nxt)
+        return word[0].rstrip(".").lower() if word else ""
+
+    def _opens(self, before: str, s: str, nxt: int) -> bool:
+        """Whether the word at `nxt` opens a sentence though an abbreviation stands before it."""
+        word = self._follower(s, nxt)
+        return word in self.starters and (before, word) not in self.collocations
+
 
 def _breaks_paragraph(text: str, ln: Line, nxt: Line, room: int, solid: bool) -> bool:
     if solid:
