@@ -111,3 +111,27 @@ def test_same_result_on_more_partitions(spark):
         out.append(sorted(map(tuple, H.hierarchy(df, "n", "p", small=0).placed().select("node", "root", "depth", F.col("descendants")).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("small", [H.SMALL, 0])
+def test_trees_below_cycles_are_cut_above_the_smallest_id(spark, small):
+    rng = random.Random(7)
+    rows = [(1, None), (2, 1), (50, 52), (51, 50), (52, 51), (70, 70)]
+    for n in range(100, 300):  # a large tree below the cycles, and some nodes of a tree without any
+        rows.append((n, rng.choice([r[0] for r in rows[1:]])))
+    f = H.hierarchy(spark.createDataFrame(rows, "n long, p long"), "n", "p", small=small)
+    free, trapped = brute(rows)
+    want = brute([(n, None if n in trapped and n == trapped[n][0] else p) for n, p in rows])[0]
+    want = {n: v for n, v in want.items() if n in trapped}
+    cut = f.cut()
+    placed = {r["node"]: r for r in cut.placed().collect()}
+    assert {n: (r["root"], r["depth"]) for n, r in placed.items()} == {n: v[:2] for n, v in want.items()}
+    assert {r["node"]: list(r["path"]) for r in cut.paths().collect()} == {n: v[2] for n, v in want.items()}
+    assert {n: r["descendants"] for n, r in placed.items()} == {n: sum(n in v[2][:-1] for v in want.values()) for n in want}
+    assert {tuple(r) for r in cut.closure().collect()} == {(a, n, v[1] - i) for n, v in want.items() for i, a in enumerate(v[2][:-1])}
+    assert {placed[n]["root"] for n in placed} == {50, 70} and len(placed) + len(free) == len(rows)
+
+
+def test_without_cycles_nothing_is_cut(spark):
+    f = H.hierarchy(spark.createDataFrame([(1, None), (2, 1)], "n long, p long"), "n", "p")
+    assert f.cut().placed().count() == 0 and f.cut().closure().count() == 0

@@ -280,8 +280,16 @@ class Forest:
     root whose entry lies between its entry and exit.
     """
 
-    def __init__(self, spark, nodes, roots, inner, leaves, cyclic, scratch):
-        self.spark, self.nodes, self.roots, self.inner, self.leaves, self.cyclic, self.scratch = spark, nodes, roots, inner, leaves, cyclic, scratch
+    def __init__(self, spark, nodes, roots, inner, leaves, cyclic, scratch, small):
+        self.spark, self.nodes, self.roots, self.inner, self.leaves, self.cyclic, self.scratch, self.small = spark, nodes, roots, inner, leaves, cyclic, scratch, small
+
+    def cut(self) -> Forest:
+        """The trees of the nodes on or under cycles, each cycle being cut above its smallest id,
+        which is the root."""
+        if self.cyclic is None:
+            return hierarchy(self.nodes.limit(0), "node", "parent", small=self.small)
+        rows = self.cyclic.join(self.nodes, "node").select("node", F.when(F.col("node") != F.col("cycle"), F.col("parent")).alias("parent"))
+        return hierarchy(rows, "node", "parent", small=self.small)
 
     def placed(self) -> DataFrame:
         """(node, parent, root, depth, entry, exit, descendants) of every node of a tree."""
@@ -368,7 +376,8 @@ def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = (), small: in
 
     NULL nodes are dropped; NULL parents, those in `none` and those without a row end the path,
     their nodes are roots. A node that is its own parent is a cycle of one. Repeated rows count
-    once. Nodes on or under cycles are in `cyclic` only. An empty table gives an empty forest.
+    once. Nodes on or under cycles are in `cyclic`, their trees in `cut()`. An empty table gives an
+    empty forest.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "forest")
@@ -413,7 +422,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = (), small: in
     placed = scratch.write(both.join(inner.select("node", "parent"), "node"))
     rest = nodes.select("node").join(flagged.select("node"), "node", "left_anti")
     lone = rest if cyclic is None else rest.join(cyclic.select("node"), "node", "left_anti")
-    return Forest(spark, nodes, lone, placed, leaves, cyclic, scratch)
+    return Forest(spark, nodes, lone, placed, leaves, cyclic, scratch, small)
 
 
 def found(forest: Forest, tree: str, least: int = 16) -> DataFrame:

@@ -41,22 +41,38 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _each(spark, d, lambda name, forest: hierarchy.found(forest, name, DEEP))
 
 
-def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Every node of a tree with its path, depth, root and number of descendants."""
+def _nodes(name: str, forest: hierarchy.Forest) -> DataFrame:
+    placed = forest.placed().select("node", "descendants")
+    return forest.paths().join(placed, "node").select(
+        F.lit(name).alias("tree"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "descendants",
+        F.array_join(F.col("path").cast("array<string>"), "/").alias("path"),
+    )
+
 
-    def make(name, forest):
-        placed = forest.placed().select("node", "descendants")
-        return forest.paths().join(placed, "node").select(
-            F.lit(name).alias("tree"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "depth", "descendants",
-            F.array_join(F.col("path").cast("array<string>"), "/").alias("path"),
-        )
+def _pairs(name: str, forest: hierarchy.Forest) -> DataFrame:
+    return forest.closure().select(F.lit(name).alias("tree"), "ancestor", F.col("node").alias("descendant"), "distance")
 
-    return _each(spark, d, make)
+
+def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Every node of a tree with its path, depth, root and number of descendants; those on or
+    under cycles are in p2_cut_hierarchy."""
+    return _each(spark, d, _nodes)
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every (ancestor, descendant) with their distance."""
-    return _each(spark, d, lambda name, forest: forest.closure().select(F.lit(name).alias("tree"), "ancestor", F.col("node").alias("descendant"), "distance"))
+    """Every (ancestor, descendant) with their distance; those on or under cycles are in
+    p2_cut_descendants."""
+    return _each(spark, d, _pairs)
+
+
+def p2_cut_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """p2_hierarchy of the nodes on or under cycles, cut above the smallest id of each cycle."""
+    return _each(spark, d, lambda name, forest: _nodes(name, forest.cut()))
+
+
+def p2_cut_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """p2_descendants of the nodes on or under cycles, cut above the smallest id of each cycle."""
+    return _each(spark, d, lambda name, forest: _pairs(name, forest.cut()))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +106,7 @@ def p5_busy(spark: SparkSession, d: str) -> DataFrame:
     return _coverage(spark, d).busy().withColumnsRenamed({"begin": "busy_begin", "end": "busy_end"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_hierarchy, p2_descendants, p3_found, p3_report, p3_drift, p5_found, p5_busy)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p2_found, p2_hierarchy, p2_descendants, p2_cut_hierarchy, p2_cut_descendants, p3_found, p3_report, p3_drift, p5_found, p5_busy)}
 
 _RECORDS = """records as (select id, min(generator) as generator, min(begin_tick) as b, min(end_tick) as e
   from trace_transactions where id is not null group by id)"""
@@ -111,6 +127,12 @@ _TREES = """edges as (
     from free f left join up u on u.tree = f.tree and u.node = f.node
     left join kept k on k.tree = u.tree and k.node = u.anc group by 1, 2)"""
 
+_CUT = f"""{_TREES},
+  cut as (select c.tree, c.node, c.low as root, case when c.node <> c.low then k.parent end as parent
+    from caught c join kept k on k.tree = c.tree and k.node = c.node),
+  climb as (select tree, node, parent as anc, 1 as distance from cut where parent is not null
+    union select u.tree, u.node, k.parent, u.distance + 1 from climb u join cut k on k.tree = u.tree and k.node = u.anc where k.parent is not null)"""
+
 _REFS = """refs as (
     select 'Parent' as kind, 'trace_transactions' as table_name, id as source, parent as target, min(arrived_at) as arrived_at from trace_transactions group by all
     union all select 'RelationSource', 'trace_relations', rel_seq, source, min(arrived_at) from trace_relations group by all
@@ -149,6 +171,14 @@ SQL = {
     "p2_descendants": f"""with recursive {_TREES}
       select u.tree, u.anc as ancestor, u.node as descendant, d.depth - a.depth as distance
       from up u join deep d on d.tree = u.tree and d.node = u.node join deep a on a.tree = u.tree and a.node = u.anc""",
+    "p2_cut_hierarchy": f"""with recursive {_CUT}, walk as (
+        select tree, node, cast(0 as bigint) as depth, cast(node as varchar) as path from cut where parent is null
+        union all select f.tree, f.node, w.depth + 1, w.path || '/' || f.node from walk w join cut f on f.tree = w.tree and f.parent = w.node),
+      below as (select tree, anc as node, count(*) as n from climb group by 1, 2)
+      select c.tree, c.node as node_id, c.root as root_id, w.depth, coalesce(b.n, 0) as descendants, w.path
+      from cut c join walk w on w.tree = c.tree and w.node = c.node left join below b on b.tree = c.tree and b.node = c.node""",
+    "p2_cut_descendants": f"""with recursive {_CUT}
+      select tree, anc as ancestor, node as descendant, cast(distance as bigint) as distance from climb""",
     "p3_found": f"with {_REFS} select kind, source, target from orphans",
     "p3_report": f"""with {_REFS} select kind, table_name, cast(cast(arrived_at as date) as varchar) as day, count(*) as orphan_references,
         count(distinct target) as orphan_targets from orphans group by 1, 2, 3""",
