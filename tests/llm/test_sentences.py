@@ -190,3 +190,25 @@ def test_starters_and_collocations_settle_each_period(spark):
     text = "Thus lorn Inc. Kelm dell galt Inc. Yet the marsh Dr. Yet bray. Soon 3. Tarsk dell 1850. Thus ive."
     want = ["Thus lorn Inc. Kelm dell galt Inc.", "Yet the marsh Dr. Yet bray.", "Soon 3. Tarsk dell 1850.", "Thus ive."]
     assert split(text, model) == want
+
+
+def test_small_latin_languages_keep_their_model_and_wrong_labels_do_not(spark):
+    rng = random.Random(3)
+    shared = ["de", "la", "in"]
+    letters = "bdfgklmnprst"
+    large = [a + "a" + b for a in letters for b in "lnr"] + shared
+    small = [a + "u" + b for a in letters for b in "lnr"] + shared
+    name = ["Otvarr", "Kelm", "Zubrin"]
+
+    def text(words, abbreviation):
+        return " ".join(f"{' '.join(rng.choices(words, k=5)).capitalize()} {abbreviation}. {rng.choice(name)} {' '.join(rng.choices(words, k=5))}." for _ in range(30))
+
+    docs = [(i, text(large, "Dr"), "en") for i in range(300)] + [(500 + i, text(small, "Hr"), "lv") for i in range(4)] + [(600 + i, text(large, "Dr"), "ja") for i in range(4)]
+    model = S.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert set(model.common) == {"latn-en", "latn-lv"} and "Hr" in model.abbreviations["latn-lv"]
+    page = "Bul fur de la Hr. Kelm gun. Lur nul."
+    assert S.nearest_group(page, "latn-lv", model) == "latn-lv" and split(page, model, lang="lv") == ["Bul fur de la Hr. Kelm gun.", "Lur nul."]
+    assert S.nearest_group("Bal far de la Dr. Kelm gan. Lar nal tar.", "latn-ja", model) == "latn-en"
+    # too little is known of this label: one common word doesn't make the text another language's
+    assert S.nearest_group("Oxo ypo ozo de oko epo uko iko oto epi.", "latn-xx", model) == "latn-xx"
+    assert S.nearest_group("Oxo ypo ozo de oko epo uko iko oto epi.", "latn-", model) == "latn-en"

@@ -43,6 +43,11 @@ CAPITALS_AFTER_COMMAS = 0.08
 COLLOCATION = 7.88
 #: Least log-likelihood ratio of a sentence starter (Kiss and Strunk 2006).
 STARTER = 30
+#: Words that must be more frequent in a Latin group than in each larger one, that it counts as a language.
+OWN_WORDS = 15
+#: A labelled group without common words of its own is left for another if the text has that one's
+#: common words at least this often, as a multiple of their share there.
+FOREIGN_SHARE = 0.5
 #: Stands for any number before a period in the counts of pairs.
 NUMBER = "#"
 
@@ -281,6 +286,24 @@ def _followers(stats: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Data
     return starters, collocations
 
 
+def _common_rows(stats: DataFrame) -> DataFrame:
+    """(grp, item, n, size): the most common words of the labelled Latin groups that are languages
+    of their own, whatever their size: OWN_WORDS of them are more frequent there than in each
+    larger group. Texts with a wrong label have the words of larger groups, none more often."""
+    words = stats.filter("what = 'w' and grp like 'latn-_%'").select("grp", "item", "n")
+    sizes = words.groupBy("grp").agg(F.sum("n").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "item"))
+    top = words.filter("length(item) > 1").withColumn("rank", rank).filter("rank <= 60").drop("rank").join(sizes, "grp")
+    larger = sizes.select(F.col("grp").alias("other"), F.col("size").alias("other_size"))
+    against = top.join(larger, (F.col("other_size") > F.col("size")) | (F.col("other_size") == F.col("size")) & (F.col("other") < F.col("grp")))
+    there = words.select(F.col("grp").alias("other"), "item", F.col("n").alias("there"))
+    score = _llr_column(F.col("n"), F.col("size"), F.coalesce("there", F.lit(0)), F.col("other_size"))
+    shared = against.join(there, ["other", "item"], "left").filter(score <= COLLOCATION).select("grp", "item").distinct()
+    largest = sizes.orderBy(F.desc("size"), "grp").limit(1).select("grp")
+    own = top.join(shared, ["grp", "item"], "left_anti").groupBy("grp").count().filter(F.col("count") >= OWN_WORDS).select("grp")
+    return top.join(own.union(largest).distinct(), "grp").select("grp", "item", "n", "size")
+
+
 class Model:
     """What classification needs: small sets per group, filtered by their scores."""
 
@@ -292,6 +315,8 @@ class Model:
         self.reporters: dict[str, set] = defaultdict(set)
         self.enders: dict[str, set] = defaultdict(set)
         self.common: dict[str, set] = defaultdict(set)
+        #: The share of a group's words that its common ones make up.
+        self.share: dict[str, float] = {}
         #: Groups in whose sentences capitals hardly follow commas: one that does opens a sentence.
         self.plain_commas: set[str] = set()
         self._misread: dict[str, dict[str, str]] = {}
@@ -365,12 +390,9 @@ def learn(documents: DataFrame) -> Model:
         s, ln = sums[r["grp"]]
         if r["item"][-1] != "ๆ" and _llr(r["s"], r["s"] + r["l"], s - r["s"], s + ln - r["s"] - r["l"]) > COLLOCATION:
             model.enders[r["grp"]].add(r["item"])
-    top = stats.filter("what = 'w' and grp like 'latn-_%' and length(item) > 1").withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n"), "item")))
-    sizes = {r["grp"]: r["n"] for r in stats.filter("what = 'w' and grp like 'latn-%'").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
-    largest = max(sizes.values(), default=0)
-    for r in top.filter("rank <= 60").collect():
-        if sizes[r["grp"]] >= 0.05 * largest:
-            model.common[r["grp"]].add(r["item"])
+    for r in _common_rows(stats).collect():
+        model.common[r["grp"]].add(r["item"])
+        model.share[r["grp"]] = model.share.get(r["grp"], 0) + r["n"] / r["size"]
     stats.unpersist()
     return model
 
@@ -685,12 +707,14 @@ def split_page(text: str | None, boxes: list | None, lang: str | None, model: Mo
 
 
 def nearest_group(text: str, group: str, model: Model) -> str:
-    """The Latin group whose most common words the text has most of; the labelled one on a tie."""
+    """The Latin group whose most common words the text has most of; the labelled one on a tie. A
+    label without common words of its own stands unless the text reads as another group's do."""
     words = Counter(text.split())
     best, most = group, sum(words[w] for w in model.common.get(group, ()))
+    doubtful = group != "latn-" and group not in model.common
     for g, common in sorted(model.common.items()):
         n = sum(words[w] for w in common)
-        if n > most:
+        if n > most and not (doubtful and n < FOREIGN_SHARE * model.share.get(g, 0) * words.total()):
             best, most = g, n
     return best
 
