@@ -212,3 +212,18 @@ def test_small_latin_languages_keep_their_model_and_wrong_labels_do_not(spark):
     # too little is known of this label: one common word doesn't make the text another language's
     assert S.nearest_group("Oxo ypo ozo de oko epo uko iko oto epi.", "latn-xx", model) == "latn-xx"
     assert S.nearest_group("Oxo ypo ozo de oko epo uko iko oto epi.", "latn-", model) == "latn-en"
+
+
+def test_rare_reporting_words_of_solid_scripts(spark):
+    rng = random.Random(8)
+    han = "城港桥少方新河厂完的山水风云"
+    docs = []
+    for i in range(200):
+        word = lambda: "".join(rng.choices(han, k=6))
+        said = "他说" if i % 10 else "她喊"  # one in ten of them is rare
+        said = "王问" if i % 50 == 3 else said
+        # quotations that follow each other, and sentences that begin with a single character before a comma
+        docs.append((i, f"{word()}。「{word()}。」{said}{word()}。" * 4 + f"{word()}。" * 4 + f"「{word()}。」「{word()}。」{rng.choice(han)}，{word()}。{rng.choice(han)}，{word()}。", "zh"))
+    model = S.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.reporters["hani"] == {"他说", "她喊", "王问"}  # the last after 2 % of the quotations
+    assert split("城港。「河厂。」王问完的。", model, lang="zh") == ["城港。", "「河厂。」王问完的。"]

@@ -69,7 +69,9 @@ _SURE = re.compile(r"[!?؟۔।॥] +(?=[^\s\d])")
 _REPORT = re.compile(r"[!?,،。！？][\"'”»’」』]\s*([^\s.,!?،۔।。！？]{1,12})")
 _JOINT = re.compile(rf"[{BROKEN}] *\n")
 _COMMA = re.compile(r"[^\W\d_]{2} ?, ([^\W\d_])")
-_PLAIN = re.compile(r"[。！？]\s*([^\s「」『』“”。！？，、…]{2})")
+# in scripts without blanks both take the same two characters (one before a mark), so that they compare
+_SOLID_REPORT = re.compile(r"[!?,。！？][\"'”»’」』]\s*([^\s「」『』“”\"'.,!?。！？，、…]{1,2})")
+_PLAIN = re.compile(r"[。！？]\s*([^\s「」『』“”\"'.,!?。！？，、…]{1,2})")
 _THAI_BLANK = re.compile(r"([฀-๿]{4,6}) +(?=[฀-๿])")
 
 
@@ -120,8 +122,8 @@ def count_text(text: str, lang: str | None, counts: Counter, raw: dict[str, Coun
     joined = _JOINT.sub("", text)
     unit = _WORD if script in CASED else _UNIT
     if script in ("hani", "kana"):
-        for m in _REPORT.finditer(joined):
-            counts[group, "r", m[1][:2]] += 1
+        for m in _SOLID_REPORT.finditer(joined):
+            counts[group, "r", m[1]] += 1
         for m in _PLAIN.finditer(joined):
             counts[group, "rb", m[1]] += 1
         return
@@ -286,6 +288,16 @@ def _followers(stats: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Data
     return starters, collocations
 
 
+def _solid_reporters(stats: DataFrame) -> DataFrame:
+    """(grp, item): what follows quotations of Chinese and Japanese more often, by the ratio and
+    ten times, than it opens a sentence."""
+    counts = stats.filter("grp in ('hani', 'kana') and what in ('r', 'rb')").groupBy("grp", "item").agg(
+        *(F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("r", "rb")))
+    whole = counts.groupBy("grp").agg(F.sum("r").alias("quoted"), F.sum("rb").alias("plain"))
+    score = _llr_column(F.col("r"), F.col("quoted"), F.col("rb"), F.col("plain"))
+    return counts.filter("r >= 5").join(whole, "grp").filter("r * plain > 10 * rb * quoted").filter(score > COLLOCATION).select("grp", "item")
+
+
 def _common_rows(stats: DataFrame) -> DataFrame:
     """(grp, item, n, size): the most common words of the labelled Latin groups that are languages
     of their own, whatever their size: OWN_WORDS of them are more frequent there than in each
@@ -370,17 +382,8 @@ def learn(documents: DataFrame) -> Model:
     for r in _bounded(reports):
         if _llr(r["n"], r["w"] + 1, 1, 40) > COLLOCATION:
             model.reporters[r["grp"]].add(r["item"])
-    for group in ("hani", "kana"):
-        seen = {w: {} for w in ("r", "rb")}
-        mine = stats.filter(f"grp = '{group}' and what in ('r', 'rb')")
-        whole = {r["what"]: r["n"] for r in mine.groupBy("what").agg(F.sum("n").alias("n")).collect()}
-        quoted, plain = (whole.get(w, 0) for w in seen)
-        often = mine.filter((F.col("what") == "r") & (F.col("n") >= F.lit(max(5, 0.05 * quoted)))).select("item")  # 20 at most
-        for r in mine.join(F.broadcast(often), "item", "left_semi").collect():
-            seen[r["what"]][r["item"]] = r["n"]
-        for w, n in seen["r"].items():
-            if n > 0.05 * quoted and n * plain > 10 * seen["rb"].get(w, 1) * quoted and _llr(n, quoted, seen["rb"].get(w, 0), plain) > COLLOCATION:
-                model.reporters[group].add(w)
+    for r in _bounded(_solid_reporters(stats)):
+        model.reporters[r["grp"]].add(r["item"])
     ends = stats.filter("what in ('ts', 'tl')").groupBy("grp", "item").agg(
         F.coalesce(F.sum(F.when(F.col("what") == "ts", F.col("n"))), F.lit(0)).alias("s"), F.coalesce(F.sum(F.when(F.col("what") == "tl", F.col("n"))), F.lit(0)).alias("l")
     )
