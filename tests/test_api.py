@@ -13,15 +13,16 @@ def test_waves(spark, tmp_path):
     (tmp_path / "w.vcd").write_text(WAVES)
     t = read_trace(spark, str(tmp_path / "w.vcd"))
     value = lambda path, at: t.value(path, at).first()["value"]
-    assert value("top.clk", 6) == "1" and value("top.alias", 7) == "0" and value("top.bus [3:0]", 4) == "10xz" and value("top.temperature", 99) == "-2.5"
-    assert value("top.bus [3:0]", -1) == "xxxx"
-    assert tuple(t.waveform_range().first()) == (0, 10)
-    assert t.changes("top.pulse", 5, 6).count() == 2 and [r["time"] for r in t.ordered_changes(3).collect()] == [0, 0, 0]
-    assert sorted(r["path"] for r in t.active(7, 9).collect()) == ["top.clk", "top.pulse"]
+    assert value("chip.tick", 9) == "0" and value("chip.unit.tick_copy", 11) == "1" and value("chip.level [5:0]", 7) == "000110" and value("chip.unit.volts", 99) == "-0.125"
+    assert value("chip.level [5:0]", 2) == "xxxxxx"
+    assert tuple(t.waveform_range().first()) == (3, 20)
+    assert t.changes("chip.unit.fired", 9, 11).count() == 2 and [r["time"] for r in t.ordered_changes(3).collect()] == [3, 3, 3]
+    assert sorted(r["path"] for r in t.active(10, 15).collect()) == ["chip.tick", "chip.unit.fired", "chip.unit.volts"]
+    assert t.active(15, 10).count() == 0
     sizes = {r["node_id"]: (r["scopes"], r["variables"], r["signals"]) for r in t.scope_sizes().collect()}
-    assert sizes == {0: (1, 5, 4)}
+    assert sizes == {0: (2, 5, 4), 3: (1, 3, 3)}
     assert {r["what"]: r["n"] for r in t.info().collect()}["changes"] == 10
-    assert t.within("top").count() == 6 and t.within(None).count() == 6 and t.listing(1).count() == 1
+    assert t.within("chip").count() == 7 and t.within("chip.unit").count() == 4 and t.within(None).count() == 7 and t.listing(1).count() == 1
     rows, more = t.listed(t.changes(), 4)
     assert len(rows) == 4 and more == 6
 
@@ -30,12 +31,12 @@ def test_saved_traces_and_indexes(spark, tmp_path):
     (tmp_path / "w.vcd").write_text(WAVES)
     convert(spark, str(tmp_path / "w.vcd"), str(tmp_path / "out"))
     t = read_trace(spark, str(tmp_path / "out"))
-    assert t.value("top.clk", 6).first()["value"] == "1"
+    assert t.value("chip.tick", 9).first()["value"] == "0"
     with pytest.raises(Exception, match="exists"):
         convert(spark, str(tmp_path / "w.vcd"), str(tmp_path / "out"))
     t.index(str(tmp_path / "idx"))
     signals, _ = t.load_index(str(tmp_path / "idx"))
-    assert sorted(r["path"] for r in t.active(7, 9, signals).collect()) == ["top.clk", "top.pulse"]
+    assert sorted(r["path"] for r in t.active(8, 9, signals).collect()) == ["chip.level [5:0]", "chip.tick", "chip.unit.fired"]
     t.fingerprint = "other"
     with pytest.raises(ValueError, match="another"):
         t.load_index(str(tmp_path / "idx"))
@@ -46,10 +47,10 @@ def test_saved_traces_and_indexes(spark, tmp_path):
 def test_pipeline(spark, tmp_path):
     (tmp_path / "p.kanata").write_text(PIPELINE)
     t = read_trace(spark, str(tmp_path / "p.kanata"))
-    probes = spark.createDataFrame([("cpu.cycle", 106), ("cpu.cycle", 99)], "clock string, probe_time long")
-    assert {(r["probe_time"], r["cycle"]) for r in t.cycle_at(probes).collect()} == {(106, 6), (99, None)}
+    probes = spark.createDataFrame([("cpu.cycle", 55), ("cpu.cycle", 39)], "clock string, probe_time long")
+    assert {(r["probe_time"], r["cycle"]) for r in t.cycle_at(probes).collect()} == {(55, 15), (39, None)}
     assert [r["destination"] for r in t.relations(0).collect()] == []
-    assert t.transactions(104, None).count() == 1
+    assert t.transactions(50, None).count() == 1
 
 
 def test_recording(spark, tmp_path):

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import bits
-from tickloom.operators.ordered import as_of, neighbours
-from tickloom.sources.lines import ordered_lines
+from tickloom.session import Scratch
+from tickloom.sources.lines import ordered_lines, raw_lines
 
 # Units as powers of ten, and the kinds of variables and scopes that are accepted.
 UNITS = {"s": 0, "ms": -3, "us": -6, "ns": -9, "ps": -12, "fs": -15}
@@ -18,8 +22,8 @@ VARIABLES = [
     "event", "integer", "parameter", "real", "reg", "supply0", "supply1", "time", "tri", "triand", "trior", "trireg", "tri0", "tri1", "wand", "wire", "wor", "string",
 ]
 SCOPES = ["module", "task", "function", "begin", "fork"]
-#: Order shards of a file for running values: 2^26 bytes.
-BITS = 26
+#: First characters of values whose identifier is a token of its own.
+LONG_VALUES = ["b", "B", "r", "R", "s", "S"]
 
 
 @dataclass
@@ -85,57 +89,188 @@ class Recording:
         self.header, self.nodes, self.signals, self.changes, self.time_steps, self.blackouts = header, nodes, signals, changes, time_steps, blackouts
 
 
-def _entries(body: DataFrame) -> DataFrame:
-    """(file, pos, sub, value, code): values with the identifier that follows or is glued to
-    them; times and commands with a NULL code."""
-    tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
-    none = F.lit(None).cast("string")
-    start = F.struct(F.lit("").alias("held"), F.array().cast("array<struct<v:string,c:string>>").alias("out"))
+_PARSED = "file string, split long, kind int, seq long, time long, value string, code string"
+#: Kinds of parsed rows: entries, the state that a split ends in, and faults.
+ENTRY, END, FAULT = 0, 1, 2
+#: The state of a split that ends within a comment.
+COMMENT = "$comment"
 
-    def step(acc, t):
-        pair = F.struct(acc["held"].alias("v"), t.alias("c"))
-        glued = F.struct(F.substring(t, 1, 1).alias("v"), F.substring(t, 2, 1_000_000).alias("c"))
-        alone = F.struct(t.alias("v"), none.alias("c"))
-        first = F.substring(t, 1, 1)
-        holds = (acc["held"] == "") & first.rlike("[bBrRsS]")
-        item = F.when(acc["held"] != "", pair).when(first.isin("#", "$"), alone).otherwise(glued)
-        return F.struct(F.when(holds, t).otherwise(F.lit("")).alias("held"), F.when(holds, acc["out"]).otherwise(F.array_append(acc["out"], item)).alias("out"))
 
-    parsed = body.withColumn("p", F.aggregate(tokens, start, step))
-    left = F.when(F.col("p.held") != "", F.struct(F.col("p.held").alias("v"), F.lit("").alias("c")))
-    items = F.array_compact(F.array_append(F.col("p.out"), left))
-    return parsed.select("file", "pos", F.posexplode(items).alias("sub", "e")).select("file", "pos", "sub", F.col("e.v").alias("value"), F.col("e.c").alias("code"))
+class _Split:
+    """Parses the lines of one split. A split may begin with a value whose identifier is still to
+    come, or within a comment: `state` is what the split before it left."""
+
+    def __init__(self, file: str, split: int, state: str | None, edge: tuple[int, int]):
+        self.file, self.split, self.edge = file, split, edge
+        self.held, self.comment = (None, True) if state == COMMENT else (state, False)
+        self.lines = self.tokens = 0
+        self.first = self.time = None
+
+    def rows(self, kind: int, seq, time, value: pa.Array, code: pa.Array) -> pa.RecordBatch:
+        n = len(value)
+        fixed = [pa.array([self.file] * n, pa.string()), pa.array(np.full(n, self.split)), pa.array(np.full(n, kind, np.int32))]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(seq, pa.int64()), pa.array(time, pa.int64()), value, code], [c.split()[0] for c in _PARSED.split(", ")])
+
+    def fault(self, why: str) -> pa.RecordBatch:
+        return self.rows(FAULT, [None], [None], pa.array([why]), pa.array([None], pa.string()))
+
+    def end(self) -> pa.RecordBatch:
+        """The state left, with the first time of the split as `seq` and the last one as `time`."""
+        return self.rows(END, [self.first], [self.time], pa.array([COMMENT if self.comment else self.held], pa.string()), pa.array([None], pa.string()))
+
+    def feed(self, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        begin, self.lines = self.lines, self.lines + len(lines)
+        at = self.edge[1] - begin
+        if self.split < self.edge[0] or self.split == self.edge[0] and at >= len(lines):
+            return  # declarations
+        if self.split == self.edge[0] and at >= 0:
+            rest = lines[at].as_py().partition("$enddefinitions")[2]
+            self.comment = True  # up to $end
+            lines = pa.concat_arrays([pa.array([rest], lines.type), lines.slice(at + 1)])
+        tokens = pc.list_flatten(pc.ascii_split_whitespace(lines))
+        tokens = tokens.filter(pc.not_equal(tokens, ""))
+        index = self.tokens + np.arange(len(tokens))
+        self.tokens += len(tokens)
+        words = pc.index_in(tokens, pa.array(["$end", COMMENT])).fill_null(2).to_numpy()
+        if self.comment or (words == 1).any():
+            keep = self._outside(words)
+            tokens, index = tokens.filter(pa.array(keep)), index[keep]
+        if self.held is not None and len(tokens):
+            tokens, index = pa.concat_arrays([pa.array([self.held], tokens.type), tokens]), np.append(self.tokens - len(index) - 1, index)
+        if len(tokens):
+            yield from self._entries(tokens, index)
+
+    def _outside(self, words: np.ndarray) -> np.ndarray:
+        """Tokens outside comments, whose marks go too."""
+        keep, at = np.ones(len(words), bool), 0
+        ends, starts = np.flatnonzero(words == 0), np.flatnonzero(words == 1)
+        while True:
+            if self.comment:
+                k = np.searchsorted(ends, at)
+                close = ends[k] if k < len(ends) else len(words) - 1
+                keep[at : close + 1] = False
+                self.comment, at = k == len(ends), close + 1
+            k = np.searchsorted(starts, at)
+            if self.comment or k == len(starts):
+                return keep
+            self.comment, at = True, starts[k]
+
+    def _entries(self, tokens: pa.Array, index: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(tokens)
+        first = pc.utf8_slice_codeunits(tokens, 0, 1)
+        long = pc.is_in(first, value_set=pa.array(LONG_VALUES)).to_numpy(zero_copy_only=False)
+        place = np.arange(n)
+        # in a run of tokens that look like values, every other one is an identifier
+        run = place - np.maximum.accumulate(np.where(long, -1, place)) - 1
+        value = long & (run % 2 == 0)
+        taken = np.append(False, value[:-1])
+        self.held = tokens[n - 1].as_py() if value[-1] else None
+        mark = pc.is_in(first, value_set=pa.array(["#", "$"])).to_numpy(zero_copy_only=False)
+        free = ~long & ~taken
+        pairs, alone, glued = np.flatnonzero(value[:-1]), np.flatnonzero(free & mark), np.flatnonzero(free & ~mark)
+        ticks = np.flatnonzero(free & pc.equal(first, "#").to_numpy(zero_copy_only=False))
+        times = self._times(tokens.take(pa.array(ticks)))
+        known = [t for t in times if t is not None]
+        if len(known) < len(times):
+            yield self.fault("time ?")
+        back = [b for a, b in zip([self.time, *known], known, strict=False) if a is not None and b < a]
+        if back:
+            yield self.fault(f"time {back[0]}")
+        every = np.concatenate([pairs, alone, glued])
+        k = np.searchsorted(ticks, every, "right")
+        time = pa.array([self.time, *times], pa.int64()).take(pa.array(k))
+        at = lambda array, i: array.take(pa.array(i))
+        values = pa.concat_arrays([at(tokens, pairs), at(tokens, alone), at(first, glued)])
+        codes = pa.concat_arrays([at(tokens, pairs + 1), pa.nulls(len(alone), tokens.type), pc.utf8_slice_codeunits(at(tokens, glued), 1)])
+        if known:
+            self.first = known[0] if self.first is None else self.first
+            self.time = known[-1]
+        yield self.rows(ENTRY, self.split + index[every], time, values, codes)
+
+    @staticmethod
+    def _times(marks: pa.Array) -> list[int | None]:
+        digits = pc.utf8_slice_codeunits(marks, 1)
+        try:
+            return pc.cast(digits, pa.int64()).to_pylist()
+        except pa.ArrowInvalid:
+            return [int(x) if re.fullmatch(r"[0-9]{1,19}", x) and int(x) < 1 << 63 else None for x in digits.to_pylist()]
+
+
+def _parse(edge: tuple[int, int], states: dict[tuple[str, int], str]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Split | None = None
+        for b in it:
+            if not b.num_rows:
+                continue
+            files, splits, lines = b["file"].dictionary_encode(), b["split"].to_numpy(), b["value"]
+            code = files.indices.to_numpy()
+            cuts = np.flatnonzero((code[1:] != code[:-1]) | (splits[1:] != splits[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                key = files.dictionary[code[i]].as_py(), int(splits[i])
+                if now is None or (now.file, now.split) != key:
+                    if now is not None:
+                        yield now.end()
+                    now = _Split(*key, states.get(key), edge)
+                yield from now.feed(lines.slice(i, j - i))
+        if now is not None:
+            yield now.end()
+
+    return run
+
+
+def _parsed(raw: DataFrame, edge: tuple[int, int], scratch: Scratch) -> tuple[DataFrame, list]:
+    """Parsed rows, written, and the ends of the splits (one row each) in order. Splits are parsed on
+    their own; where one leaves a value or comment open, they are parsed again from the states
+    found, until these stay as they are (mostly no split needs that)."""
+    states: dict[tuple[str, int], str] = {}
+    while True:
+        rows = scratch.write(raw.mapInArrow(_parse(edge, states), _PARSED))
+        ends = rows.filter(F.col("kind") == END).orderBy("file", "split").collect()
+        found = {(b["file"], b["split"]): a["value"] for a, b in zip(ends, ends[1:], strict=False) if a["file"] == b["file"] and a["value"] is not None}
+        if found == states:
+            return rows, ends
+        scratch.drop(rows)
+        states = found
 
 
 def read_vcd(spark: SparkSession, path: str, check: bool = True) -> Recording:
     """Read a VCD file (or .vcd.gz). Declarations (as many rows as variables) pass the driver;
-    the body stays distributed: lines are parsed where they are read, and each change gets the
-    last time before it by ordered shards of the file.
+    the body stays distributed: tokens are parsed where they are read, line breaks mean nothing,
+    and what comes before a split's first time has the last time of the splits before it.
 
     With `check`, times that go back, undeclared identifiers, values wider than declared or of
     the wrong kind and unfinished values raise ValueError; otherwise such entries are dropped.
+    `seq` grows with the place in the file.
     """
+    scratch = Scratch(spark, "vcd")
     lines = ordered_lines(spark, path)
-    edge = lines.filter(F.col("value").contains("$enddefinitions")).agg(F.min("pos").alias("p")).first()["p"]
+    edge = lines.filter(F.col("value").contains("$enddefinitions")).agg(F.min(F.struct("pos", "split", "at")).alias("e")).first()["e"]
     if edge is None:
         raise ValueError("no $enddefinitions")
-    head_rows = lines.filter(F.col("pos") <= edge).orderBy("pos").select("value").collect()
-    header = parse_header("\n".join(r["value"] for r in head_rows))
+    head_rows = lines.filter(F.col("pos") <= edge["pos"]).orderBy("pos").select("value").collect()
+    header = parse_header("\n".join(r["value"] for r in head_rows).partition("$enddefinitions")[0])
     nodes = spark.createDataFrame(header.nodes, "node_id long, parent_id long, node_kind string, name string, signal_id long, var_type string")
     table = [(c, *s) for c, s in header.signals.items()]
     signals = spark.createDataFrame(table, "code string, signal_id long, encoding string, width int, is_event boolean")
-    entries = _entries(lines.filter(F.col("pos") > edge)).withColumn("at", F.col("pos") * 1024 + F.least("sub", F.lit(1023)))
-    commands = entries.filter(F.col("value").startswith("$") & F.col("code").isNull())
-    if commands.filter("value = '$comment'").limit(1).count():
-        state = as_of(commands.select("file", "at", "value"), entries, ["file"], "at", [], ["value"], "at", BITS + 10)
-        entries = state.filter(~F.coalesce(F.col("found.value") == "$comment", F.lit(False))).drop("found")
-        commands = entries.filter(F.col("value").startswith("$") & F.col("code").isNull())
-    times = entries.filter(F.col("value").startswith("#")).select("file", "at", F.expr("try_cast(substring(value, 2) as bigint)").alias("time"))
-    timed = as_of(times, entries.filter(~F.col("value").startswith("#")), ["file"], "at", [], ["time"], "at", BITS + 10)
-    timed = timed.withColumn("time", F.coalesce("found.time", F.lit(0))).drop("found")
+    rows, ends = _parsed(raw_lines(spark, path), (edge["split"], edge["at"]), scratch)
+    before, faults, file = [], [], None
+    for e in ends:
+        if e["file"] != file:
+            file, time = e["file"], None
+        before.append((file, e["split"], 0 if time is None else time))
+        if time is not None and e["seq"] is not None and e["seq"] < time:
+            faults.append(f"time {e['seq']}")
+        time = time if e["time"] is None else e["time"]
+    if ends and ends[-1]["value"] is not None:
+        faults.append(f"unfinished {ends[-1]['value'][:40]}")
+    entries = rows.filter(F.col("kind") == ENTRY).select("file", "split", "seq", "time", "value", "code")
+    carried = spark.createDataFrame(before, "file string, split long, before long")
+    late = entries.filter("time is null").join(carried, ["file", "split"]).withColumn("time", F.col("before")).drop("before")
+    timed = entries.filter("time is not null").unionByName(late)
     values = timed.filter("code is not null").join(signals, "code", "left")
     kind = F.lower(F.substring("value", 1, 1))
-    digits = F.when(kind == "b", F.substring("value", 2, 1_000_000)).otherwise(F.col("value"))
+    rest = F.expr("substring(value, 2)")
+    digits = F.when(kind == "b", rest).otherwise(F.col("value"))
     scalar = (F.length("value") == 1) & ~kind.isin("b", "r", "s")
     fits = (
         F.when(F.col("encoding") == "bits", F.when(scalar, F.col("width") == 1).otherwise((kind == "b") & F.length(digits).between(1, F.col("width"))))
@@ -144,21 +279,19 @@ def read_vcd(spark: SparkSession, path: str, check: bool = True) -> Recording:
     legal = F.when(F.col("encoding") == "bits", F.lower(digits).rlike("^[01xz]+$")).otherwise(True)
     good = F.coalesce(fits & legal, F.lit(False))
     if check:
-        back = neighbours(times, ["file"], "at", [], ["time"], BITS + 10).filter(F.col("time").isNull() | (F.col("prev.time") > F.col("time")))
-        faults = values.filter(~good).select(F.concat_ws(" ", F.lit("bad value"), "value", "code").alias("why")).unionByName(back.select(F.concat(F.lit("time "), F.coalesce(F.col("time").cast("string"), F.lit("?"))).alias("why")))
-        opened = commands.agg(F.count_if(F.col("value") == "$end").alias("ends"), F.count(F.lit(1)).alias("n"))
-        faults = faults.unionByName(opened.filter("ends * 2 <> n").select(F.lit("unfinished command").alias("why")))
-        found = faults.limit(1).collect()
-        if found:
-            raise ValueError(found[0]["why"])
-    body = F.substring("value", 2, 1_000_000)
+        bad = values.filter(~good).select(F.concat_ws(" ", F.lit("bad value"), F.substring("value", 1, 40), "code").alias("why"))
+        commands = timed.filter("code is null and value like '$%'").agg(F.count_if(F.col("value") == "$end").alias("ends"), F.count(F.lit(1)).alias("n"))
+        bad = bad.unionByName(rows.filter(F.col("kind") == FAULT).select(F.col("value").alias("why"))).unionByName(commands.filter("ends * 2 <> n").select(F.lit("unfinished command").alias("why")))
+        faults += [r["why"] for r in bad.limit(1).collect()]
+        if faults:
+            raise ValueError(faults[0])
     changes = values.filter(good).select(
-        "signal_id", "time", F.col("at").alias("seq"),
-        F.when(F.col("encoding") == "bits", bits.pack_ascii(digits, F.col("width"))).when(F.col("encoding") == "bytes", body).alias("text"),
+        "signal_id", "time", "seq",
+        F.when(F.col("encoding") == "bits", bits.pack_ascii(digits, F.col("width"))).when(F.col("encoding") == "bytes", rest).alias("text"),
         F.when(F.col("encoding") == "real", F.expr("try_cast(substring(value, 2) as double)")).alias("real"),
     )
-    steps = times.select("time").distinct()
-    blackouts = timed.filter("code is null and value in ('$dumpoff', '$dumpon')").select(F.col("at").alias("seq"), "time", (F.col("value") == "$dumpon").alias("active"))
+    steps = timed.filter("code is null and value like '#%' and time is not null").select("time").distinct()
+    blackouts = timed.filter("code is null and value in ('$dumpoff', '$dumpon')").select("seq", "time", (F.col("value") == "$dumpon").alias("active"))
     return Recording(header, nodes, signals.drop("code"), changes, steps, blackouts)
 
 
