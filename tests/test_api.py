@@ -40,6 +40,10 @@ def test_saved_traces_and_indexes(spark, tmp_path):
     t.fingerprint = "other"
     with pytest.raises(ValueError, match="another"):
         t.load_index(str(tmp_path / "idx"))
+    same_size = WAVES.replace("r0.5 n", "r0.7 n")
+    (tmp_path / "w.vcd").write_text(same_size)
+    with pytest.raises(ValueError, match="another"):
+        read_trace(spark, str(tmp_path / "w.vcd")).load_index(str(tmp_path / "idx"))
     with pytest.raises(ValueError, match="no finished"):
         t.load_index(str(tmp_path / "nothing"))
 
@@ -62,7 +66,8 @@ def test_recording(spark, tmp_path):
     assert {(r["id"], r["kind"]) for r in t.lookup(spark.createDataFrame([(10,), (12,), (40,), (99,)], "id long")).collect()} == {(10, "transaction"), (12, "embedded_stage"), (40, "log")}
     assert t.transactions(scope="top").count() == 2 and t.records(0, 6, kind="stage").count() == 1
     assert tuple(t.time_range().first()) == (0, 107)
-    assert {r["what"]: r["n"] for r in t.validate(True).collect()}["records"] == 4
+    # relations to located records are sound; the child blocks listed hold no children here, and one attribute is named as a field
+    assert {r["what"]: r["n"] for r in t.validate(True).collect()} == {"records": 7, "relations": 1, "missing parents": 0, "missing sources": 0, "missing destinations": 0, "repeated ids": 0, "child blocks": 4, "attribute named as a field": 1}
     assert t.find_generator("top.REQUEST").count() + t.find_generator("top.name").count() == 1
     t.save(str(tmp_path / "saved"))
     assert read_trace(spark, str(tmp_path / "saved")).expand(10).count() == 2

@@ -27,7 +27,7 @@ def by_signal(rows):
     return out
 
 
-@pytest.mark.parametrize("bits_", [2, 40])
+@pytest.mark.parametrize("bits_", [1, 3, 64])
 def test_value_at_many_probes(spark, bits_):
     rows = sample(1)
     probes = [(s, t) for s in (1, 2, 3, 9, None) for t in (None, -1, 0, 6, 7, 200, 1000)] + [(1, 200)]
@@ -49,12 +49,12 @@ def test_default_before_the_first_change(spark):
     assert waveform.value_at(changes(spark, []), p, ["text"]).count() == 2
 
 
-@pytest.mark.parametrize("bits_", [1, 40])
+@pytest.mark.parametrize("bits_", [1, 3, 64])
 def test_neighbours_and_running_sums(spark, bits_):
     rows = sample(3)
     df = changes(spark, rows).drop("prev", "found", "_t")
     near = {r["seq"]: (r["prev"] and r["prev"]["seq"], r["next"] and r["next"]["seq"]) for r in ordered.neighbours(df, ["signal_id"], "time", ["seq"], ["seq"], bits_).collect()}
-    total = {r["seq"]: (r["s"], r["m"]) for r in ordered.running(ordered.running(df, ["signal_id"], "time", ["seq"], F.col("seq"), "s", bits=bits_), ["signal_id"], "time", ["seq"], F.col("seq"), "m", "max", bits_).collect()}
+    total = {r["seq"]: (r["s"], r["m"]) for r in ordered.running(ordered.running(df, ["signal_id"], "time", ["seq"], F.col("seq"), "s", shards=bits_), ["signal_id"], "time", ["seq"], F.col("seq"), "m", "max", bits_).collect()}
     for held in by_signal(rows).values():
         seqs = [r[2] for r in held]
         for i, s in enumerate(seqs):
@@ -62,6 +62,24 @@ def test_neighbours_and_running_sums(spark, bits_):
             assert total[s] == (sum(seqs[:i]), max(seqs[:i]) if i else None)
 
 
+def test_no_key_is_one_task(spark):
+    """One signal with all changes and ticks below 2^20 spreads over all partitions."""
+    n = 60_000
+    df = spark.range(n).select(F.lit(1).cast("bigint").alias("signal_id"), (F.col("id") * 17 % n).alias("time"), F.col("id").alias("seq"), (F.col("id") % 3).cast("string").alias("text"))
+    probes = spark.range(4000).select(F.lit(1).cast("bigint").alias("signal_id"), (F.col("id") * 15).alias("probe_time"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for out in (waveform.hold_intervals(df, ["text"]), waveform.previous_values(df, "text"), waveform.value_at(df, probes, ["text"])):
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 4 and max(sizes) < 0.6 * sum(sizes)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_dedup_keeps_first_and_occurrences(spark):
     rows = [(1, 0, 0, "a"), (1, 0, 1, "a"), (1, 5, 2, None), (1, 6, 3, None), (1, 7, 4, "a"), (2, 1, 5, "x"), (2, 2, 6, "x")]
     df = changes(spark, rows).drop("prev", "found", "_t")
@@ -75,9 +93,10 @@ def test_windows_are_closed_and_never_reversed(spark):
     df = changes(spark, [(1, t, t, "a") for t in (0, 5, 10)])
     assert waveform.changes_window(df, 5, 10).count() == 2
     assert waveform.changes_window(df, None, 5, 1).count() == 2
-    for bad in (lambda: waveform.changes_window(df, 6, 5), lambda: transactions.in_window(6, 5), lambda: activity.active_in(df, "signal_id", "time", "time", 6, 5)):
+    for bad in (lambda: waveform.changes_window(df, 6, 5), lambda: transactions.in_window(6, 5)):
         with pytest.raises(ValueError):
             bad()
+    assert activity.active_in(df, "signal_id", "time", "time", 6, 5).count() == 0 and activity.signals_active(df, 6, 5).count() == 0
 
 
 def test_blackouts(spark):
@@ -85,6 +104,14 @@ def test_blackouts(spark):
     df = changes(spark, [(1, t, t, "a") for t in (4, 5, 9)]).drop("prev", "found", "_t")
     kept = waveform.suppress_dumped(df, marks.filter("seq = 2").select("time", "active"))
     assert sorted(r["time"] for r in kept.collect()) == [4, 5]
+    for cap in (waveform.MARKERS, 0):
+        waveform.MARKERS, was = cap, waveform.MARKERS
+        try:
+            two = spark.createDataFrame([(0, 5, False), (1, 5, True), (2, 8, False), (3, 8, False), (4, 20, True)], "seq long, time long, active boolean")
+            kept = waveform.suppress_dumped(changes(spark, [(1, t, t, "a") for t in (None, 4, 5, 8, 9, 19, 20)]).drop("prev", "found", "_t"), two)
+            assert sorted(r["time"] for r in kept.collect()) == [4, 5, 20]
+        finally:
+            waveform.MARKERS = was
     assert [r["seq"] for r in waveform.blackout_faults(marks).collect()] == [3]
 
 
@@ -185,7 +212,7 @@ def test_scopes(spark):
     )
     c = scopes.closed(nodes)
     assert {(r["node_id"], r["path"], r["depth"]) for r in c.collect()} == {(0, "top", 0), (1, "top.a", 1), (2, "top.a.x", 2), (3, "top.x", 1), (4, "top.", 1), (5, "top.vtr.run", 1), (6, "top.a", 1)}
-    assert [tuple(r) for r in scopes.find(c, "top.a").collect()] == [(1, "top.a")]
+    assert [tuple(r) for r in scopes.find(c, "top.a").collect()] == [tuple(r) for r in scopes.find_path(nodes, "top.a").collect()] == [(1, "top.a")]
     assert scopes.find(c, "top.vtr.run").count() == 0 and scopes.find(c, "top.x", "scope").count() == 0
     assert sorted(r["node_id"] for r in scopes.within_scope(c, 1).collect()) == [1, 2] and scopes.within_scope(c, None).count() == 7
     assert [r["node_id"] for r in scopes.children(nodes, 0).collect()] == [1, 3, 4, 5, 6]
@@ -246,8 +273,18 @@ def test_callsites_and_endings(spark):
     d = spark.createDataFrame([(1, [("log.format", "a {}"), ("log.severity", "4"), ("log.format", "b")]), (2, [("x", "y")])], "datatype_id int, attributes array<struct<key:string,value:string>>")
     got = logs.callsites_of(d).collect()
     assert [(r["datatype_id"], r["format"], r["style"], r["severity"], r["file"]) for r in got] == [(1, "a {}", "brace", 4, None)]
-    e = spark.createDataFrame([(5, 3, 11, 0), (6, 1, 0, 0), (7, 9, 0, 0)], "id long, reason int, signal int, dropped long")
-    assert sorted(r["id"] for r in logs.ending_faults(e).collect()) == [6, 7]
+    schema = "id long, message string, reason int, signal int, code int, address long, thread long, sealed boolean, status int, dropped long"
+    good = [
+        ("crashed by SIGSEGV (address 0x10, thread 7, sealed mid-call)", 3, 11, 1, 16, 7, True, 0, 0), ("crashed by signal 99 (address 0x0, thread 0)", 3, 99, 0, 0, 0, False, 0, 0),
+        ("stopped by SIGTERM", 1, 15, 0, 0, 0, False, 0, 0), ("exited with status 2", 2, 0, 0, 0, 0, False, 2, 0), ("recovered by scanning (40 bytes dropped)", 4, 0, 0, 0, 0, False, 0, 40),
+        ("sealed after a panic in the writer", 5, 0, 0, 0, 0, False, 0, 0),
+    ]
+    bad = [("stopped by SIGTERM", 1, 15, 0, 0, 0, False, 3, 0), ("stopped by SIGINT", 1, 15, 0, 0, 0, False, 0, 0), (None, 9, 0, 0, 0, 0, False, 0, 0), ("exited with status 2", 2, 0, 0, 0, 0, True, 2, 0)]
+    for rows, want in ((good, 0), (bad, 1)):
+        for r in rows:
+            assert logs.ending_faults(spark.createDataFrame([(4, *r)], schema)).count() == want
+    e = spark.createDataFrame([(4, *good[0]), (5, *good[2]), (6, *bad[0])], schema)
+    assert sorted(r["id"] for r in logs.ending_faults(e).collect()) == [5, 6]
 
 
 def test_validation_rules(spark):
@@ -271,6 +308,9 @@ def test_validation_rules(spark):
     with pytest.raises(ValueError):
         validation.missing_as_errors(counted, True)
     validation.missing_as_errors(counted, False)
+    located = spark.createDataFrame([(77, 1), (78, 50), (79, None)], "id long, parent long")
+    whole = validation.counts(t, spark.createDataFrame([], "id long, owner long"), spark.createDataFrame([("k", 1, 77), ("k", 79, 0)], "kind string, source long, destination long"), located)
+    assert {r["what"]: r["n"] for r in whole.collect()} == {"records": 6, "relations": 2, "missing parents": 1, "missing sources": 0, "missing destinations": 0, "repeated ids": 0}
 
 
 def test_resolve_refs(spark):

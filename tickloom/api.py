@@ -57,7 +57,7 @@ class Trace:
         return named.join(self.table("nodes").select("node_id", "signal_id"), "node_id")
 
     def find(self, path: str, kind: str | None = None) -> DataFrame:
-        return scopes.find(self.hierarchy, path, kind)
+        return scopes.find_path(self.table("nodes"), path, kind)
 
     def find_signal(self, path: str) -> DataFrame:
         found = self.find(path, "variable")
@@ -172,7 +172,10 @@ class Trace:
 
     def active(self, first: int, last: int, stretches: DataFrame | None = None) -> DataFrame:
         """Signals that change in a window, each once under its first name."""
-        hit = activity.active_in(stretches if stretches is not None else self.signal_activity(), "signal_id", "first", "last", first, last)
+        if stretches is None:
+            hit = activity.signals_active(self.table("changes"), first, last)
+        else:
+            hit = activity.active_in(stretches, "signal_id", "first", "last", first, last)
         return activity.first_names(hit, self.variables)
 
     def index(self, path: str) -> None:
@@ -203,9 +206,16 @@ class Trace:
         return out
 
     def validate(self, complete: bool = False) -> DataFrame:
-        counted = validation.counts(self.table("transactions"), self.table("embedded").select("id", "owner"), self.table("relations"))
+        """(what, n): counts, missing references, and broken rules by name. For a complete recording
+        missing references are an error; broken rules always are rows."""
+        counted = validation.counts(self.table("transactions"), self.table("embedded").select("id", "owner"), self.table("relations"), self.table("located"))
         validation.missing_as_errors(counted, complete)
-        return counted
+        return counted.unionByName(self.faults().groupBy(F.col("rule").alias("what")).agg(F.count(F.lit(1)).alias("n")))
+
+    def faults(self) -> DataFrame:
+        """(rule, id) of every record that breaks a rule; see `validation.faults`."""
+        known = ("transactions", "embedded", "located", "nodes", "datatypes", "signals", "changes")
+        return validation.faults({**{t: self.table(t) for t in known}, "clocks": self.clock_stretches()})
 
     def listed(self, df: DataFrame, n: int = LISTING) -> tuple[list, int]:
         """The first n rows of a listing, and how many more there are."""
@@ -231,9 +241,20 @@ EMPTY = {
     "signals": "signal_id bigint, encoding string, width int, states int",
     "time_steps": "time bigint",
     "blackouts": "seq bigint, time bigint, active boolean",
+    "datatypes": "datatype_id int, kind int, name string",
 }
 
 
+def content_mark(spark: SparkSession, path: str) -> str:
+    """A digest of the content of the file or files at a path, in parallel by lines, whatever the order
+    in which they are read; places in the file count."""
+    from tickloom.sources.lines import ordered_lines
+
+    h = F.xxhash64("pos", "value")
+    seen = ordered_lines(spark, path).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s")).first()
+    return f"{seen['n']}-{seen['x']}-{seen['s']}"
+
+
 def read_trace(spark: SparkSession, path: str, **options: str) -> Trace:
     """A trace of any supported kind. FST waveforms need an external decoder and are refused."""
     ship(spark)
@@ -247,12 +268,12 @@ def read_trace(spark: SparkSession, path: str, **options: str) -> Trace:
     if kind == "vcd":
         r = vcd.read_vcd(spark, path)
         signals = r.signals.withColumn("states", F.when(F.col("encoding") == "bits", 4).otherwise(2))
-        return Trace(spark, {"nodes": r.nodes, "signals": signals, "changes": r.changes, "time_steps": r.time_steps, "blackouts": r.blackouts}, f"vcd-{os.path.getsize(path)}")
+        return Trace(spark, {"nodes": r.nodes, "signals": signals, "changes": r.changes, "time_steps": r.time_steps, "blackouts": r.blackouts}, f"vcd-{content_mark(spark, path)}")
     if kind == "kanata":
         p = kanata.read_kanata(spark, path)
         tx = p.instructions.withColumn("parent", F.lit(None).cast("bigint"))
-        embedded = p.stages.select("id", F.col("id").alias("owner"), "name", "lane", "begin", "end")
-        return Trace(spark, {"transactions": tx, "embedded": embedded, "relations": p.relations.withColumn("seq", F.lit(None).cast("bigint")), "clocks": p.clocks.withColumn("id", F.lit(0).cast("bigint"))}, f"kanata-{os.path.getsize(path)}")
+        embedded = p.stages.select(F.lit(None).cast("bigint").alias("id"), F.col("id").alias("owner"), "name", "lane", "begin", "end")
+        return Trace(spark, {"transactions": tx, "embedded": embedded, "relations": p.relations.withColumn("seq", F.lit(None).cast("bigint")), "clocks": p.clocks.withColumn("id", F.lit(0).cast("bigint"))}, f"kanata-{content_mark(spark, path)}")
     container.register(spark)
     names = [t for t in container.TABLES if t != "sections"]
     tables = {t: spark.read.format("tickloom").options(table=t, **options).load(path) for t in names}

@@ -45,8 +45,14 @@ class Unsupported(Exception):
 # --- shared ------------------------------------------------------------------------------------
 
 
+# First and last of the ranges of characters that count as wide whatever Unicode says.
+WIDE = ((0x4DC0, 0x4DFF), (0x1F300, 0x1F5FF), (0x1F900, 0x1F9FF))
+
+
 def char_width(ch: str) -> int:
     """Estimated columns of a character: 2 for wide ones, else 1."""
+    if any(a <= ord(ch) <= b for a, b in WIDE):
+        return 2
     return 2 if unicodedata.east_asian_width(ch) in "WF" else 1
 
 

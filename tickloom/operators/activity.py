@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.intervals import coverage
 from tickloom.operators.joins import overlap_join
-from tickloom.operators.waveform import check_window
 
 
 def _after_first(changes: DataFrame, t_min: int | None) -> DataFrame:
@@ -41,9 +40,27 @@ def generator_activity(transactions: DataFrame, located: DataFrame | None = None
 
 
 def active_in(stretches: DataFrame, key: str, first: str, last: str, a: int, b: int) -> DataFrame:
-    """Keys with a stretch that meets the closed window [a, b]; a > b is an error."""
-    check_window(a, b)
-    return stretches.filter((F.col(first) <= b) & (F.col(last) >= a)).select(key).distinct()
+    """Keys with a stretch that meets the closed window [a, b]; none meets a reversed one."""
+    return stretches.filter((F.col(first) <= b) & (F.col(last) >= a) & F.lit(a <= b)).select(key).distinct()
+
+
+def signals_active(changes: DataFrame, a: int, b: int, t_min: int | None = None) -> DataFrame:
+    """Signals (signal_id) with a change in the closed window [a, b], as `active_in` over
+    `signal_activity`: a stretch meets a window where it has a tick there, so the window goes to the
+    scan and no stretch is built. A reversed window has none."""
+    inside = changes.filter(F.col("time").between(a, b))
+    first = F.lit(t_min) if t_min is not None else changes.agg(F.min("time").alias("t")).scalar()
+    return inside.filter(F.col("signal_id").isNotNull() & (F.col("time") > first)).select("signal_id").distinct()
+
+
+def generators_active(transactions: DataFrame, located: DataFrame | None, a: int, b: int) -> DataFrame:
+    """Generators busy in the closed window [a, b], as `active_in` over `generator_activity`, without
+    building the union: an interval of a generator meets the window or none of its union does."""
+    spans = transactions.filter((F.col("begin") <= b) & (F.col("end") >= a) & (F.col("begin") <= F.col("end"))).select("generator")
+    if located is not None:
+        last = F.when(F.col("end") > F.col("begin"), F.col("end") - 1).otherwise(F.col("begin"))
+        spans = spans.unionByName(located.filter((F.col("begin") <= b) & (last >= a)).select("generator"))
+    return spans.filter(F.col("generator").isNotNull() & F.lit(a <= b)).distinct()
 
 
 def active_in_windows(stretches: DataFrame, key: str, first: str, last: str, windows: DataFrame) -> DataFrame:

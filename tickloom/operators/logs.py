@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.formatting import format_brace, format_printf
@@ -57,13 +57,39 @@ def callsites_of(datatypes: DataFrame) -> DataFrame:
 
 #: Reasons of a run's end, by their codes from 1 (fixed values).
 ENDINGS = ["stopped", "exited", "crashed", "recovered", "poisoned"]
+# Names of the signals that stop or crash a run, by number.
+SIGNALS = dict(enumerate((
+    "SIGHUP SIGINT SIGQUIT SIGILL SIGTRAP SIGABRT SIGBUS SIGFPE SIGKILL SIGUSR1 SIGSEGV SIGUSR2 SIGPIPE SIGALRM SIGTERM SIGSTKFLT SIGCHLD SIGCONT SIGSTOP SIGTSTP SIGTTIN "
+    "SIGTTOU SIGURG SIGXCPU SIGXFSZ SIGVTALRM SIGPROF SIGWINCH SIGIO SIGPWR SIGSYS"
+).split(), 1))
+#: The fields that each reason uses; all others are zero (or false).
+USED = {1: {"signal"}, 2: {"status"}, 3: {"signal", "code", "address", "thread", "sealed"}, 4: {"dropped"}, 5: set()}
+ENDING_FIELDS = ("signal", "code", "address", "thread", "sealed", "status", "dropped")
+
+
+def ending_text() -> Column:
+    """The one sentence of a run's end, from its columns reason and ENDING_FIELDS; NULL for an
+    unknown reason."""
+    names = F.create_map(*(F.lit(x) for pair in SIGNALS.items() for x in pair))
+    number = F.col("signal").cast("int")
+    signal = F.coalesce(F.try_element_at(names, number), F.concat(F.lit("signal "), number.cast("string")))
+    where = F.concat(F.lit(" (address 0x"), F.lower(F.hex("address")), F.lit(", thread "), F.col("thread").cast("string"), F.when(F.col("sealed"), ", sealed mid-call").otherwise(""), F.lit(")"))
+    return (
+        F.when(F.col("reason") == 1, F.concat(F.lit("stopped by "), signal))
+        .when(F.col("reason") == 2, F.concat(F.lit("exited with status "), F.col("status").cast("string")))
+        .when(F.col("reason") == 3, F.concat(F.lit("crashed by "), signal, where))
+        .when(F.col("reason") == 4, F.concat(F.lit("recovered by scanning ("), F.col("dropped").cast("string"), F.lit(" bytes dropped)")))
+        .when(F.col("reason") == 5, F.lit("sealed after a panic in the writer"))
+    )
 
 
 def ending_faults(endings: DataFrame) -> DataFrame:
-    """Of run-ending records (id, reason, sealed, signal, code, dropped): those beyond the first,
-    of an unknown reason, or with fields that their reason doesn't use."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id"))  # a recording has one or none
-    bad = (F.col("n") > 1) | ~F.col("reason").between(1, len(ENDINGS)) | ((F.col("reason") != 3) & (F.col("signal") != 0)) | ((F.col("reason") != 4) & (F.col("dropped") != 0))
-    return endings.withColumn("n", rank).filter(bad).drop("n")
+    """Of run-ending records (id, message, reason and ENDING_FIELDS): those beyond the first, of an
+    unknown reason, with fields that their reason doesn't use, or another text than its own."""
+    first = endings.agg(F.min("id").alias("i")).scalar()
+    stray = F.lit(False)
+    for reason, used in USED.items():
+        for f in ENDING_FIELDS:
+            if f not in used:
+                stray = stray | (F.col("reason") == reason) & (F.coalesce(F.col(f).cast("bigint"), F.lit(0)) != 0)
+    return endings.filter((F.col("id") > first) | ~F.col("reason").between(1, len(ENDINGS)) | stray | ~F.col("message").eqNullSafe(ending_text()))

@@ -5,26 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.hierarchy import Forest, hierarchy
+from tickloom.session import Scratch
 
 
 def closed(nodes: DataFrame) -> DataFrame:
     """Nodes (node_id, parent_id, node_kind, name) with path_parts, ancestors (the root first,
     itself last), depth and path (parts joined by dots). Nodes on or under cycles are left out.
 
-    Trees come from `hierarchy`; names are joined to the ids of the paths, so their number is
-    that of all (node, ancestor) pairs. A NULL name counts as ''.
+    Paths double each round, so that a tree of depth d takes log2(d) joins by node; when a round
+    completes no path, what is left is on or under cycles. A node whose parent has no row is a root.
+    Repeated rows count once; a NULL name counts as ''.
     """
-    forest: Forest = hierarchy(nodes, "node_id", "parent_id")
-    steps = forest.paths().select(F.col("node").alias("node_id"), "depth", F.posexplode("path").alias("at", "a"))
-    names = nodes.groupBy(F.col("node_id").alias("a")).agg(F.coalesce(F.min("name"), F.lit("")).alias("part"))
-    listed = steps.join(names, "a").groupBy("node_id", "depth").agg(F.sort_array(F.collect_list(F.struct("at", "a", "part"))).alias("p"))
-    kinds = nodes.groupBy("node_id").agg(F.min("parent_id").alias("parent_id"), F.min("node_kind").alias("node_kind"), F.min("name").alias("name"))
-    return kinds.join(listed, "node_id").select(
-        "node_id", "parent_id", "node_kind", "name", "depth", F.col("p.a").alias("ancestors"), F.col("p.part").alias("path_parts"), F.array_join("p.part", ".").alias("path")
+    scratch = Scratch(nodes.sparkSession, "closed")
+    one = scratch.write(nodes.filter("node_id is not null").groupBy(F.col("node_id").cast("bigint").alias("node_id")).agg(
+        F.min("parent_id").cast("bigint").alias("parent_id"), F.min("node_kind").alias("node_kind"), F.min("name").alias("name")))
+    known = one.select(F.col("node_id").alias("_p"))
+    begun = one.join(known, F.col("parent_id") == F.col("_p"), "left").select(
+        "node_id", F.col("_p").alias("jump"), F.array("node_id").alias("ancestors"), F.array(F.coalesce("name", F.lit(""))).alias("path_parts"))
+    state, left = scratch.write(begun), None
+    while True:
+        open_ = state.filter("jump is not null")
+        n = open_.count()
+        if not n or n == left:
+            break
+        left = n
+        a, b = open_.alias("a"), state.alias("b")
+        longer = a.join(b, F.col("a.jump") == F.col("b.node_id")).select(
+            "a.node_id", "b.jump", *(F.concat(f"b.{c}", f"a.{c}").alias(c) for c in ("ancestors", "path_parts")))
+        moved = scratch.write(longer.unionByName(state.filter("jump is null")))
+        scratch.drop(state)
+        state = moved
+    done = state.filter("jump is null").drop("jump")
+    return one.join(done, "node_id").select(
+        "node_id", "parent_id", "node_kind", "name", (F.size("ancestors") - 1).cast("bigint").alias("depth"), "ancestors", "path_parts", F.array_join("path_parts", ".").alias("path")
     )
 
 
+def find_path(nodes: DataFrame, path: str, kind: str | None = None) -> DataFrame:
+    """`find` without the paths of all nodes: one filtered join per part of the path, from the
+    root down, so that only nodes of the wanted names are read."""
+    parts = path.split(".")
+    named = lambda i: nodes.filter(F.coalesce("name", F.lit("")) == parts[i])
+    at = named(0).join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_anti")
+    for i in range(1, len(parts)):
+        above = at.filter("node_kind = 'scope'").select(F.col("node_id").alias("parent_id")).distinct()
+        at = named(i).join(above, "parent_id", "left_semi")
+    if kind is not None:
+        at = at.filter(F.col("node_kind") == kind)
+    found = at.agg(F.min("node_id").cast("bigint").alias("node_id")).filter("node_id is not null")
+    return found.select("node_id", F.lit(path).alias("path"))
+
+
 def find(closed_nodes: DataFrame, path: str, kind: str | None = None) -> DataFrame:
     """The first node (smallest id) whose names, split at dots, are those of `path`; all but the
     last must be scopes, which parents always are. A name that itself has dots is never found."""

@@ -15,12 +15,16 @@ def in_window(first: int, last: int, begin: str = "begin", end: str = "end") ->
     return (F.col(begin) <= last) & (F.col(end) >= first)
 
 
-def in_window_half_open(first: int, last: int, begin: str = "begin", end: str = "end") -> Column:
+def in_window_half_open(first: int | None, last: int | None, begin: str = "begin", end: str = "end") -> Column:
     """Located records: a stage with a positive length ends before its end tick; points and empty
-    stages are at their begin."""
+    stages are at their begin. None leaves that side open; rows without ticks are out."""
     check_window(first, last)
-    after = F.when(F.col(end) > F.col(begin), F.col(end) > first).otherwise(F.col(begin) >= first)
-    return F.coalesce((F.col(begin) <= last) & after, F.lit(False))
+    out = F.col(begin).isNotNull()
+    if last is not None:
+        out = out & (F.col(begin) <= last)
+    if first is not None:
+        out = out & F.coalesce(F.when(F.col(end) > F.col(begin), F.col(end) > first).otherwise(F.col(begin) >= first), F.lit(False))
+    return out
 
 
 def query_transactions(
@@ -53,7 +57,7 @@ def query_located(
 ) -> DataFrame:
     """Located records that pass every given predicate; parent 0 selects those without one."""
     out = located
-    if first is not None and last is not None:
+    if first is not None or last is not None:
         out = out.filter(in_window_half_open(first, last))
     if kind is not None:
         out = out.filter(F.col("kind") == kind)

@@ -29,13 +29,19 @@ def parent_order(tx: DataFrame) -> DataFrame:
 
 
 def transaction_shape(tx: DataFrame) -> DataFrame:
-    """(rule, id) of transactions that break a rule on their own."""
+    """(rule, id) of transactions that break a rule on their own. Where a table has a `kind`, clock
+    stretches have no parent, no span kind, no child blocks and are unset or open."""
     rules = [
+        ("id", F.col("id").isNull() | (F.col("id") <= 0)),
         ("end before begin", F.col("end") < F.col("begin")),
         ("missing tick", F.col("begin").isNull() | F.col("end").isNull()),
         ("status", ~F.col("status").between(0, 4)),
         ("span kind", ~F.col("span_kind").between(0, 5)),
     ]
+    if "kind" in tx.columns:
+        clock = F.col("kind") == "clock"
+        odd = F.col("parent").isNotNull() | (F.coalesce("span_kind", F.lit(0)) != 0) | ~F.coalesce("status", F.lit(0)).isin(0, 4)
+        rules.append(("clock", clock & (odd | (F.size("child_blocks") > 0) if "child_blocks" in tx.columns else clock & odd)))
     broken = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in rules)))
     return tx.select(F.explode(broken).alias("rule"), "id")
 
@@ -79,15 +85,78 @@ def alphabet_faults(changes: DataFrame, signals: DataFrame) -> DataFrame:
     return changes.join(s, "signal_id").filter(bad)
 
 
-def counts(tx: DataFrame, embedded: DataFrame, relations: DataFrame) -> DataFrame:
-    """(what, n): records, relations, missing references by kind, and repeated ids."""
+def parent_kinds(tx: DataFrame, located: DataFrame) -> DataFrame:
+    """(id, parent) of records whose parent is there but owns nothing, as only ordinary transactions do."""
+    if "kind" not in tx.columns:
+        return tx.select("id", "parent").limit(0)
+    others = tx.filter("kind <> 'transaction'").select(F.col("id").alias("parent")).unionByName(located.select(F.col("id").alias("parent")))
+    children = tx.select("id", "parent").unionByName(located.select("id", "parent")).filter("parent is not null")
+    return children.join(others.distinct(), "parent", "left_semi").select("id", "parent")
+
+
+def block_lists(tx: DataFrame, located: DataFrame) -> DataFrame:
+    """(owner, block, side): `transactions.missing_blocks` of the child blocks that transactions list."""
+    from tickloom.operators.transactions import missing_blocks
+
+    listed = tx.select(F.col("id").alias("owner"), F.explode("child_blocks").alias("block"))
+    children = tx.select(F.col("parent").alias("owner"), "block").unionByName(located.filter("kind <> 'log'").select(F.col("parent").alias("owner"), "block"))
+    own = children.join(tx.select(F.col("id").alias("owner")), "owner", "left_semi")
+    return missing_blocks(listed, own)
+
+
+def payload_labels(datatypes: DataFrame) -> DataFrame:
+    """(datatype_id, name) of structures whose field vtr.label is neither interned nor plain text
+    (types 12 and 13)."""
+    label = F.filter("fields", lambda f: f["name"] == "vtr.label")
+    return datatypes.filter(F.exists(label, lambda f: ~f["type"].isin(12, 13))).select("datatype_id", "name")
+
+
+def faults(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule, id) of what breaks a rule in a recording's tables (those of `api.Trace`; rules on
+    columns or tables that aren't there say nothing)."""
+    from tickloom.operators import clocks
+
+    tx, embedded, located = (tables[t] for t in ("transactions", "embedded", "located"))
+    rows = lambda rule, df, c: df.select(F.lit(rule).alias("rule"), F.col(c).cast("bigint").alias("id"))
+    every = tx.select("id").unionByName(embedded.select("id")).unionByName(located.select("id"))
+    parts = [
+        rows("repeated id", duplicates(every, "id"), "id"), rows("parent order", parent_order(tx), "id"), rows("parent kind", parent_kinds(tx, located), "id"),
+        rows("embedded order", embedded_order(embedded), "id"), transaction_shape(tx).select("rule", "id"),
+        rows("embedded end", embedded.filter("end < begin"), "id"),
+    ]
+    if {"id", "period"} <= set(tables["clocks"].columns):
+        parts += [rows("clock period", clocks.period_faults(tables["clocks"]), "id"), rows("clock overlap", clocks.overlaps(tables["clocks"]), "id")]
+    if "child_blocks" in tx.columns and "block" in located.columns:
+        parts.append(rows("child blocks", block_lists(tx, located), "owner"))
+    if "attributes" in tx.columns:
+        listed = tx.select("id", "generator", F.explode("attributes").alias("a")).select("id", "generator", "a.key", F.col("a.tag").alias("type"))
+        parts.append(rows("label type", label_types(listed.select("id", "key", "type")), "id"))
+        if "payload_type" in tables["nodes"].columns and "fields" in tables["datatypes"].columns:
+            own = tables["nodes"].select(F.col("node_id").alias("generator"), F.col("payload_type").alias("datatype_id"))
+            fields = own.join(tables["datatypes"].select("datatype_id", F.explode("fields").alias("f")), "datatype_id").select("generator", F.col("f.name").alias("field"))
+            parts += [rows("attribute named as a field", field_clashes(listed, fields), "id"), rows("label field", payload_labels(tables["datatypes"]), "datatype_id")]
+    if {"signal_id", "width", "states", "encoding"} <= set(tables["signals"].columns):
+        bits = tables["signals"].filter("encoding = 'bits'").dropDuplicates(["signal_id"])
+        parts.append(rows("alphabet", alphabet_faults(tables["changes"].select("signal_id", "text"), bits), "signal_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def counts(tx: DataFrame, embedded: DataFrame, relations: DataFrame, located: DataFrame | None = None) -> DataFrame:
+    """(what, n): records, relations, missing references by kind, and repeated ids. All record kinds
+    (`tx` with clock stretches) may be the end of a relation; parents are transactions."""
     known = tx.select("id").unionByName(embedded.select("id"))
+    parents = tx.select("parent")
+    if located is not None:
+        known, parents = known.unionByName(located.select("id")), parents.unionByName(located.select("parent"))
 
     def one(df, name, value=F.count(F.lit(1))):
         return df.agg(F.coalesce(value, F.lit(0)).cast("bigint").alias("n")).select(F.lit(name).alias("what"), "n")
 
     parts = [
-        one(known, "records"), one(relations, "relations"), one(dangling(tx.select("parent"), "parent", [tx.select("id")]), "missing parents", F.sum("n")),
+        one(known, "records"), one(relations, "relations"), one(dangling(parents, "parent", [tx.select("id")]), "missing parents", F.sum("n")),
         one(dangling(relations.select("source"), "source", [known]), "missing sources", F.sum("n")),
         one(dangling(relations.select("destination"), "destination", [known]), "missing destinations", F.sum("n")),
         one(duplicates(known, "id"), "repeated ids"),

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tickloom.operators.ordered import as_of, neighbours
 
 
+#: Markers of blackouts that become conditions of a filter.
+MARKERS = 64
+
+
 def check_window(first: int | None, last: int | None) -> None:
     """A window is closed at both ends; None is unbounded. A reversed one is an error."""
     if first is not None and last is not None and first > last:
@@ -113,11 +117,26 @@ def alias_changes(changes: DataFrame, variables: DataFrame) -> DataFrame:
 
 
 def suppress_dumped(changes: DataFrame, blackouts: DataFrame) -> DataFrame:
-    """Changes outside blackouts (time, active): a change counts while the last marker before or
-    at its time is active or there is none. Markers are few; NULL times are dropped."""
-    marks = blackouts.select(F.lit(0).alias("k"), F.col("time"), F.lit(0).alias("seq"), F.col("active"))
-    found = as_of(marks, changes.withColumn("k", F.lit(0)), ["k"], "time", ["seq"], ["active"], "time")
-    return found.filter(F.coalesce(F.col("found.active"), F.lit(True))).drop("found", "k")
+    """Changes outside blackouts (time, active, seq if markers share a tick): a change counts while
+    the last marker before or at its time is active or there is none. NULL times are dropped.
+
+    Up to MARKERS markers (a recording has a handful) become a sorted list that each change is
+    looked up in where it is read; more of them are matched in shards of the order of time."""
+    tie = F.col("seq") if "seq" in blackouts.columns else F.lit(0)
+    marks = blackouts.filter("time is not null").select(F.lit(0).alias("k"), F.col("time").cast("bigint").alias("time"), tie.cast("bigint").alias("seq"), F.col("active"))
+    timed = changes.filter("time is not null")
+    few = marks.limit(MARKERS + 1).select("time", "seq", "active").collect()
+    if len(few) > MARKERS:
+        found = as_of(marks, timed.withColumn("k", F.lit(0)), ["k"], "time", ["seq"], ["active"], "time")
+        return found.filter(F.coalesce(F.col("found.active"), F.lit(True))).drop("found", "k")
+    off, since = F.lit(False), None
+    for m in [*sorted(few, key=lambda m: (m["time"], m["seq"])), None]:
+        if since is not None and (m is None or m["active"] is not False):
+            off = off | ((F.col("time") >= since) & (F.col("time") < m["time"]) if m is not None else F.col("time") >= since)
+            since = None
+        elif since is None and m is not None and m["active"] is False:
+            since = m["time"]
+    return timed.filter(~off)
 
 
 def blackout_faults(blackouts: DataFrame) -> DataFrame:

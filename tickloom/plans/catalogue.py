@@ -187,14 +187,15 @@ def activity_summary(t):
 
 @query(f"with {_STRETCH} select distinct signal_id from st where first <= 110 and last >= 100")
 def active_signals_window(t):
-    return activity.active_in(activity.signal_activity(t.hourly), "signal_id", "first", "last", 100, 110)
+    return activity.signals_active(t.hourly, 100, 110)
 
 
-@query(f"""with {_STRETCH}, w as (select i as window_id, i * 24 as f, i * 24 + i % 5 as l from range(30) r(i))
-    select distinct window_id, signal_id from w join st on first <= l and last >= f""")
+@query(f"""with {_STRETCH}, w as (select i as window_id, i * 24 as f, i * 24 + i % 5 - 1 as l from range(30) r(i))
+    select distinct window_id, signal_id from w join st on first <= l and last >= f and f <= l""")
 def active_signals_many_windows(t):
+    """Signals active in each window; every fifth window is reversed and has none."""
     i = F.col("id")
-    windows = t.spark.range(30).select(i.alias("window_id"), (i * 24).alias("w_first"), (i * 24 + i % 5).alias("w_last"))
+    windows = t.spark.range(30).select(i.alias("window_id"), (i * 24).alias("w_first"), (i * 24 + i % 5 - 1).alias("w_last"))
     return activity.active_in_windows(activity.signal_activity(t.hourly), "signal_id", "first", "last", windows)
 
 
@@ -203,7 +204,7 @@ def active_first_names(t):
     """Each active signal once, under its first name."""
     names = t.changes.select("signal_id").distinct().select("signal_id", F.explode(F.array(F.lit("top.alias"), F.lit("top.u"))).alias("p"))
     named = names.select("signal_id", F.concat("p", "signal_id").alias("path"), F.when(F.col("p") == "top.alias", 1).otherwise(2).alias("node_id"))
-    return activity.first_names(activity.active_in(activity.signal_activity(t.hourly), "signal_id", "first", "last", 100, 110), named)
+    return activity.first_names(activity.signals_active(t.hourly, 100, 110), named)
 
 
 _GEN = f"""{_ORD}, {_LOC}, spans as (select generator, b, e from ord where e is not null
@@ -220,7 +221,7 @@ def generator_activity(t):
 
 @query(f"with {_GEN} select distinct generator from act where b <= {DAY_WINDOW[1]} and e >= {DAY_WINDOW[0]}")
 def active_generators_window(t):
-    return activity.active_in(activity.generator_activity(t.orders, t.located), "generator", "begin", "end", *DAY_WINDOW)
+    return activity.generators_active(t.orders, t.located, *DAY_WINDOW)
 
 
 # --- transactions and located records ----------------------------------------------------------
@@ -236,6 +237,14 @@ def stage_window_half_open(t):
     return transactions.query_located(t.located, *DAY_WINDOW).select("id", "kind", "begin", "end")
 
 
+@query(f"""with {_LOC} select 'from' as side, kind, count(*) as n from loc where case when e > b then e > {DAY_WINDOW[0]} else b >= {DAY_WINDOW[0]} end group by kind
+    union all select 'to', kind, count(*) from loc where b <= {DAY_WINDOW[1]} group by kind""")
+def stage_window_one_sided(t):
+    """Located records from a tick on, and up to one."""
+    sides = [transactions.query_located(t.located, first, last).withColumn("side", F.lit(s)) for s, first, last in (("from", DAY_WINDOW[0], None), ("to", None, DAY_WINDOW[1]))]
+    return sides[0].unionByName(sides[1]).groupBy("side", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"with {_CH} select seq as id, signal_id as generator from changes where text in ('error', 'purchase') and time between {TICKS[0]} and {TICKS[1]}")
 def logs_without_owner(t):
     logs = t.logs.withColumn("kind", F.lit("log")).withColumn("end", F.col("begin"))
@@ -382,9 +391,9 @@ def scope_paths(t):
     return scopes.closed(t.scopes).select("node_id", "depth", "path")
 
 
-@query(f"with recursive {_NODES} select min(node_id) as node_id, path from tree where path = 'ASIA.JAPAN' and node_kind = 'scope' group by path")
+@query(f"with recursive {_NODES} select min(node_id) as node_id, path from tree where path = 'ASIA.NATION_12' and node_kind = 'scope' group by path")
 def find_by_path(t):
-    return scopes.find(scopes.closed(t.scopes), "ASIA.JAPAN", "scope")
+    return scopes.find_path(t.scopes, "ASIA.NATION_12", "scope")
 
 
 _SIZES = f"""{_NODES}, below as (select unnest(ancestors) as anc, node_id, node_kind, signal_id from tree)"""
@@ -508,7 +517,8 @@ def clock_period_check(t):
       case when p_partkey % 4 = 0 then p_partkey * 100 + 500 end as stop from part),
     x as (select *, lead(first) over (partition by clock order by first, seq) as nf from runs),
     u as (select *, greatest(least(coalesce(stop, 9223372036854775807), coalesce(nf - 1, 9223372036854775807)), first) as u from x where stop is not null or nf is not null)
-    select clock, seq as id, first as "begin", first + (u - first) // period * period as "end", case when (u - first) // period > 0 then period end as period from u""")
+    select clock, seq as id, first as "begin", first + (u - first) // period * period as "end", case when (u - first) // period > 0 then period end as period from u
+    union all select clock, seq, first, null, null from x where stop is null and nf is null""")
 def clock_runs(t):
     """Stretches from runs and stops; the last run of a clock without a stop is still open."""
     p = F.col("p_partkey")
@@ -516,7 +526,7 @@ def clock_runs(t):
         F.expr("cast(substring(p_brand, 7) as bigint)").alias("clock"), p.alias("seq"), (p * 100).alias("first"), F.col("p_size").cast("bigint").alias("period"),
         F.when(p % 4 == 0, p * 100 + 500).alias("stop"),
     )
-    return clocks.from_runs(runs).filter("end is not null and begin is not null")
+    return clocks.from_runs(runs)
 
 
 # --- scalar functions --------------------------------------------------------------------------
@@ -536,10 +546,10 @@ def bits_extend(t):
 
 
 @query(f"""with {_CH} select seq, not regexp_matches(case when seq % 3 = 0 then replace(bits, '1', 'z') else bits end, '[^01]') as two_state,
-    case when seq % 3 = 0 then null else bits end as narrow, substr(bits, 6, 1) as bit2, coalesce(nullif(strpos('01xzuwlh-', substr(bits, 8, 1)), 0) - 1, 2) as code0 from changes where bits like '%1%'""")
+    case when seq % 3 = 0 and bits like '%1%' then null else bits end as narrow, substr(bits, 6, 1) as bit2, coalesce(nullif(strpos('01xzuwlh-', substr(bits, 8, 1)), 0) - 1, 2) as code0 from changes""")
 def two_state_check(t):
     odd = F.when(F.col("seq") % 3 == 0, F.translate("bits", "1", "z")).otherwise(F.col("bits"))
-    return t.changes.filter("bits like '%1%'").select(
+    return t.changes.select(
         "seq", bits.is_two_state(odd).alias("two_state"), bits.narrow(odd).alias("narrow"), bits.state_at("bits", 2).alias("bit2"), bits.state_code(bits.state_at("bits", 0)).cast("bigint").alias("code0")
     )
 
@@ -643,14 +653,17 @@ def parent_order_check(t):
 
 
 @query(f"""with {_TX} select rule, id from (select 'end before begin' as rule, id from tx where e < b union all select 'missing tick', id from tx where b is null or e is null
+    union all select 'id', id from tx where id <= 0
     union all select 'status', id from tx where status not between 0 and 4 union all select 'span kind', id from tx where span_kind not between 0 and 5)""")
 def transaction_shape(t):
     return validation.transaction_shape(t.transactions)
 
 
-@query(f"with {_TX}, {_EMB} select m.id, m.owner from emb m where m.id <= m.owner")
+@query(f"with {_TX}, {_EMB}, m as (select id, case when id % 97 = 0 then id + id % 2 else owner end as owner from emb) select id, owner from m where id <= owner")
 def embedded_id_order(t):
-    return validation.embedded_order(t.embedded)
+    """Embedded records that aren't younger than their owner; some owners are shifted."""
+    shifted = F.when(F.col("id") % 97 == 0, F.col("id") + F.col("id") % 2).otherwise(F.col("owner"))
+    return validation.embedded_order(t.embedded.withColumn("owner", shifted))
 
 
 @query(f"""with {_TX}, held as (select distinct p.id as owner, c.block from tx c join tx p on p.id = c.parent), listed as (select owner, block + (case when owner % 50 = 0 then 1 else 0 end) as block from held)
@@ -663,11 +676,13 @@ def child_block_mismatch(t):
     return transactions.missing_blocks(listed, held)
 
 
-@query("""with g as (select cast(generator as bigint) as generator, gen_kind, cast(clock as bigint) as clock from trace_generators)
+@query("""with g as (select cast(generator as bigint) as generator, gen_kind, cast(case when generator % 5 = 0 then generator % 2 * 100000 + generator else clock end as bigint) as clock from trace_generators)
     select g.generator, g.clock, case when c.generator is null then 'missing' else 'not a clock' end as fault from g left join g c on c.generator = g.clock
     where g.clock is not null and (c.generator is null or c.gen_kind is distinct from 'CLOCK')""")
 def clock_target_check(t):
-    return validation.clock_targets(t.generators)
+    """Clocks that don't exist or are none; every fifth generator names itself or nothing known."""
+    g = F.col("generator")
+    return validation.clock_targets(t.generators.withColumn("clock", F.when(g % 5 == 0, g % 2 * 100000 + g).otherwise(F.col("clock"))))
 
 
 @query(f"""with {_TX}, {_EMB}, {_REL}, known as (select id from tx union all select id from emb)

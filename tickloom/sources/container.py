@@ -888,7 +888,7 @@ TABLES = {
     "sections": "section int, kind string, bytes long, aux0 long, aux1 long, block long",
     "strings": "id int, text string",
     "interned": "id int, tag string, value string",
-    "datatypes": f"datatype_id int, kind int, name string, attributes {_ATTRS}",
+    "datatypes": f"datatype_id int, kind int, name string, fields array<struct<name string, type int>>, element int, count long, literals array<struct<value long, name string>>, attributes {_ATTRS}",
     "nodes": f"node_id long, parent_id long, node_kind string, name string, code int, signal_id long, gen_kind string, payload_type int, attributes {_ATTRS}",
     "signals": "signal_id long, encoding string, width int, states int",
     "blackouts": "seq long, time long, active boolean",
@@ -991,7 +991,7 @@ class TraceReader(DataSourceReader):
         elif self.table == "interned":
             yield from ((i, tag, json.dumps(v)) for i, (tag, v) in enumerate(d.values))
         elif self.table == "datatypes":
-            yield from ((i, t.kind, t.name, t.attributes) for i, t in d.types.items())
+            yield from ((i, t.kind, t.name, [{"name": n, "type": f} for n, f in t.fields], t.element, t.count, [{"value": v, "name": n} for v, n in t.literals], t.attributes) for i, t in d.types.items())
         elif self.table == "signals":
             yield from ((i, *s) for i, s in enumerate(d.signals))
         else:
