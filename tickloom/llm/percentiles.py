@@ -4,7 +4,7 @@ Tasks sort the values of each group that they hold into runs; a run is reduced t
 weights, so that a rank is wrong by at most `eps` of all values, and runs of different
 partitions, blocks or days combine by standing side by side. Selection then works on the runs:
 each proposes the median of what it still has in range, the weighted median of the proposals
-becomes the pivot, the runs count three ways against it, and the ruled-out range is discarded
+(first of those in a task, then of the tasks') becomes the pivot, the runs count three ways against it, and the ruled-out range is discarded
 (runs are rewritten whenever at most half of their points are left), for all groups and percentiles at once, until every rank is found.
 """
 
@@ -79,22 +79,94 @@ def summarise(values: DataFrame, keys: list[str], value: str, eps: float = 0.001
     return rows.mapInArrow(_runs(keys, eps), f"{types}, points array<long>, weights array<long>")
 
 
+def _combined(keys: list[str]):
+    """Runs of one key that a task holds as one run, equal points as one with the sum of weights."""
+
+    def flush(batches):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        code = np.zeros(t.num_rows, np.int64)
+        for k in keys:
+            c, values = pd.factorize(t[k].to_pandas(), use_na_sentinel=False)
+            code = np.unique(code * len(values) + c, return_inverse=True)[1]
+        lists = t["points"].combine_chunks()
+        run = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        points, weights = lists.flatten().to_numpy(), t["weights"].combine_chunks().flatten().to_numpy()
+        order = np.lexsort((points, code[run]))
+        run, points, weights = run[order], points[order], weights[order]
+        group = code[run]
+        new = np.append(True, (group[1:] != group[:-1]) | (points[1:] != points[:-1])) if len(points) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        firsts = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1])) if len(at) else at
+        offsets = pa.array(np.append(firsts, len(at)).astype(np.int32))
+        out = t.select(keys).take(pa.array(run[at[firsts]]))
+        for name, v in (("points", points[at]), ("weights", np.add.reduceat(weights, at) if len(at) else weights)):
+            out = out.append_column(name, pa.ListArray.from_arrays(offsets, pa.array(v)))
+        return out.combine_chunks().to_batches(max_chunksize=2_000)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in it:
+            if b.num_rows:
+                held.append(b)
+                n += len(b["points"].flatten())
+            if n >= GATHER:
+                yield from flush(held)
+                held, n = [], 0
+        if held:
+            yield from flush(held)
+
+    return run
+
+
+def combine(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """A summary by fewer keys (those of blocks or days left out), with the runs that a task holds of
+    a key made one. Selection gives the same from either; it looks at fewer runs."""
+    types = ", ".join(f"`{k}` {summary.schema[k].dataType.simpleString()}" for k in keys)
+    return summary.select(*keys, "points", "weights").mapInArrow(_combined(keys), f"{types}, points array<long>, weights array<long>")
+
+
+#: Proposals or counts of (group, percentile) that a task holds before it passes them on.
+HELD = 100_000
+
+
+def _weighted_median(proposals: list[tuple[int, int]]) -> tuple[int, int]:
+    values, weights = (np.array(x, np.int64) for x in zip(*proposals, strict=True))
+    order = np.argsort(values, kind="stable")
+    sums = np.cumsum(weights[order])
+    return int(values[order][np.searchsorted(sums, (sums[-1] + 1) // 2)]), int(sums[-1])
+
+
 def _scan(mode: str):
-    """Of each run, for each percentile asked of its group: the median it proposes and its weight,
-    its weights and numbers of points below and above the pivot, or its points in range."""
+    """Of a task's runs, for each percentile asked of their group: the weighted median of the medians
+    they propose and its weight, or the sums of their weights and numbers of points below and above
+    the pivot. So a group has one row a task, however many runs it has. In mode gather: the points in range."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        names, types = None, None
+
+        def flush():
+            found = [(k, q, *(_weighted_median(v) if mode == "propose" else v)) for (k, q), v in held.items()]
+            held.clear()
+            columns = [pa.array([k[i] for k, *_ in found], t) for i, t in enumerate(types)]
+            columns.append(pa.array([f[1] for f in found], pa.float64()))
+            for j in range(4):
+                columns.append(pa.array([int(f[2 + j]) if len(f) > 2 + j else 0 for f in found], pa.int64()))
+            return pa.RecordBatch.from_arrays(columns, [*names, "q", "one", "two", "three", "four"])
+
         for b in it:
             if not b.num_rows:
                 continue
-            keys = b.column_names[: b.column_names.index("points")]
+            names = b.column_names[: b.column_names.index("points")]
+            types = [b[k].type for k in names]
             offsets, points, weights = b["points"].offsets.to_numpy(), b["points"].values.to_numpy(), b["weights"].values.to_numpy()
             asks = b["asks"]
             at, ask = asks.offsets.to_numpy(), asks.values
             q = ask.field("q").to_numpy()
             low, high, pivot = (ask.field(c).fill_null(0).to_numpy() for c in ("low", "high", "pivot"))
             has_low, has_high = (ask.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("low", "high"))
-            row, which, out = [], [], []
+            key = list(zip(*(b[k].to_pylist() for k in names), strict=True)) or [()] * b.num_rows
+            gathered = []
             for i in range(b.num_rows):
                 p, w = points[offsets[i] : offsets[i + 1]], weights[offsets[i] : offsets[i + 1]]
                 for k in range(at[i], at[i + 1]):
@@ -103,24 +175,28 @@ def _scan(mode: str):
                     if lo >= hi:
                         continue
                     if mode == "gather":
-                        row += [i] * (hi - lo)
-                        which += [k] * (hi - lo)
-                        out += [(v, n, 0, 0) for v, n in zip(p[lo:hi].tolist(), w[lo:hi].tolist(), strict=True)]
-                        continue
-                    row.append(i)
-                    which.append(k)
-                    if mode == "propose":
+                        gathered.append((i, k, offsets[i] + lo, offsets[i] + hi))
+                    elif mode == "propose":
                         sums = np.cumsum(w[lo:hi])
-                        out.append((p[lo + np.searchsorted(sums, (sums[-1] + 1) // 2)], sums[-1], 0, 0))
+                        held.setdefault((key[i], q[k]), []).append((p[lo + np.searchsorted(sums, (sums[-1] + 1) // 2)], sums[-1]))
                     else:
                         x, z = lo + np.searchsorted(p[lo:hi], pivot[k], "left"), lo + np.searchsorted(p[lo:hi], pivot[k], "right")
-                        out.append((w[lo:x].sum(), w[x:z].sum(), x - lo, hi - z))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            t = pa.Table.from_batches([b.select(keys)]).take(pa.array(row, pa.int64()))
-            t = t.append_column("q", pa.array(q[np.array(which, np.int64)], pa.float64()))
-            for name, v in zip(("one", "two", "three", "four"), columns, strict=True):
-                t = t.append_column(name, pa.array(v, pa.int64()))
-            yield from t.combine_chunks().to_batches()
+                        sums = held.setdefault((key[i], q[k]), [0, 0, 0, 0])
+                        for j, v in enumerate((w[lo:x].sum(), w[x:z].sum(), x - lo, hi - z)):
+                            sums[j] += int(v)
+            if gathered:
+                i, k, lo, hi = (np.array(x, np.int64) for x in zip(*gathered, strict=True))
+                n = hi - lo
+                index = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+                t = pa.Table.from_batches([b.select(names)]).take(pa.array(np.repeat(i, n)))
+                zeros = np.zeros(len(index), np.int64)
+                for name, v in (("q", q[np.repeat(k, n)]), ("one", points[index]), ("two", weights[index]), ("three", zeros), ("four", zeros)):
+                    t = t.append_column(name, pa.array(v))
+                yield from t.combine_chunks().to_batches()
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
 
     return run
 

@@ -22,7 +22,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles per generator, from runs made per generator and block."""
     summary = percentiles.summarise(percentiles.trace_lengths(spark, d, "block"), ["generator", "block"], "length", eps=0)
-    return percentiles.select(summary.drop("block"), ["generator"], QUANTILES).withColumn("generator", F.col("generator").cast("bigint"))
+    return percentiles.select(percentiles.combine(summary, ["generator"]), ["generator"], QUANTILES).withColumn("generator", F.col("generator").cast("bigint"))
 
 
 def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
