@@ -14,12 +14,15 @@ from statistics import median
 ACROSS = "   "
 #: Share of a page's lines with such blanks that makes it a page read across.
 ACROSS_SHARE = 0.3
-#: A column begins this many pixels or more right of the lines before it.
-COLUMN_GAP = 150
-#: Height of a heading against that of the page's lines, at least.
+# Lengths are multiples of the height of the page's own lines, so that they hold at any resolution.
+#: A column begins this far or more right of the lines before it.
+COLUMN_GAP = 6.8
+#: Height of a heading, at least.
 HEADING = 1.28
-#: Pixels by which adverts stand in from their column's edge.
-INSET = (24, 100)
+#: Distances by which adverts stand in from their column's edge.
+INSET = (1.1, 4.5)
+#: How far left of a column's edge its lines may begin.
+RAGGED = 1.8
 
 BODY, HEADING_BLOCK, ADVERT = 0, 1, 2
 
@@ -27,18 +30,20 @@ _PIECE = re.compile(r"\S(?:.*\S)?")
 
 
 class Line:
-    __slots__ = ("end", "height", "kind", "start", "width", "x", "y")
+    __slots__ = ("end", "height", "inset", "kind", "start", "width", "x", "y")
 
     def __init__(self, start, end, x, y, height, width):
         self.start, self.end, self.x, self.y, self.height, self.width = start, end, x, y, height, width
         self.kind = BODY
+        #: Characters by which the line is shorter than its column at both sides together.
+        self.inset = 0
 
 
-def _columns(xs: list[int]) -> list[int]:
+def _columns(xs: list[int], gap: float) -> list[int]:
     """Left edges of the columns among the lines' left edges, from left to right."""
     found, group = [], []
     for x in sorted(xs):
-        if group and x - group[-1] > COLUMN_GAP:
+        if group and x - group[-1] > gap:
             found.append(group)
             group = []
         group.append(x)
@@ -46,9 +51,15 @@ def _columns(xs: list[int]) -> list[int]:
     return [min(g) if len(g) < 5 else sorted(g)[len(g) // 10] for g in found]
 
 
-def _fill(lines: list[Line], columns: list[int], of: list[int | None]) -> None:
+def _pitch(ys: list[int], usual: float) -> float:
+    """The usual distance between lines that follow each other."""
+    steps = [b - a for a, b in zip(ys, ys[1:], strict=False) if usual <= b - a <= 3 * usual]
+    return median(steps) if steps else 1.5 * usual
+
+
+def _fill(lines: list[Line], columns: list[int], of: list[int | None], usual: float) -> None:
     """Give lines without a box the place that the lines around them leave."""
-    pitch = 34
+    pitch = _pitch([ln.y for ln, c in zip(lines, of, strict=True) if c is not None], usual)
     known = [(ln.y, c) for ln, c in zip(lines, of, strict=True) if c is not None]
     switches = sum(a[1] != b[1] for a, b in zip(known, known[1:], strict=False))
     across = len(columns) > 1 and switches > 2 * len(columns)
@@ -79,6 +90,12 @@ def _is_title(s: str) -> bool:
     return len(words) > 1 and s[-1] not in ".!?,;" and all(w[0].isupper() for w in words)
 
 
+def _letter(boxes: list, rows: list[str]) -> float:
+    """The usual width of a character."""
+    wide = [(b[2] - b[0]) / len(s.strip()) for b, s in zip(boxes, rows, strict=True) if b is not None and len(s.strip()) > 4 and b[2] > b[0]]
+    return median(wide) if wide else 1.0
+
+
 def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
     """Blocks (kind, lines) in reading order. `boxes` holds (x0, y0, x1, y1) or None per line;
     without as many boxes as lines the text's own order stands and headings are the lines in
@@ -104,7 +121,7 @@ def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
         n = len(t)
         b = boxes[k] if boxes is not None else None
         if b is None:
-            lines.append(Line(start, start + n, 0, k * 34, 0, n))
+            lines.append(Line(start, start + n, 0, k, 0, n))
             placed.append(False)
         else:
             lines.append(Line(start, start + n, b[0], b[1], b[3] - b[1], n))
@@ -116,17 +133,19 @@ def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
             if _is_upper(text[ln.start : ln.end]):
                 ln.kind = HEADING_BLOCK
         return _blocks([lines])
-    columns = _columns([ln.x for ln, p in zip(lines, placed, strict=True) if p])
-    of: list[int | None] = [max(0, bisect_right(columns, ln.x + 40) - 1) if p else None for ln, p in zip(lines, placed, strict=True)]
-    usual = median([ln.height for ln in lines if ln.height])
+    usual = median([ln.height for ln in lines if ln.height > 0] or [1])
+    columns = _columns([ln.x for ln, p in zip(lines, placed, strict=True) if p], COLUMN_GAP * usual)
+    of: list[int | None] = [max(0, bisect_right(columns, ln.x + RAGGED * usual) - 1) if p else None for ln, p in zip(lines, placed, strict=True)]
+    letter = _letter(boxes, rows)
     for ln, c, p in zip(lines, of, placed, strict=True):
         if p:
-            if ln.height >= HEADING * usual and ln.x - columns[c] < 2 * INSET[0]:
+            aside = ln.x - columns[c]
+            if ln.height >= HEADING * usual and aside < 2 * INSET[0] * usual:
                 ln.kind = HEADING_BLOCK
-            elif INSET[0] < ln.x - columns[c] < INSET[1]:
-                ln.kind = ADVERT
+            elif INSET[0] * usual < aside < INSET[1] * usual:
+                ln.kind, ln.inset = ADVERT, round(2 * aside / letter)
     if not all(placed):
-        _fill(lines, columns, of)
+        _fill(lines, columns, of, usual)
         for ln, p in zip(lines, placed, strict=True):
             if not p and _is_upper(text[ln.start : ln.end]):
                 ln.kind = ADVERT
@@ -146,8 +165,10 @@ def read_page(text: str, boxes: list | None) -> list[tuple[int, list[Line]]]:
 def _read_across(spans: list[tuple[int, str]], boxes: list | None) -> list[tuple[int, list[Line]]]:
     """A page whose lines each hold one line of every column, side by side."""
     flows: list[list[Line]] = []
-    lefts = [b[0] for b in boxes if b is not None] if boxes is not None else []
-    edge = sorted(lefts)[len(lefts) // 10] if lefts else 0
+    known = [b for b in boxes if b is not None] if boxes is not None else []
+    edge = sorted(b[0] for b in known)[len(known) // 10] if known else 0
+    usual = median([b[3] - b[1] for b in known if b[3] > b[1]] or [1])
+    letter = _letter(boxes, [s for _, s in spans]) if known else 1.0
     for k, (start, s) in enumerate(spans):
         at = 0
         for c, part in enumerate(s.split(ACROSS)):
@@ -156,7 +177,9 @@ def _read_across(spans: list[tuple[int, str]], boxes: list | None) -> list[tuple
                 while len(flows) <= c:
                     flows.append([])
                 ln = Line(start + at + m.start(), start + at + m.end(), 0, k, 0, m.end() - m.start())
-                inset = c == 0 and boxes is not None and boxes[k] is not None and INSET[0] < boxes[k][0] - edge < INSET[1]
+                aside = boxes[k][0] - edge if c == 0 and boxes is not None and boxes[k] is not None else 0
+                inset = INSET[0] * usual < aside < INSET[1] * usual
+                ln.inset = round(2 * aside / letter) if inset else 0
                 ln.kind = ADVERT if inset else HEADING_BLOCK if _is_upper(part) or _is_title(part) else BODY
                 flows[c].append(ln)
             at += len(part) + len(ACROSS)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.layout import ADVERT, BODY, Line, read_page
+from tickloom.session import Scratch
 
 # Codes of languages with several spellings.
 CODES = {
@@ -31,7 +32,7 @@ CODES = {
 TERMINALS = ".!?…。！？．।॥|۔؟·"
 OPENERS, CLOSERS, EITHER = "„«“‘»「『", "”»“’«‘」』", "\"'"
 BROKEN = "-¬‐­"
-#: Longest quotation or bracket, in characters, that is taken as one.
+#: Longest quotation or bracket, in characters, that is taken as one: in longer ones a mark is missing.
 LONGEST_QUOTE, LONGEST_BRACKET = 900, 160
 #: Lengths of the strings before blanks among which sentence enders of Thai are sought.
 ENDER_LENGTHS = (3, 4)
@@ -48,6 +49,9 @@ OWN_WORDS = 15
 #: A labelled group without common words of its own is left for another if the text has that one's
 #: common words at least this often, as a multiple of their share there.
 FOREIGN_SHARE = 0.5
+#: Characters before a mark in which its word is sought. The score of an abbreviation shrinks with
+#: exp(-letters), so none of this length is ever learned, and longer words need not be seen whole.
+LOOK_BACK = 64
 #: Stands for any number before a period in the counts of pairs.
 NUMBER = "#"
 
@@ -141,7 +145,7 @@ def count_text(text: str, lang: str | None, counts: Counter, raw: dict[str, Coun
     for m in _FOLLOW.finditer(joined):
         p, mark = m.start(), m[1]
         if mark == ".":
-            before = joined[max(0, p - 24) : p + 1].split()[-1]
+            before = joined[max(0, p - LOOK_BACK) : p + 1].split()[-1]
             found = unit.findall(before)
             word = None
             if found and found[-1][-1] == ".":
@@ -251,7 +255,7 @@ def _llr_column(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when((n1 <= 0) | (n2 <= 0), F.lit(0.0)).when(k1 / n1 >= k2 / n2, v).otherwise(-v)
 
 
-def _followers(stats: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _followers(stats: DataFrame, candidates: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Sentence starters (grp, follower) and collocations (grp, word, follower).
 
     Sure ends are closing marks other than periods, and periods after words that are no
@@ -279,7 +283,7 @@ def _followers(stats: DataFrame, candidates: DataFrame) -> tuple[DataFrame, Data
         .filter(_llr_column(F.col("k"), F.col("ends"), F.least(elsewhere, others), others) > STARTER).select("grp", "follower")
     )
     by_word = open_.groupBy("grp", "word").agg(F.sum("n").alias("whole"))
-    starters = starters.persist()
+    starters = scratch.write(starters)
     doubtful = open_.filter("n >= 2").join(starters.withColumn("starts", F.lit(True)), ["grp", "follower"], "left").filter((F.col("word") == NUMBER) | (F.col("starts") & (F.length("word") > 1)))
     collocations = (
         doubtful.join(by_word, ["grp", "word"]).join(ends, "grp").join(starts, ["grp", "follower"], "left")
@@ -348,11 +352,12 @@ MODEL_BOUND = 200_000
 def learn(documents: DataFrame) -> Model:
     """The model of a corpus; see `statistics`. Only words that pass their tests reach the driver,
     at most MODEL_BOUND of a kind (real languages have some hundred)."""
-    stats = statistics(documents).persist()
+    scratch = Scratch(documents.sparkSession, "sentences")
+    stats = scratch.write(statistics(documents))
     model = Model()
     base = {r["grp"]: r for r in stats.filter("what like 'b_'").groupBy("grp").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("what").isin("bD", "bq"), F.col("n")).otherwise(0)).alias("k")).collect()}
-    candidates = _abbreviation_rows(stats).persist()
+    candidates = scratch.write(_abbreviation_rows(stats))
     for r in _bounded(candidates):
         single = r["single"]
         follows = r["fU"] + r["fD"] + r["fq"] + r["fl"]
@@ -366,13 +371,11 @@ def learn(documents: DataFrame) -> Model:
         if share > 0.45 * max(ends, 0.1) and not single:
             continue  # its periods behave as those of any word at a sentence's end
         model.abbreviations[r["grp"]][r["item"]] = "M" if share > 0.02 and not single else "A"
-    starters, collocations = _followers(stats, candidates)
+    starters, collocations = _followers(stats, candidates, scratch)
     for r in _bounded(starters):
         model.starters[r["grp"]].add(r["follower"])
     for r in _bounded(collocations):
         model.collocations[r["grp"]].add((r["word"], r["follower"]))
-    candidates.unpersist()
-    starters.unpersist()
     commas = stats.filter("what in ('kU', 'kl')").groupBy("grp").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("what") == "kU", F.col("n")).otherwise(0)).alias("k"))
     model.plain_commas = {r["grp"] for r in commas.collect() if r["k"] < CAPITALS_AFTER_COMMAS * r["n"]}
@@ -396,7 +399,7 @@ def learn(documents: DataFrame) -> Model:
     for r in _common_rows(stats).collect():
         model.common[r["grp"]].add(r["item"])
         model.share[r["grp"]] = model.share.get(r["grp"], 0) + r["n"] / r["size"]
-    stats.unpersist()
+    scratch.drop(stats, candidates, starters)
     return model
 
 
@@ -479,8 +482,16 @@ class Splitter:
         pairs, brackets = _quotes(s, self.solid)
         closes = {b: a for a, b in pairs}
         bracket_closes = {b: a for a, b in brackets}
-        spans = sorted(pairs + brackets)
-        starts = [a for a, _ in spans]
+        # neither quotations nor brackets nest, so that of each only the last one begun can be open
+        kinds = [(spans, [a for a, _ in spans]) for spans in (sorted(pairs), sorted(brackets))]
+
+        def goes_on(at, behind):
+            for spans, starts in kinds:
+                k = bisect_right(starts, at)
+                if k and spans[k - 1][1] >= behind:
+                    return True
+            return False
+
         found: list[int] = []
         begin, n = 0, len(s)
         thai = self.script == "thai"
@@ -500,8 +511,7 @@ class Splitter:
                 continue  # within or before a number
             after = _TAIL.match(s, q).end()
             # within a quotation or bracket that goes on behind the mark?
-            k = bisect_right(starts, p)
-            if any(b >= after for _, b in spans[max(0, k - 3) : k]):
+            if goes_on(p, after):
                 continue
             tail = s[q:after]
             close = next((i for i in range(after - 1, q - 1, -1) if i in closes), None) if tail else None
@@ -522,13 +532,12 @@ class Splitter:
             found.append(after)
             begin = after
         if self.commas:
-            found += self._misread_commas(s, starts, spans)
+            found += self._misread_commas(s, goes_on)
         # quotations that end without a mark of their own never end a sentence; paragraphs do
         extra = []
         for at, paragraph in breaks:
             if paragraph or thai and any(s[max(0, at - k) : at] in self.enders for k in ENDER_LENGTHS):
-                k = bisect_right(starts, at) - 1
-                if k >= 0 and spans[k][0] < at <= spans[k][1] and not thai:
+                if not thai and goes_on(at - 1, at):
                     continue
                 extra.append(at)
         if thai:
@@ -546,14 +555,13 @@ class Splitter:
                 last = e
         return merged
 
-    def _misread_commas(self, s: str, starts: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    def _misread_commas(self, s: str, goes_on) -> list[int]:
         """Commas after a common word and before a capital that begins no name: misread periods."""
         out = []
         for m in _CAPITAL.finditer(s):
-            k = bisect_right(starts, m.start()) - 1
-            if k >= 0 and m.start() < spans[k][1] or m[2][-1] == "." or len(m[2]) < 2:
+            if m[2][-1] == "." or len(m[2]) < 2 or goes_on(m.start(), m.start() + 1):
                 continue
-            word = s[max(0, m.start() - 24) : m.start(1)].split()
+            word = s[max(0, m.start() - LOOK_BACK) : m.start(1)].split()
             if word and word[-1].islower():
                 out.append(m.end(1))
         return out
@@ -578,7 +586,7 @@ class Splitter:
             return not (self.cased and ch.islower())
         if mark not in ".·":
             return True
-        before = _SPLIT_WORD.split(s[max(begin, p - 28) : p])[-1]
+        before = _SPLIT_WORD.split(s[max(begin, p - LOOK_BACK) : p])[-1]
         if not before:
             return bool(s[begin:p].strip()) and not ch.islower() if ch else True
         glued = nxt == after and ch != ""
@@ -587,8 +595,8 @@ class Splitter:
                 return True
             if glued and ch.isalnum():
                 return False
-            number = _NUMBER.search(s[max(begin, p - 16) : p])
-            opening = number is not None and not s[begin : max(begin, p - 16) + number.start()].strip(" \n\"'“„«‘—»")
+            number = _NUMBER.search(s[max(begin, p - LOOK_BACK) : p])
+            opening = number is not None and not s[begin : max(begin, p - LOOK_BACK) + number.start()].strip(" \n\"'“„«‘—»")
             if opening or number is not None and number[0].startswith("§"):
                 return False
             if number is not None and (NUMBER, self._follower(s, nxt)) in self.collocations:
@@ -611,6 +619,9 @@ class Splitter:
             return ch == "" or not ch.isalpha() or ch.islower() and self.cased
         return True
 
+    def is_abbreviation(self, word: str) -> bool:
+        return word in self.abbr or word in self.misread
+
     def _follower(self, s: str, nxt: int) -> str:
         word = (_WORD if self.cased else _UNIT).match(s, nxt)
         return word[0].rstrip(".").lower() if word else ""
@@ -669,7 +680,8 @@ def _statements(text: str, lines: list[Line], splitter: Splitter, room: int) ->
     case = None
     for i, ln in enumerate(lines):
         part = text[ln.start : ln.end]
-        letters = [c for c in re.sub(r"Tel\.", "", part) if c.isalpha()]
+        # abbreviations keep their small letters amid capitals
+        letters = [c for w in part.split() if w[-1] != "." or not splitter.is_abbreviation(w[:-1]) for c in w if c.isalpha()]
         now = None if len(letters) < 2 else sum(c.isupper() for c in letters) > 0.6 * len(letters)
         if i and now is not None and case is not None and now != case:
             ends.add(marks[i] - (1 if marks[i] and s[marks[i] - 1] == "\n" else 0))
@@ -703,7 +715,8 @@ def split_page(text: str | None, boxes: list | None, lang: str | None, model: Mo
             s, marks, offsets, breaks = _join(text, lines, splitter.solid, splitter.cased, room)
             out += [_back(e, marks, offsets) for e in splitter.ends(s, breaks)]
         elif kind == ADVERT:
-            out += _statements(text, lines, splitter, max([room - 7, *(ln.width for ln in lines)]))
+            aside = min((ln.inset for ln in lines if ln.inset), default=room)
+            out += _statements(text, lines, splitter, max([room - aside, *(ln.width for ln in lines)]))
         else:
             out.append(lines[-1].end)
     return out
