@@ -17,6 +17,8 @@ DOMAINS = {"en": "latin", "de": "latin", "fr": "latin", "es": "latin", "ru": "cy
 BUCKET = 2048
 #: Documents outside a source's prefix that may be added to come nearer to its budget.
 FITTED = 4
+#: Most rows of the table of targets, which pass the driver and are broadcast; more are an error.
+SOURCES_BOUND = 100_000
 
 
 def budgets(leaves: list[dict], total: float | None = None) -> dict[str, float]:
@@ -90,21 +92,12 @@ def budgets(leaves: list[dict], total: float | None = None) -> dict[str, float]:
     return at(low) if weight else {x["source"]: 0.0 for x in leaves}
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(chosen, shares) of documents `sizes` (doc_id, source, lang, tokens) and `targets`
-    (source, target_share, max_repeats).
-
-    chosen: (doc_id, source, tokens, repeats); shares: (source, target_share, budget_tokens,
-    tokens, share, documents, most_repeats) of every target. A source gives whole epochs and of
-    the next one, in an order seeded by the epoch, the documents whose running sum of tokens
-    is within its budget, and up to FITTED others, each the one nearest to what is still missing. Running sums go by hash buckets of a source and then within the
-    one bucket that the budget ends in, so a source that holds most documents is no single task.
-    Documents of sources without a target, NULL sources, and documents without tokens or an id
-    are not used; repeated documents count once. `targets` is a small table: its rows pass the driver; repeated rows count once.
-    """
+def _planned(sizes: DataFrame, targets: DataFrame, total: float | None, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of listed sources, the rows of the targets, and the plan of each source."""
     spark = sizes.sparkSession
-    scratch = Scratch(spark, "mixture")
-    wanted = [r.asDict() for r in targets.dropDuplicates(["source"]).filter("source is not null").collect()]
+    wanted = [r.asDict() for r in targets.dropDuplicates(["source"]).filter("source is not null").limit(SOURCES_BOUND + 1).collect()]
+    if len(wanted) > SOURCES_BOUND:
+        raise ValueError("too many sources")
     rows = spark.createDataFrame([(r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in wanted], "source string, target_share double, max_repeats int")
     once = sizes.filter("tokens > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "lang")).alias("d")).select("doc_id", "d.*")
     docs = scratch.write(once.join(F.broadcast(rows.select("source")), "source").select("doc_id", "source", "lang", "tokens"))
@@ -128,6 +121,31 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
         epochs, rest = divmod(budget, x["tokens"]) if x["tokens"] else (0, 0)
         plan.append((x["source"], budget, int(epochs), int(rest), max(1, -(-x["docs"] // BUCKET))))
     planned = spark.createDataFrame(plan, "source string, budget_tokens long, epochs int, rest long, buckets long")
+    return docs, rows, planned
+
+
+def planned(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """(source, budget_tokens, epochs, rest, buckets) of every target: its budget as whole epochs and a rest."""
+    return _planned(sizes, targets, total, Scratch(sizes.sparkSession, "mixture"))[2]
+
+
+def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(chosen, shares) of documents `sizes` (doc_id, source, lang, tokens) and `targets`
+    (source, target_share, max_repeats).
+
+    chosen: (doc_id, source, tokens, repeats); shares: (source, target_share, budget_tokens,
+    tokens, share, documents, most_repeats) of every target. A source gives whole epochs and of
+    the next one, in an order seeded by the epoch, the documents whose running sum of tokens
+    is within its budget, and up to FITTED others, each the one nearest to what is still missing. Running sums go by hash buckets of a source and then within the
+    one bucket that the budget ends in, so a source that holds most documents is no single task. What a
+    source gives differs from its budget by less than its longest document: the prefix stops at the
+    first one that doesn't fit, and each document added brings the sum nearer.
+    Documents of sources without a target, NULL sources, and documents without tokens or an id
+    are not used; repeated documents count once. `targets` is a small table: its rows pass the driver; repeated rows count once.
+    """
+    spark = sizes.sparkSession
+    scratch = Scratch(spark, "mixture")
+    docs, rows, planned = _planned(sizes, targets, total, scratch)
     h = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
     # buckets follow the order of the hash, so buckets and documents are ordered alike
     step = F.floor(F.shiftrightunsigned(h, 1) / (F.lit(2.0**63) / F.col("buckets"))).cast("long")

@@ -60,7 +60,7 @@ def pack(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _PACKED = "container string, container_id string, place long, doc_id long, piece long, token_from long, tokens long, loss_tokens long, capacity long"
 
 
-def _pack_groups(items: DataFrame, round_no: int) -> DataFrame:
+def _pack_groups(items: DataFrame, round_no: int, groups: int) -> DataFrame:
     """Items (container, capacity, limits, grp, ...) packed per container size and group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +71,9 @@ def _pack_groups(items: DataFrame, round_no: int) -> DataFrame:
         grp = int(pdf["grp"].iloc[0])
         return pdf.assign(container_id=[f"{round_no}-{grp}-{b}" for b in bins.tolist()], place=places)[["container", "container_id", "place", "doc_id", "piece", "token_from", "tokens", "loss_tokens", "capacity"]]
 
-    return items.groupBy("container", "grp").applyInPandas(run, _PACKED)
+    # a number of partitions of its own: packing is bound by CPU, and its few bytes would be coalesced into few tasks
+    tasks = min(groups, 16 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return items.repartition(tasks, "container", "grp").groupBy("container", "grp").applyInPandas(run, _PACKED)
 
 
 def fill(
@@ -79,7 +81,7 @@ def fill(
 ) -> DataFrame:
     """Containers of each size of `capacities` (container, capacity_tokens) for documents
     `sizes` (doc_id, tokens, prompt_tokens): (container, container_id, place, doc_id, piece,
-    token_from, tokens).
+    token_from, tokens, loss_tokens).
 
     A container holds at most its capacity in tokens, capacity // tokens_per_segment segments (1
     at least) and loss_share of its capacity in loss-bearing tokens (those behind the prompt). A document
@@ -94,7 +96,7 @@ def fill(
     scratch = Scratch(spark, "packing")
     kinds = [(r["container"], int(r["capacity_tokens"])) for r in capacities.dropDuplicates().collect() if r["capacity_tokens"]]
     if not kinds:
-        return spark.createDataFrame([], _PACKED).drop("loss_tokens", "capacity")
+        return spark.createDataFrame([], _PACKED).drop("capacity")
     once = sizes.filter("tokens > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("tokens", "prompt_tokens")).alias("d"))
     docs = scratch.write(once.select("doc_id", "d.tokens", F.coalesce("d.prompt_tokens", F.lit(0)).alias("prompt_tokens")))
     options = F.array(*(
@@ -120,7 +122,7 @@ def fill(
     rest = scratch.write(pieces.filter("tokens < capacity"))
     groups = max(1, -(-rest.count() // (group * len(kinds))))
     keyed = lambda df, n, seed: df.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "piece"), F.lit(n)))
-    first = scratch.write(_pack_groups(keyed(rest, groups, 1), 1))
+    first = scratch.write(_pack_groups(keyed(rest, groups, 1), 1, groups * len(kinds)))
     out = first
     if groups > 1:
         # the size of a container's group is bounded by its segments
@@ -130,9 +132,9 @@ def fill(
         n = max(1, -(-again.count() // (group * len(kinds))))
         limits = F.element_at(F.filter(options, lambda o: o["container"] == F.col("container")), 1)
         loose = again.select("doc_id", "piece", "token_from", "tokens", "loss_tokens", "container", "capacity", limits["segments"].alias("segments"), limits["loss_limit"].alias("loss_limit"))
-        out = first.join(poor, ["container", "container_id"], "left_anti").unionByName(_pack_groups(keyed(loose, n, 2), 2))
+        out = first.join(poor, ["container", "container_id"], "left_anti").unionByName(_pack_groups(keyed(loose, n, 2), 2, n * len(kinds)))
     # a piece of a whole container's size is alone in one
     alone = full.select(
-        "container", F.concat_ws("-", F.lit("0"), "doc_id", "piece").alias("container_id"), F.lit(0).cast("bigint").alias("place"), "doc_id", "piece", "token_from", "tokens"
+        "container", F.concat_ws("-", F.lit("0"), "doc_id", "piece").alias("container_id"), F.lit(0).cast("bigint").alias("place"), "doc_id", "piece", "token_from", "tokens", "loss_tokens"
     )
-    return out.select("container", "container_id", "place", "doc_id", "piece", "token_from", "tokens").unionByName(alone)
+    return out.select("container", "container_id", "place", "doc_id", "piece", "token_from", "tokens", "loss_tokens").unionByName(alone)
