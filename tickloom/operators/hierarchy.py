@@ -319,59 +319,55 @@ class Forest:
         """(node, root, depth, path): the ids from the root to the node, from the intervals.
 
         Nodes are sorted by (root, entry) over range partitions; in this order a node's
-        ancestors are the intervals still open, a stack. Each partition begins with the
-        intervals that those before it leave open, at most one path from each, so a tree of any
-        size spreads over partitions.
+        ancestors are the intervals still open, a stack. The intervals that a partition leaves
+        open (at most one path of it) join the first rows of later partitions, which they come before
+        as rows of their own, so a tree of any size spreads over partitions and no path
+        passes the driver. Broadcast is one row per partition.
         """
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = self.scratch.write(
             self.placed().select("node", "root", "depth", "entry", "exit").repartitionByRange(parts, "root", "entry")
             .sortWithinPartitions("root", "entry").withColumn("part", F.spark_partition_id())
         )
-        ends = ordered.groupBy("part").agg(F.min(F.struct("root", "entry")).alias("f"), F.max(F.struct("root", "entry")).alias("l"))
+        ends = self.scratch.write(ordered.groupBy("part").agg(F.min(F.struct("root", "entry")).alias("f"), F.max(F.struct("root", "entry")).alias("l")))
         last = ends.select("part", F.col("l.root").alias("last_root"), F.col("l.entry").alias("last_entry"))
-        left_open = (
-            ordered.filter("exit > entry + 1")
-            .join(F.broadcast(last), "part")  # one row per partition
-            .filter("root = last_root and exit > last_entry")
-            .groupBy("part").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "exit"))).alias("opened"))
-        )
-        opened = {r["part"]: [(o["node"], o["exit"]) for o in r["opened"]] for r in left_open.collect()}  # at most one path per partition
-        carried, stack, before = {}, [], None
-        for r in sorted(ends.select("part", "f", "l").collect(), key=lambda r: r["part"]):
-            stack = [x for x in stack if before == r["f"]["root"] and x[1] > r["f"]["entry"]]
-            carried[r["part"]] = stack
-            keep = [x for x in stack if r["l"]["root"] == r["f"]["root"] and x[1] > r["l"]["entry"]]
-            stack, before = keep + opened.get(r["part"], []), r["l"]["root"]
-        carry = self.spark.sparkContext.broadcast(carried)
+        first = ends.select(F.col("part").alias("later"), F.col("f.root").alias("root"), F.col("f.entry").alias("first_entry"))
+        left_open = ordered.filter("exit > entry + 1").join(F.broadcast(last), "part").filter("root = last_root and exit > last_entry")
+        carried = left_open.join(F.broadcast(first), "root").filter("later > part and first_entry < exit")
+        columns = ["node", "root", "depth", "entry", "exit"]
+        rows = ordered.select(*columns, "part", F.lit(True).alias("own")).unionByName(carried.select(*columns, F.col("later").alias("part"), F.lit(False).alias("own")))
 
         def sweep(it):
-            stack, at, root_now = None, None, None
+            stack, now = [], None
             for pdf in it:
                 out = []
                 for node, root, entry, exit_, part in zip(*(pdf[c].tolist() for c in ("node", "root", "entry", "exit", "part")), strict=True):
-                    if part != at:
-                        at, stack, root_now = part, list(carry.value.get(part, ())), root
-                    if root != root_now:
-                        stack, root_now = [], root
+                    if (part, root) != now:
+                        stack, now = [], (part, root)
                     while stack and stack[-1][1] < entry:
                         stack.pop()
                     out.append([*(a for a, _ in stack), node])
                     if exit_ > entry + 1:
                         stack.append((node, exit_))
-                yield pd.DataFrame({"node": pdf["node"], "root": pdf["root"], "depth": pdf["depth"], "path": out})
+                found = pd.DataFrame({"node": pdf["node"], "root": pdf["root"], "depth": pdf["depth"], "path": out})
+                yield found[pdf["own"]]
 
         # files hold one sorted range each; reading must neither split nor join them
-        one_each = ordered.repartition(parts, "part").sortWithinPartitions("part", "root", "entry")
+        one_each = rows.repartition(parts, "part").sortWithinPartitions("part", "root", "entry")
         return one_each.mapInPandas(sweep, "node long, root long, depth long, path array<long>")
 
+    def intervals(self) -> DataFrame:
+        """(node, root, entry, exit, descendants): the descendants of a node are the nodes of its root
+        whose entry lies between its entry and its exit; `closure` lists them one by one."""
+        return self.placed().select("node", "root", "entry", "exit", "descendants")
+
     def closure(self) -> DataFrame:
         """(ancestor, node, distance) for every node and each of its ancestors."""
         p = self.paths().select("node", "depth", F.posexplode("path").alias("at", "ancestor"))
         return p.filter("ancestor <> node").select("ancestor", "node", (F.col("depth") - F.col("at")).alias("distance"))
 
 
-def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = (), small: int = SMALL) -> Forest:
+def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = (), small: int | None = None) -> Forest:
     """Rank the trees of parent-child rows.
 
     NULL nodes are dropped; NULL parents, those in `none` and those without a row end the path,
@@ -379,7 +375,7 @@ def hierarchy(df: DataFrame, node: str, parent: str, none: tuple = (), small: in
     once. Nodes on or under cycles are in `cyclic`, their trees in `cut()`. An empty table gives an
     empty forest.
     """
-    spark = df.sparkSession
+    spark, small = df.sparkSession, SMALL if small is None else small
     scratch = Scratch(spark, "forest")
     nodes = scratch.write(clean_edges(df, node, parent, none))
     edges, n = scratch.counted(

@@ -49,8 +49,8 @@ def _nodes(name: str, forest: hierarchy.Forest) -> DataFrame:
     )
 
 
-def _pairs(name: str, forest: hierarchy.Forest) -> DataFrame:
-    return forest.closure().select(F.lit(name).alias("tree"), "ancestor", F.col("node").alias("descendant"), "distance")
+def _intervals(name: str, forest: hierarchy.Forest) -> DataFrame:
+    return forest.intervals().select(F.lit(name).alias("tree"), F.col("node").alias("node_id"), F.col("root").alias("root_id"), "entry", "exit", "descendants")
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -60,9 +60,10 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every (ancestor, descendant) with their distance; those on or under cycles are in
-    p2_cut_descendants."""
-    return _each(spark, d, _pairs)
+    """The descendants of every node, as intervals: those nodes of its root whose entry lies between its
+    entry and its exit. So n rows name them all; `Forest.closure` lists the pairs. Nodes on or
+    under cycles are in p2_cut_descendants."""
+    return _each(spark, d, _intervals)
 
 
 def p2_cut_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def p2_cut_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_cut_descendants(spark: SparkSession, d: str) -> DataFrame:
     """p2_descendants of the nodes on or under cycles, cut above the smallest id of each cycle."""
-    return _each(spark, d, lambda name, forest: _pairs(name, forest.cut()))
+    return _each(spark, d, lambda name, forest: _intervals(name, forest.cut()))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -168,17 +169,12 @@ SQL = {
       below as (select tree, anc as node, count(*) as n from up group by 1, 2)
       select d.tree, d.node as node_id, d.root as root_id, d.depth, coalesce(b.n, 0) as descendants, w.path
       from deep d join walk w on w.tree = d.tree and w.node = d.node left join below b on b.tree = d.tree and b.node = d.node""",
-    "p2_descendants": f"""with recursive {_TREES}
-      select u.tree, u.anc as ancestor, u.node as descendant, d.depth - a.depth as distance
-      from up u join deep d on d.tree = u.tree and d.node = u.node join deep a on a.tree = u.tree and a.node = u.anc""",
     "p2_cut_hierarchy": f"""with recursive {_CUT}, walk as (
         select tree, node, cast(0 as bigint) as depth, cast(node as varchar) as path from cut where parent is null
         union all select f.tree, f.node, w.depth + 1, w.path || '/' || f.node from walk w join cut f on f.tree = w.tree and f.parent = w.node),
       below as (select tree, anc as node, count(*) as n from climb group by 1, 2)
       select c.tree, c.node as node_id, c.root as root_id, w.depth, coalesce(b.n, 0) as descendants, w.path
       from cut c join walk w on w.tree = c.tree and w.node = c.node left join below b on b.tree = c.tree and b.node = c.node""",
-    "p2_cut_descendants": f"""with recursive {_CUT}
-      select tree, anc as ancestor, node as descendant, cast(distance as bigint) as distance from climb""",
     "p3_found": f"with {_REFS} select kind, source, target from orphans",
     "p3_report": f"""with {_REFS} select kind, table_name, cast(cast(arrived_at as date) as varchar) as day, count(*) as orphan_references,
         count(distinct target) as orphan_targets from orphans group by 1, 2, 3""",
