@@ -85,6 +85,20 @@ def test_repeated_documents_count_once_and_those_without_an_id_are_left_out(spar
     assert sorted(map(tuple, chosen.collect())) == [(1, "a", 10, 1), (2, "b", 10, 1)]
 
 
+def test_a_source_misses_its_budget_by_less_than_a_document(spark):
+    """Also where sources run short and repeat."""
+    docs = sample(2000)
+    longest = {}
+    for _, s, _, n in docs:
+        longest[s] = max(longest.get(s, 0), n)
+    whole = sum(n for _, s, _, n in docs if s in ("big", "mid", "small"))
+    for total in (None, 0.3 * whole, whole, 2.0 * whole):
+        _, shares = M.mixture(*frames(spark, docs, TARGETS), total=total)
+        for r in shares.collect():
+            assert abs(r["tokens"] - r["budget_tokens"]) <= longest.get(r["source"], 0) or r["tokens"] == r["budget_tokens"] == 0
+        assert total is None or abs(sum(r["tokens"] for r in shares.collect()) - min(total, 1.0 * sum(r["budget_tokens"] for r in shares.collect()))) <= 1200
+
+
 def test_empty_documents_and_targets(spark):
     chosen, shares = M.mixture(*frames(spark, [], TARGETS))
     assert chosen.count() == 0 and shares.count() == 4

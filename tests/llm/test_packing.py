@@ -49,6 +49,21 @@ def test_limits_hold_and_little_is_unused(spark, share, group):
         assert filled > (0.93 if share == 1.0 else 0.4)
 
 
+def test_all_three_limits_bind(spark):
+    """Items heavy in one resource each: containers are full by tokens, by segments and by loss."""
+    rng = random.Random(5)
+    docs = [(i, rng.randrange(90, 130), 0) for i in range(200)]  # all bear loss
+    docs += [(1000 + i, rng.randrange(200, 260), 190) for i in range(200)]  # mostly prompt
+    docs += [(2000 + i, rng.randrange(1, 4), 0) for i in range(1500)]  # tiny
+    rows = K.fill(*frames(spark, docs, [("c", 1024)]), loss_share=0.5, tokens_per_segment=64).collect()
+    assert dict(check(rows, docs, [("c", 1024)], 0.5, 64))
+    per = {}
+    for r in rows:
+        t, n, x = per.get(r["container_id"], (0, 0, 0))
+        per[r["container_id"]] = t + r["tokens"], n + 1, x + r["loss_tokens"]
+    assert sum(t > 900 for t, _, _ in per.values()) > 10 and sum(n == 16 for _, n, _ in per.values()) > 10 and sum(x > 480 for _, _, x in per.values()) > 10
+
+
 def test_many_tiny_and_equal_items_keep_the_segment_limit(spark):
     docs = [(i, 1, 0) for i in range(300)] + [(1000 + i, 100, 0) for i in range(50)]
     rows = K.fill(*frames(spark, docs, [("c", 160)])).collect()

@@ -63,6 +63,19 @@ def test_blocks_combine_into_the_whole(spark):
     }
 
 
+def test_combined_runs_give_the_same(spark):
+    """Runs of blocks made one by their group, equal values together."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.randrange(9), rng.randrange(400)) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "g string, block int, v long").repartition(5)
+    summary = P.summarise(df, ["g", "block"], "v", eps=0)
+    qs = [0.01, 0.5, 0.99]
+    one = sorted(map(str, P.select(summary.drop("block"), ["g"], qs).collect()))
+    few = P.combine(summary, ["g"])
+    assert few.count() <= 15 and sorted(map(str, P.select(few, ["g"], qs).collect())) == one
+    assert P.combine(summary.limit(0), ["g"]).count() == 0
+
+
 def test_nulls_single_values_and_empty_tables(spark):
     rows = [("a", 0, None), ("b", 0, 4), (None, 0, 1), (None, 0, 1)]
     got = sorted(((r["g"], r["q"], r["n"], r["value"]) for r in P.select(P.summarise(frame(spark, rows), ["g"], "value"), ["g"], [0.5, 0.99]).collect()), key=str)
