@@ -1,9 +1,14 @@
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import hierarchy as H
+from tickloom.plans import problems
+
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def brute(rows, none=()):
@@ -108,11 +113,31 @@ def test_same_result_on_more_partitions(spark):
     out = []
     for parts in ("1", "13"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        out.append(sorted(map(tuple, H.hierarchy(df, "n", "p", small=0).placed().select("node", "root", "depth", F.col("descendants")).collect())))
+        f = H.hierarchy(df, "n", "p", small=0)
+        out.append(sorted(map(tuple, f.placed().select("node", "root", "depth", F.col("descendants")).collect())))
+        assert {r["node"]: list(r["path"]) for r in f.paths().collect()} == {n: v[2] for n, v in brute(rows)[0].items()}
+        at = {r["node"]: r for r in f.intervals().collect()}
+        below = {n: {m for m, v in brute(rows)[0].items() if n in v[2][:-1]} for n in list(at)[:40]}
+        for n, want in below.items():
+            assert {m for m, r in at.items() if r["root"] == at[n]["root"] and at[n]["entry"] < r["entry"] < at[n]["exit"]} == want
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
 
 
+@pytest.mark.parametrize("name", ["p2_found", "p2_hierarchy"])
+def test_queries_by_rounds_alone(spark, monkeypatch, name):
+    """Without any step finished by one task the queries give the rows of their SQL too."""
+    if not os.path.isdir(DIR):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(H, "SMALL", 0)
+    con = duckdb.connect()
+    for t in ("trace_transactions", "census_scopes"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    df = problems.QUERIES[name](spark, DIR)
+    want = con.sql(problems.SQL[name])
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in df.collect()))) == sorted(map(str, want.fetchall()))
+
+
 @pytest.mark.parametrize("small", [H.SMALL, 0])
 def test_trees_below_cycles_are_cut_above_the_smallest_id(spark, small):
     rng = random.Random(7)
