@@ -242,7 +242,8 @@ def trace_intervals(transactions: DataFrame, stages: DataFrame) -> DataFrame:
     per_generator = tx.select(
         F.lit("generator").alias("entity"), F.col("generator").cast("bigint").alias("entity_id"), F.lit("").alias("lane"), F.col("begin_tick").alias("b"), F.col("end_tick").alias("e")
     )
-    st = one_per_id(stages, "stage_id", "owner", "lane", "begin_tick", "end_tick")
+    # deliveries agree in these columns: distinct rows hash, where a minimum of text would sort
+    st = stages.filter("stage_id is not null").select("stage_id", "owner", "lane", "begin_tick", "end_tick").distinct()
     lane = F.coalesce(F.lower(F.regexp_replace("lane", r"^\s+|\s+$", "")), F.lit(""))
     cut = [F.lit("lane").alias("entity"), F.col("owner").alias("entity_id"), lane.alias("lane"), F.col("begin_tick").alias("b"), F.col("e")]
     closed = st.filter("end_tick is not null").withColumn("e", F.col("end_tick")).select(*cut)
