@@ -193,6 +193,7 @@ def test_time_bounds_prune_sections(source, tmp_path):
     assert source(path, "transactions").filter("begin <= 50 and end >= 40").count() == 1
     assert source(path, "transactions").filter("begin <= 39").count() == 0
     assert source(path, "changes").filter("time >= 7").count() == 4 and source(path, "changes").filter("time >= 8").count() == 0
+    assert source(path, "changes").filter("signal_id = 1").count() == 2 and source(path, "changes").filter("signal_id in (2, 3)").count() == 3
     r = C.TraceReader({"path": path, "table": "changes"})
     list(r.pushFilters([C.GreaterThanOrEqual(("time",), 8)]))
     assert [p.section for p in r.partitions()] == [None]

@@ -2,8 +2,9 @@
 
 `register` adds the format "tickloom": `spark.read.format("tickloom").option("table", t).load(path)`
 with t one of TABLES. The directory at the end of a file (or, for an unfinished one, a scan of its
-sections) is read when the query is planned; each data section becomes a partition, pruned by its
-time bounds against filters on begin and time, and is decoded where it is read.
+sections) is read when the query is planned; each data section becomes a partition, pruned by its time bounds against
+filters on begin, end and time, and is decoded where it is read, into Arrow batches; of waveforms only the
+signals that a filter names are decoded.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from tickloom.model import SECTION_KIND, STATES
 
@@ -146,10 +147,22 @@ class Catalogue:
     fingerprint: str | None
 
 
+def open_file(path: str):
+    """A file to read at any place, on the local disk or on any file system that Arrow knows by its URI."""
+    if ":/" not in path:
+        return open(path, "rb")
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def catalogue(path: str, prefix: bool = True) -> Catalogue:
     """Sections of a file by its directory; without a valid one by scanning from the start to the
     first section that is incomplete, unknown or fails its check sum (`prefix`; else an error)."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         head = f.read(32)
         need(len(head) == 32 and head[:8] == MAGIC, "not a recording")
         need(struct.unpack("<HH", head[8:12]) == VERSION, "unsupported version")
@@ -218,28 +231,30 @@ def payload_of(f, s: Section, checked: bool = True) -> bytes:
     return data
 
 
-def write_sections(path: str, identity: bytes, sections: list[tuple[int, bytes]], incomplete: bool = False, dropped: int = 0) -> None:
-    """Write a recording of (kind, payload) sections with its directory and trailer. The path must
-    be new; the file appears under it only when it is whole."""
+def write_sections(path: str, identity: bytes, sections: Iterable[tuple[int, bytes]], incomplete: bool = False, dropped: int = 0) -> None:
+    """Write a recording of (kind, payload) sections with its directory and trailer, one section at a
+    time. The path (on a local or mounted file system) must be new; the file appears under it only
+    when it is whole."""
     need(len(identity) == 16 and any(identity), "identity")
-    out, entries, at = [MAGIC + struct.pack("<HHI", *VERSION, 0) + identity], [], 32
-    for kind, payload in sections:
-        aux0, aux1, block = _bounds(kind, payload)
-        if kind in (STRINGS, HIERARCHY, DATATYPES, VALUES):
-            c = Cursor(payload if kind == DATATYPES else decompress(payload))
-            aux0, aux1 = c.varint(), c.varint()
-        out.append(struct.pack("<IIQII", kind, 0, len(payload), zlib.crc32(payload), 0) + payload)
-        entries.append(struct.pack("<IIQQQQQ", kind, 0, at, len(payload), aux0, aux1, block))
-        at += 24 + len(payload)
-    directory = struct.pack("<QQ", len(entries), dropped) + b"".join(entries)
-    out.append(struct.pack("<IIQII", DIRECTORY, 2 if incomplete else 0, len(directory), zlib.crc32(directory), 0) + directory)
-    out.append(struct.pack("<QQ", at, at + 24 + len(directory) + 24) + TRAILER)
+    path = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
     if os.path.exists(path):
         raise FileExistsError(path)
     part = f"{path}.{os.getpid()}.part"
     try:
         with open(part, "xb") as f:
-            f.writelines(out)
+            f.write(MAGIC + struct.pack("<HHI", *VERSION, 0) + identity)
+            entries, at = [], 32
+            for kind, payload in sections:
+                aux0, aux1, block = _bounds(kind, payload)
+                if kind in (STRINGS, HIERARCHY, DATATYPES, VALUES):
+                    c = Cursor(payload if kind == DATATYPES else decompress(payload))
+                    aux0, aux1 = c.varint(), c.varint()
+                f.write(struct.pack("<IIQII", kind, 0, len(payload), zlib.crc32(payload), 0) + payload)
+                entries.append(struct.pack("<IIQQQQQ", kind, 0, at, len(payload), aux0, aux1, block))
+                at += 24 + len(payload)
+            directory = struct.pack("<QQ", len(entries), dropped) + b"".join(entries)
+            f.write(struct.pack("<IIQII", DIRECTORY, 2 if incomplete else 0, len(directory), zlib.crc32(directory), 0) + directory)
+            f.write(struct.pack("<QQ", at, at + 24 + len(directory) + 24) + TRAILER)
         os.link(part, path)  # fails if the path has appeared meanwhile
     finally:
         if os.path.exists(part):
@@ -247,14 +262,13 @@ def write_sections(path: str, identity: bytes, sections: list[tuple[int, bytes]]
 
 
 def recover(source: str, target: str) -> int:
-    """Copy what can be verified of a recording to a new, sealed one; the bytes dropped. A complete
-    recording keeps its completion; the copy of any other is incomplete."""
+    """Copy what can be verified of a recording to a new, sealed one, section by section; the bytes
+    dropped. A complete recording keeps its completion; the copy of any other is incomplete."""
     cat = catalogue(source)
-    with open(source, "rb") as f:
+    with open_file(source) as f:
         f.seek(16)
         identity = f.read(16)
-        sections = [(s.kind, payload_of(f, s)) for s in cat.sections]
-    write_sections(target, identity, sections, cat.completion != "complete", cat.dropped_bytes)
+        write_sections(target, identity, ((s.kind, payload_of(f, s)) for s in cat.sections), cat.completion != "complete", cat.dropped_bytes)
     return cat.dropped_bytes
 
 
@@ -464,7 +478,7 @@ def read_nodes(c: Cursor, d: Declarations) -> None:
 def declarations(path: str, cat: Catalogue | None = None, before: int | None = None, checked: bool = True) -> Declarations:
     """All declarations, or those of sections before a data section (which may use no others)."""
     cat, d = cat or catalogue(path), Declarations()
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         for s in cat.sections:
             if before is not None and s.index >= before:
                 break
@@ -584,8 +598,38 @@ def _inverse(xform: int, raw: bytes, n: int, w: int) -> bytes:
     return a.tobytes()
 
 
-def signal_rows(data: bytes, d: Declarations) -> Iterator[tuple[int, int, int, str | None, float | None]]:
-    """(signal, time index, order, text, real) of a block's changes; see `block_times`."""
+def numbers(data: bytes) -> np.ndarray:
+    """All varints of a stream at once."""
+    a = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(a < 128)
+    need(not len(a) or len(ends) > 0 and ends[-1] == len(a) - 1, "truncated")
+    starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    size = ends - starts + 1
+    need(not len(size) or size.max() <= 10, "long varint")
+    place = np.arange(len(a)) - np.repeat(starts, size)
+    # the tenth byte has room for one bit
+    need(not len(a) or not (a[place == 9] > 1).any(), "varint out of range")
+    return np.add.reduceat((a & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts) if len(starts) else np.zeros(0, np.uint64)
+
+
+_CHARS = np.frombuffer(STATES.encode().ljust(16, b"?"), np.uint8)
+
+
+def unpack_all(width: int, states: int, data: bytes, n: int) -> pa.Array:
+    """The texts of n packed values of one alphabet."""
+    w, bits = packed_size(width, states), 1 if states == 2 else 2 if states == 4 else 4
+    raw = np.unpackbits(np.frombuffer(data, np.uint8).reshape(n, w), axis=1, bitorder="little")
+    need(not raw[:, width * bits :].any(), "padding must be zero")
+    codes = raw[:, : width * bits].reshape(n, width, bits) @ (1 << np.arange(bits))
+    need(not codes.size or codes.max() < (2 if states == 2 else 4 if states == 4 else 9), "bad state")
+    text = _CHARS[codes[:, ::-1]]
+    offsets = (np.arange(n + 1) * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes())])
+
+
+def signal_columns(data: bytes, d: Declarations, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray, pa.Array, pa.Array]]:
+    """(signal, time indices, texts, reals) of the signals that change in a block (see `block_times`), or
+    of the wanted ones: groups and columns of others aren't decoded."""
     c = Cursor(data)
     _, _, _, n_signals, group_size, n_dirty, n_groups, tt = struct.unpack("<QQIIIIII", c.take(40))
     c.take(tt)
@@ -593,87 +637,105 @@ def signal_rows(data: bytes, d: Declarations) -> Iterator[tuple[int, int, int, s
     index = [struct.unpack("<IIQ", c.take(16)) for _ in range(n_dirty)]
     c.take(4 * n_groups)
     area = c.at
-    aliases: list[tuple[int, int]] = []
-    columns: dict[int, list[tuple[int, str | None, float | None]]] = {}
-    for group, length, offset in index:
+    where = {group: (length, offset) for group, length, offset in index}
+
+    def group_of(group: int, only: set[int] | None) -> tuple[dict, list]:
+        length, offset = where[group]
         g = Cursor(data, area + offset, area + offset + length)
         first, n = group * group_size, g.varint()
         need(n == min(group_size, n_signals - first), "signals of the group")
-        for _ in range(g.varint()):
-            local, target = g.varint(), g.varint()
-            aliases.append((first + local, target))
+        aliases = [(first + g.varint(), g.varint()) for _ in range(g.varint())]
         g.blob()
         runs = [(g.varint(), g.byte(), g.varint()) for _ in range(g.varint())]
-        s = first
+        s, found = first, {}
         for count, xform, size in runs:
             need(xform <= 4, "unknown transform")
-            r = Cursor(decompress(g.take(size)))
-            lengths = [r.varint() for _ in range(count)]
-            for k in lengths:
-                if k:
-                    columns[s] = list(_column(Cursor(r.take(k)), d.signals[s], xform))
-                s += 1
-            r.done()
+            body = g.take(size)
+            if only is None or only & set(range(s, s + count)):
+                r = Cursor(decompress(body))
+                for k in [r.varint() for _ in range(count)]:
+                    column = r.take(k)
+                    if k and (only is None or s in only):
+                        found[s] = _column(column, d.signals[s], xform)
+                    s += 1
+                r.done()
+            else:
+                s += count
         need(s == first + n, "runs must cover the group")
         g.done()
-    for s, target in aliases:
+        return found, aliases
+
+    columns: dict = {}
+    shared: list[tuple[int, int]] = []
+    for group, _, _ in index:
+        if wanted is None or any(group * group_size <= s < (group + 1) * group_size for s in wanted):
+            found, aliases = group_of(group, wanted)
+            columns |= found
+            shared += [a for a in aliases if wanted is None or a[0] in wanted]
+    for s, target in shared:
+        if target not in columns and wanted is not None and target // group_size in where:
+            columns_of_target = group_of(target // group_size, {target})[0]
+            need(target in columns_of_target and s not in columns, "bad alias")
+            columns[s] = columns_of_target[target]
+            continue
         need(target in columns and s not in columns, "bad alias")
         columns[s] = columns[target]
     for s in sorted(columns):
-        for order, (at, text, real) in enumerate(columns[s]):
-            yield s, at, order, text, real
+        yield s, *columns[s]
 
 
-def _column(c: Cursor, signal: tuple[str, int, int], xform: int) -> Iterator[tuple[int, str | None, float | None]]:
+def _column(data: bytes, signal: tuple[str, int, int], xform: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
     encoding, width, states = signal
-    at = 0
     if encoding == "bits" and width == 1:
-        code = None
-        while c.at < c.end:
-            v = c.varint()
-            if v & 1:
-                at, code = at + (v >> 5), (v >> 1) & 15
-                need(code < (2 if states == 2 else 4 if states == 4 else 9), "bad state")
-            else:
-                need(code in (0, 1), "toggle of an unknown value")
-                at, code = at + (v >> 1), code ^ 1
-            yield at, STATES[code], None
-        return
+        v = numbers(data)
+        given = (v & np.uint64(1)).astype(bool)
+        at = np.cumsum(np.where(given, v >> np.uint64(5), v >> np.uint64(1)).astype(np.int64))
+        need(not len(v) or given[0], "toggle of an unknown value")
+        code = np.where(given, (v >> np.uint64(1)) & np.uint64(15), 0).astype(np.int64)
+        need(not code.size or code.max() < (2 if states == 2 else 4 if states == 4 else 9), "bad state")
+        # toggles since the last code that stands there
+        since = np.maximum.accumulate(np.where(given, np.arange(len(v)), -1)) if len(v) else np.zeros(0, np.int64)
+        turns = np.cumsum(~given)
+        need(not (~given & (code[since] > 1)).any(), "toggle of an unknown value")
+        code = code[since] ^ ((turns - turns[since]) & 1) if len(v) else code
+        offsets = np.arange(len(v) + 1, dtype=np.int32)
+        text = pa.Array.from_buffers(pa.string(), len(v), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(_CHARS[code].tobytes())])
+        return at, text, pa.nulls(len(v), pa.float64())
+    c = Cursor(data)
     word = c.varint()
-    head, eligible, full = Cursor(c.take(word >> 2)), word >> 1 & 1, word & 1
-    entries = []
-    while head.at < head.end:
-        v = head.varint()
-        if encoding == "bits":
-            at, compact = at + (v >> 1), v & 1
-            entries.append((at, 2 if compact else states))
-        else:
-            at += v
-            entries.append((at, 0))
+    head, eligible, full = numbers(c.take(word >> 2)), word >> 1 & 1, word & 1
+    n = len(head)
+    at = np.cumsum((head >> np.uint64(1) if encoding == "bits" else head).astype(np.int64))
     body = c.data[c.at : c.end]
-    if eligible:
-        w = 8 if encoding == "real" else packed_size(width, states if full else 2)
-        if xform:
-            body = _inverse(xform, body, len(entries), w)
-    v = Cursor(body)
-    for at, alphabet in entries:
-        if encoding == "real":
-            yield at, None, struct.unpack("<d", v.take(8))[0]
-        elif encoding == "bytes":
-            yield at, v.blob().decode("utf-8", "replace"), None
-        else:
-            yield at, unpack(width, alphabet, v.take(packed_size(width, alphabet))), None
-    v.done()
+    if eligible and xform:
+        body = _inverse(xform, body, n, 8 if encoding == "real" else packed_size(width, states if full else 2))
+    if encoding == "real":
+        need(len(body) == 8 * n, "column length")
+        return at, pa.nulls(n, pa.string()), pa.array(np.frombuffer(body, "<f8"))
+    if encoding == "bytes":
+        v = Cursor(body)
+        texts = [v.blob().decode("utf-8", "replace") for _ in range(n)]
+        v.done()
+        return at, pa.array(texts, pa.string()), pa.nulls(n, pa.float64())
+    plain = (head & np.uint64(1)).astype(bool)
+    size = np.where(plain, packed_size(width, 2), packed_size(width, states))
+    need(int(size.sum()) == len(body), "column length")
+    if not n or plain.all() or not plain.any():
+        return at, unpack_all(width, 2 if n and plain[0] else states, body, n), pa.nulls(n, pa.float64())
+    raw, begin = np.frombuffer(body, np.uint8), np.append(0, np.cumsum(size)[:-1])
+    parts, order = [], []
+    for alphabet, rows in ((2, np.flatnonzero(plain)), (states, np.flatnonzero(~plain))):
+        span = begin[rows][:, None] + np.arange(packed_size(width, alphabet))
+        parts.append(unpack_all(width, alphabet, raw[span].tobytes(), len(rows)))
+        order.append(rows)
+    return at, pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(order)))), pa.nulls(n, pa.float64())
 
 
 def block_times(data: bytes) -> list[int]:
     """Ticks of a signal block's time table."""
     n, tt = struct.unpack_from("<I", data, 16)[0], struct.unpack_from("<I", data, 36)[0]
-    c, out = Cursor(decompress(data[40 : 40 + tt])), []
-    for i in range(n):
-        v = c.varint()
-        out.append(v if not i else out[-1] + v)
-    c.done()
+    out = np.cumsum(numbers(decompress(data[40 : 40 + tt]))).tolist()
+    need(len(out) == n, "length of the time table")
     need(not out or (out[0], out[-1]) == struct.unpack_from("<QQ", data), "time bounds")
     return out
 
@@ -904,64 +966,130 @@ _SECTIONS = {"changes": SIGNAL_BLOCK, "time_steps": SIGNAL_BLOCK, "transactions"
 
 @dataclass
 class Part(InputPartition):
+    """A data section with the declarations that stand before it, or the whole catalogue."""
+
     section: Section | None
+    cat: Catalogue
 
-    def __init__(self, section: Section | None):
+    def __init__(self, section: Section | None, cat: Catalogue):
         super().__init__(section.index if section else -1)
-        self.section = section
+        self.section, self.cat = section, cat
+
+
+#: Declarations by file and section, kept by each process: many sections share them.
+_known: dict[tuple, Declarations] = {}
+
+
+def _declared(path: str, cat: Catalogue, before: int, checked: bool) -> Declarations:
+    """Declarations of the sections before a data section, decoded once a process."""
+    last = max((s.index for s in cat.sections if s.index < before and s.kind in (META, STRINGS, HIERARCHY, DATATYPES, VALUES)), default=-1)
+    key = (path, cat.identity, cat.fingerprint, last, checked)
+    if key not in _known:
+        if len(_known) > 8:
+            _known.clear()
+        _known[key] = declarations(path, cat, last + 1, checked)
+    return _known[key]
+
+
+def _arrow(table: str) -> pa.Schema:
+    """The Arrow schema of a table, from its DDL of longs, ints, texts, and lists of them or of structures."""
+    plain = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+    def kind(ddl: str) -> pa.DataType:
+        if ddl.startswith("array<"):
+            return pa.list_(kind(ddl[6:-1]))
+        if ddl.startswith("struct<"):
+            return pa.struct([(f.split()[0], kind(f.split()[1])) for f in ddl[7:-1].split(", ")])
+        return plain[ddl]
+
+    fields, depth, at = [], 0, 0
+    ddl = TABLES[table] + ","
+    for i, ch in enumerate(ddl):
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            name, _, t = ddl[at:i].strip().partition(" ")
+            fields.append((name, kind(t)))
+            at = i + 1
+    return pa.schema(fields)
+
+
+_BOUNDS = {"changes": ("time", "time"), "time_steps": ("time", "time"), "transactions": ("begin", "end"), "located": ("begin", "end")}
+#: Rows of a batch.
+BATCH = 65_536
 
 
 class TraceReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.table = options["path"].removeprefix("file:").replace("//", "/"), options.get("table", "transactions")
+        self.path, self.table = options["path"], options.get("table", "transactions")
         if self.table not in TABLES:
             raise ValueError(f"no table {self.table!r}")
         self.prefix = options.get("mode", "PREFIX").upper() == "PREFIX"
         self.checked = options.get("checksums", "true").lower() == "true"
-        self.after, self.before = None, None
+        self.limit = int(options.get("payloadLimit", 1 << 62))
+        self.after, self.before, self.signals = None, None, None
 
     def pushFilters(self, filters):
-        """Bounds of time prune sections; every filter is applied to the rows by Spark too."""
+        """Bounds of time prune sections, and signals prune columns; every filter is applied to the
+        rows by Spark too."""
+        begin, end = _BOUNDS.get(self.table, (None, None))
         for f in filters:
-            name = {"changes": ("time", "time"), "transactions": ("begin", "end"), "located": ("begin", "end")}.get(self.table)
-            if name and isinstance(f, GreaterThanOrEqual) and f.attribute == (name[1],):
-                self.after = f.value
-            if name and isinstance(f, LessThanOrEqual) and f.attribute == (name[0],):
-                self.before = f.value
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            value = getattr(f, "value", None)
+            if isinstance(f, GreaterThanOrEqual | GreaterThan | EqualTo) and name is not None and name == end:
+                self.after = value if self.after is None else max(self.after, value)
+            if isinstance(f, LessThanOrEqual | LessThan | EqualTo) and name is not None and name == begin:
+                self.before = value if self.before is None else min(self.before, value)
+            if self.table == "changes" and name == "signal_id" and isinstance(f, EqualTo | In):
+                asked = {value} if isinstance(f, EqualTo) else set(value)
+                self.signals = asked if self.signals is None else self.signals & asked
             yield f
 
     def partitions(self):
+        cat = catalogue(self.path, self.prefix)
         kind = _SECTIONS.get(self.table)
         if kind is None:
-            return [Part(None)]
-        found = [s for s in catalogue(self.path, self.prefix).sections if s.kind == kind]
+            return [Part(None, cat)]
+        found = [s for s in cat.sections if s.kind == kind]
         found = [s for s in found if (self.after is None or s.aux1 >= self.after) and (self.before is None or s.aux0 <= self.before)]
-        return [Part(s) for s in found] or [Part(None)]
+        slim = Catalogue(cat.identity, [s for s in cat.sections if s.kind in (META, STRINGS, HIERARCHY, DATATYPES, VALUES)], cat.completion, cat.dropped_bytes, cat.fingerprint)
+        return [Part(s, slim) for s in found] or [Part(None, slim)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
-        cat = catalogue(self.path, self.prefix)
+    def read(self, partition: Part) -> Iterator:
         if self.table in _SECTIONS:
             if partition.section is not None:
-                yield from self._data(partition.section, cat)
+                need(partition.section.length <= self.limit, "payload exceeds the limit")
+                yield from self._data(partition.section, partition.cat)
             return
-        yield from self._small(cat)
+        yield from self._small(partition.cat)
 
-    def _data(self, s: Section, cat: Catalogue) -> Iterator[tuple]:
-        d = declarations(self.path, cat, s.index, self.checked)
-        with open(self.path, "rb") as f:
+    def _data(self, s: Section, cat: Catalogue) -> Iterator[pa.RecordBatch]:
+        d = _declared(self.path, cat, s.index, self.checked)
+        with open_file(self.path) as f:
             data = payload_of(f, s, self.checked)
         if s.kind == SIGNAL_BLOCK:
-            times = [long(t) for t in block_times(data)]
+            times = np.array([long(t) for t in block_times(data)], np.int64)
             if self.table == "time_steps":
-                yield from ((t,) for t in times)
+                yield pa.RecordBatch.from_arrays([pa.array(times)], ["time"])
                 return
-            for signal, at, order, text, real in signal_rows(data, d):
-                need(at < len(times), "time index")
-                yield signal, times[at], (s.index << 40) + order, text, real
+            held, n = [], 0
+            names = ["signal_id", "time", "seq", "text", "real"]
+            for signal, at, text, real in signal_columns(data, d, self.signals):
+                need(not len(at) or at[-1] < len(times), "time index")
+                k = len(at)
+                held.append((pa.array(np.full(k, signal, np.int64)), pa.array(times[at]), pa.array((s.index << 40) + np.arange(k)), text, real))
+                n += k
+                if n >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
             return
         kinds = {n["node_id"]: (n["gen_kind"], n["payload_type"]) for n in d.nodes if n["node_kind"] == "generator"}
-        rows = (transaction_block if s.kind == TX_BLOCK else record_block)(data, d, kinds)
-        yield from getattr(rows, self.table)
+        rows = getattr((transaction_block if s.kind == TX_BLOCK else record_block)(data, d, kinds), self.table)
+        schema = _arrow(self.table)
+        for i in range(0, len(rows), BATCH):
+            columns = zip(*rows[i : i + BATCH], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
     def _small(self, cat: Catalogue) -> Iterator[tuple]:
         if self.table == "sections":
@@ -969,7 +1097,7 @@ class TraceReader(DataSourceReader):
                 yield s.index, SECTION_KIND.get(s.kind, "optional"), s.length + 24, min(s.aux0, LONG_MAX), min(s.aux1, LONG_MAX), s.block
             return
         if self.table == "blackouts":
-            with open(self.path, "rb") as f:
+            with open_file(self.path) as f:
                 n = 0
                 for s in cat.sections:
                     if s.kind == BLACKOUT:
