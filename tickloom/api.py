@@ -133,6 +133,22 @@ class Trace:
             raise ValueError(f"{id} is no transaction that owns records")
         return transactions.expand(own, self.table("located")).orderBy("id")
 
+    def missing_blocks(self, id: int) -> DataFrame:
+        """(block) of the child blocks that a transaction lists and the recording doesn't hold, as one that was
+        cut off; its expansion is complete without any."""
+        own = self.table("transactions").filter(F.col("id") == id)
+        if "child_blocks" not in own.columns:
+            return own.select(F.col("id").alias("block")).limit(0)
+        have = self.table("transactions").select("block").unionByName(self.table("located").select("block")).distinct()
+        return own.select(F.explode("child_blocks").alias("block")).join(have, "block", "left_anti")
+
+    def payloads(self, generator: int) -> DataFrame:
+        """The transactions of a generator with `payload` as a typed column, by its declared datatype."""
+        kind = self.table("nodes").filter(F.col("node_id") == generator).select("payload_type").first()
+        types = {r["datatype_id"]: (r["kind"], r["fields"], r["element"]) for r in self.table("datatypes").collect()}  # declarations, a few rows
+        ddl = container.payload_ddl(types, kind["payload_type"] if kind else 0)
+        return self.table("transactions").filter(F.col("generator") == generator).withColumn("payload", F.from_json("payload", ddl))
+
     def children(self, id: int) -> DataFrame:
         return transactions.children_of(self.table("transactions"), self.spark.createDataFrame([(id,)], "id long"))
 
@@ -145,11 +161,23 @@ class Trace:
     def scan_relations(self) -> DataFrame:
         return self.table("relations")
 
-    def logs(self, severity: int = 0, first: int | None = None, last: int | None = None) -> DataFrame:
-        out = self.table("logs")
+    def sites(self) -> DataFrame:
+        """The callsites: those of the table, or of the datatypes that say they are."""
+        if "callsites" in self.tables or "attributes" not in self.table("datatypes").columns:
+            return self.table("callsites")
+        plain = F.transform("attributes", lambda a: F.struct(a["key"].alias("key"), F.regexp_replace(a["value"], '^"|"$', "").alias("value")))
+        return logs.callsites_of(self.table("datatypes").withColumn("attributes", plain))
+
+    def logs(self, severity: int = 0, first: int | None = None, last: int | None = None, scope: str | None = None, args: list[str] | None = None, locale=None) -> DataFrame:
+        """Log records of a severity, window and scope; with `args` (columns) their rendered `message`."""
+        out = self.table("logs") if "logs" in self.tables else self.table("located").filter("kind = 'log'")
         if first is not None or last is not None:
             out = out.filter(waveform.within("begin", first, last))
-        return logs.at_least(out, self.table("callsites"), severity)
+        if scope is not None:
+            out = out.join(self.within(scope).select(F.col("node_id").alias("generator")), "generator", "left_semi")
+        if args is None:
+            return logs.at_least(out, self.sites(), severity)
+        return logs.render(out, self.sites().filter(F.col("severity") >= severity), args, locale=locale)
 
     # -- clocks --
 

@@ -116,6 +116,15 @@ def timescale_text(exponent: Column | str) -> Column:
     return F.when((e >= -15) & (e <= 2), F.concat(factor, unit))
 
 
+def bytes_text(n: Column | str) -> Column:
+    """A number of bytes in the largest binary unit below it, with one decimal; plain bytes below 1024."""
+    v = _c(n).cast("double")
+    out = F.concat(_c(n).cast("bigint").cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB", "EiB"), 1):
+        out = F.when(v >= float(1024**k), F.concat(F.format_string("%.1f", F.bround(v / float(1024**k), 1)), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
 def log_bytes_text(raw: Column | str) -> Column:
     """A rendered message as text; bytes that are no UTF-8 as hex behind a note."""
     b = _c(raw)

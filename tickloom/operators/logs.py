@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.formatting import format_brace, format_printf
+from tickloom.functions.formatting import Locale, format_brace, format_printf, format_value
 
 
 def at_least(logs: DataFrame, callsites: DataFrame, severity: int) -> DataFrame:
@@ -26,13 +28,14 @@ def render_plain(logs: DataFrame, callsites: DataFrame, args: list[str]) -> Data
     return joined.withColumn("message", F.when(plain, F.array_join(filled, "")))
 
 
-def render(logs: DataFrame, callsites: DataFrame, args: list[str], style: str = "brace") -> DataFrame:
+def render(logs: DataFrame, callsites: DataFrame, args: list[str], style: str = "brace", locale: Locale | None = None) -> DataFrame:
     """Adds `message` for any format of a style (brace or printf), in Arrow batches; formats are
     parsed once a process. NULL formats give NULL, NULL arguments `{?}`; an unknown style is an
-    error rather than rendered with the wrong dialect."""
+    error rather than rendered with the wrong dialect. `locale` is the punctuation of brace formats
+    with L."""
     if style not in ("brace", "printf"):
         raise ValueError(f"unknown format style {style!r}")
-    one = format_brace if style == "brace" else format_printf
+    one = (lambda f, row: format_brace(f, row, locale)) if style == "brace" else format_printf
 
     @F.arrow_udf("string")
     def message(fmt: pa.Array, values: pa.Array) -> pa.Array:
@@ -43,6 +46,24 @@ def render(logs: DataFrame, callsites: DataFrame, args: list[str], style: str =
     return joined.withColumn("message", message("format", F.struct(*(F.col(a).alias(f"a{i}") for i, a in enumerate(args)))))
 
 
+def value_text(json_text: Column | str) -> Column:
+    """Payloads or attributes, as JSON, in their debug form: quoted text, [lists] and {key: value} maps. NULL
+    stays NULL; what is no JSON is NULL too."""
+
+    @F.arrow_udf("string")
+    def shown(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _shown(v) for v in values.to_pylist()], pa.string())
+
+    return shown(json_text)
+
+
+def _shown(text: str) -> str | None:
+    try:
+        return format_value(json.loads(text))
+    except ValueError:
+        return None
+
+
 def callsites_of(datatypes: DataFrame) -> DataFrame:
     """(datatype_id, format, style, severity, file, line, func) of datatypes whose attributes
     (array of (key, value)) say that they are callsites; the first of repeated keys counts."""

@@ -37,7 +37,8 @@ def _sharded(df: DataFrame, order: list[str], shards: int | None = None) -> Data
     # binary search, from the highest power of two that may be needed
     steps = F.array(*(F.lit(1 << k) for k in reversed(range((2 * n).bit_length()))))
     found = F.aggregate(steps, F.lit(0), lambda lo, w: F.when(F.get("_bounds", lo + w - 1) <= F.col("_place"), lo + w).otherwise(lo))
-    return held.withColumn("_shard", found).drop("_bounds", "_place")
+    # adding nothing, the id of the row keeps the optimizer from copying the search into conditions that it infers
+    return held.withColumn("_shard", found + (F.monotonically_increasing_id() * 0).cast("int")).drop("_bounds", "_place")
 
 
 def _same(keys: list[str]) -> Column:

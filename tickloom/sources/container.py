@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from tickloom.model import SECTION_KIND, STATES
 
@@ -1127,6 +1127,52 @@ class TraceReader(DataSourceReader):
                 yield tuple(n[k] for k in ("node_id", "parent_id", "node_kind", "name", "code", "signal_id", "gen_kind", "payload_type", "attributes"))
 
 
+class TraceStream(DataSourceStreamReader):
+    """Follows a recording that is still written: each micro-batch reads the data sections that have become
+    whole since the last one."""
+
+    def __init__(self, options: dict):
+        self.inner = TraceReader(options)
+        if self.inner.table not in _SECTIONS:
+            raise ValueError("only tables of data sections can be followed")
+
+    def _sections(self) -> Catalogue:
+        return catalogue(self.inner.path)
+
+    def initialOffset(self) -> dict:
+        return {"sections": 0}
+
+    def latestOffset(self) -> dict:
+        return {"sections": len(self._sections().sections)}
+
+    def partitions(self, start: dict, end: dict):
+        kind = _SECTIONS[self.inner.table]
+        return [p for p in self.inner.partitions() if p.section is not None and p.section.kind == kind and start["sections"] <= p.section.index < end["sections"]]
+
+    def read(self, partition: Part) -> Iterator:
+        yield from self.inner.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def payload_ddl(datatypes: dict[int, tuple], t: int) -> str:
+    """The Spark type of a payload, for `from_json`: datatypes by id as (kind, fields, element)."""
+    if t < FIRST_DECLARED_TYPE:
+        return _DDL.get(t, "string")
+    kind, fields, element = datatypes[t]
+    if kind == 1:
+        return "struct<" + ", ".join(f"`{f['name']}`: {payload_ddl(datatypes, f['type'])}" for f in fields) + ">"
+    if kind in (2, 3):
+        return f"array<{payload_ddl(datatypes, element)}>"
+    return "struct<value: bigint, name: string>"
+
+
+# Spark types of the plain types by id; others are text.
+_DDL = {1: "boolean", 2: "tinyint", 3: "smallint", 4: "int", 5: "bigint", 6: "smallint", 7: "int", 8: "bigint", 9: "decimal(20,0)", 10: "float", 11: "double", 18: "bigint", 20: "decimal(20,0)",
+        21: "struct<raw: bigint, scale: bigint>", 22: "struct<raw: decimal(20,0), scale: bigint>"}
+
+
 class TraceSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -1138,6 +1184,9 @@ class TraceSource(DataSource):
     def reader(self, schema) -> TraceReader:
         return TraceReader(self.options)
 
+    def streamReader(self, schema) -> TraceStream:
+        return TraceStream(self.options)
+
 
 def register(spark: SparkSession) -> None:
     """Make spark.read.format("tickloom") known, with filters pushed into it."""

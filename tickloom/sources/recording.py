@@ -93,10 +93,10 @@ def transaction_section(tx: pd.DataFrame, rel: pd.DataFrame, block: int, strings
     generators = sorted(set(tx["generator"]))
     index = {g: i for i, g in enumerate(generators)}
     ids, begins, ends = (tx[c].to_numpy(np.int64) for c in ("id", "begin", "end"))
-    parents = tx["parent"].fillna(0).to_numpy(np.int64)
+    parents = tx["parent"].to_numpy(np.int64)
     events = [(b, e) for b, es in zip(begins, tx["events"], strict=True) for e in es]
     stages = [(b, s) for b, ss in zip(begins, tx["stages"], strict=True) for s in ss]
-    source, destination = (rel[c].fillna(0).to_numpy(np.int64) for c in ("source", "destination"))
+    source, destination = (rel[c].to_numpy(np.int64) for c in ("source", "destination"))
     payloads = [[] if p is None else [int(x) for x in p] for p in tx["payload"]]
     words = np.array([x for p in payloads for x in p], np.int64)
     # counts stand before the values of each payload
@@ -104,7 +104,7 @@ def transaction_section(tx: pd.DataFrame, rel: pd.DataFrame, block: int, strings
     lists = [[] if c is None else sorted(set(map(int, c))) for c in tx["child_blocks"]]
     columns = [
         svarints(deltas(ids)), varints([index[g] for g in tx["generator"]]), svarints(deltas(begins)), varints(ends - begins),
-        (tx["status"].fillna(0).to_numpy(np.uint8) | tx["span_kind"].fillna(0).to_numpy(np.uint8) << 4).tobytes(),
+        (tx["status"].to_numpy(np.uint8) | tx["span_kind"].to_numpy(np.uint8) << 4).tobytes(),
         varints(np.where(parents > 0, ids - parents, 0)), bytes(len(tx) + len(events) + len(stages) + len(rel)), b"", b"", b"", b"", b"", b"",
         varints([len(e) for e in tx["events"]]), svarints([e["time"] - b for b, e in events]), varints([strings[e["name"]] for _, e in events]),
         varints([len(s) for s in tx["stages"]]), varints([strings[s["name"]] for _, s in stages]), varints([strings[s["lane"] or ""] for _, s in stages]),
@@ -130,7 +130,7 @@ def record_section(rows: pd.DataFrame, block: int) -> bytes:
     segments, pages, at = [], [], 0
     for (generator, kind), part in rows.groupby(["generator", "kind"], sort=True):
         ids, begins, ends = (part[c].to_numpy(np.int64) for c in ("id", "begin", "end"))
-        parents = part["parent"].fillna(0).to_numpy(np.int64)
+        parents = part["parent"].to_numpy(np.int64)
         before = np.append(0, (ends if kind == "stage" else begins)[:-1])
         owners = varints(np.where(parents > 0, ids - parents, 0)) if kind == "log" else svarints(deltas(parents))
         columns = [svarints(begins - before), svarints(deltas(ids)), owners, varints(ends - begins) if kind == "stage" else b"", b"", b"", b"", one(0), b""]
@@ -246,31 +246,34 @@ def _waveforms(changes: DataFrame, kinds: list[tuple[str, int, int]], scratch: S
 # --- whole recordings --------------------------------------------------------------------------
 
 
-def _blocks(df: DataFrame, order: list[str], rows: int, encode, scratch: Scratch, first: int) -> tuple[DataFrame, int]:
-    """(block, data) of a table in ranges of `order`, about `rows` a block; blocks are numbered from `first`."""
-    n = df.count()
-    parts = max(1, -(-n // rows))
+def _placed(df: DataFrame, order: list[str], rows: int, scratch: Scratch, first: int) -> tuple[DataFrame, int]:
+    """A table, written, with the `block` of each row: ranges of `order` of about `rows`, numbered from `first`."""
+    parts = max(1, -(-df.count() // rows))
+    return scratch.write(df.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id() + F.lit(first))), first + parts
 
-    def run(it):
-        from pyspark import TaskContext
 
+def _encoded(placed: DataFrame, order: list[str], encode, scratch: Scratch) -> DataFrame:
+    """(block, data) of a table with blocks, each encoded by the task that gathers it."""
+
+    def run(it):
         held = [p for p in it if len(p)]
         if held:
-            number = first + TaskContext.get().partitionId()
-            yield pd.DataFrame({"block": [number], "data": [encode(pd.concat(held, ignore_index=True), number)]})
+            for block, rows in pd.concat(held, ignore_index=True).groupby("block", sort=True):
+                yield pd.DataFrame({"block": [int(block)], "data": [encode(rows.reset_index(drop=True), int(block))]})
 
-    out = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, "block long, data binary")
-    return scratch.write(out), first + parts
+    parts = max(1, placed.select("block").distinct().count())
+    return scratch.write(placed.repartition(parts, "block").sortWithinPartitions("block", *order).mapInPandas(run, "block long, data binary"))
 
 
 def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame], timescale: int = -9, incomplete: bool = False) -> None:
     """Write a recording of tables `nodes` (node_id from 0 without gaps, parents first; parent_id, node_kind, name, signal_id,
     gen_kind), `signals` (signal_id from 0, encoding, width, states), `changes`, `transactions` (id, parent, generator, begin,
-    end, status, span_kind, payload array of integers, child_blocks), `embedded` (id, kind, owner, name, lane, begin, end), `located`,
+    end, status, span_kind, payload array of integers), `embedded` (id, kind, owner, name, lane, begin, end), `located`,
     `relations` and `blackouts`; absent tables are empty. The path must be new; the file appears when it is whole.
 
     Ticks and ids are not NULL and not negative, ends are not before begins, parents are smaller than their children's ids,
-    or encoding fails. Of embedded records without their owner nothing is written.
+    or encoding fails. Of embedded records without their owner nothing is written. Each transaction lists the blocks that
+    hold its children.
     """
     scratch = Scratch(spark, "recording")
     nodes = [r.asDict() for r in tables["nodes"].orderBy("node_id").collect()] if "nodes" in tables else []
@@ -299,32 +302,25 @@ def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame]
         marks = tables["blackouts"].orderBy("time", "seq").collect()
         steps = np.diff([0, *(m["time"] for m in marks)])
         sections.append((C.BLACKOUT, one(len(marks)) + b"".join(bytes([m["active"]]) + one(int(d)) for m, d in zip(marks, steps, strict=True))))
-    made, block = [], 1
+    made, block, children = [], 1, []
+    tx = located = None
     if "transactions" in tables:
-        tx = tables["transactions"]
-        tx = tx.select("id", "parent", "generator", "begin", "end", "status", "span_kind", *(c if c in tx.columns else F.lit(None).cast("array<bigint>").alias(c) for c in ("payload", "child_blocks")))
-        if "embedded" in tables:
-            e = tables["embedded"]
-            inside = e.groupBy(F.col("owner").alias("id")).agg(
-                F.sort_array(F.collect_list(F.when(F.col("kind") == "event", F.struct("id", F.col("begin").alias("time"), "name")))).alias("events"),
-                F.sort_array(F.collect_list(F.when(F.col("kind") == "stage", F.struct("id", "name", "lane", "begin", "end")))).alias("stages"),
-            )
-            tx = tx.join(inside, "id", "left")
-        else:
-            tx = tx.withColumn("events", F.lit(None).cast("array<struct<id:bigint,time:bigint,name:string>>")).withColumn("stages", F.lit(None).cast("array<struct<id:bigint,name:string,lane:string,begin:bigint,end:bigint>>"))
-        tx = tx.withColumn("events", F.coalesce("events", F.array())).withColumn("stages", F.coalesce("stages", F.array()))
-        no_rel = pd.DataFrame({"kind": [], "source": [], "destination": []})
-        table, block = _blocks(tx, ["id"], TX_ROWS, lambda p, number: transaction_section(p.assign(events=_dicts(p["events"]), stages=_dicts(p["stages"])), no_rel, number, strings), scratch, block)
-        made.append((C.TX_BLOCK, table))
+        tx, block = _placed(_with_detail(tables), ["id"], TX_ROWS, scratch, block)
+        children.append(tx.select("parent", "block"))
     if "relations" in tables:
         no_tx = pd.DataFrame({c: [] for c in ("id", "parent", "generator", "begin", "end", "status", "span_kind", "payload", "child_blocks", "events", "stages")})
-        rel = tables["relations"].select("kind", "source", "destination")
-        table, block = _blocks(rel, ["source", "destination"], TX_ROWS, lambda p, number: transaction_section(no_tx, p, number, strings), scratch, block)
-        made.append((C.TX_BLOCK, table))
+        rel, block = _placed(tables["relations"].select("kind", _zero("source"), _zero("destination")), ["source", "destination"], TX_ROWS, scratch, block)
+        made.append((C.TX_BLOCK, _encoded(rel, ["source", "destination"], lambda p, number: transaction_section(no_tx, p, number, strings), scratch)))
     if "located" in tables:
-        located = tables["located"].select("id", "kind", "generator", "begin", "end", "parent")
-        table, block = _blocks(located, ["begin", "id"], RECORD_ROWS, lambda p, number: record_section(p.sort_values(["begin", "id"]), number), scratch, block)
-        made.append((C.RECORD_BLOCK, table))
+        located, block = _placed(tables["located"].select("id", "kind", "generator", "begin", "end", _zero("parent")), ["begin", "id"], RECORD_ROWS, scratch, block)
+        children.append(located.filter("kind <> 'log'").select("parent", "block"))
+        made.append((C.RECORD_BLOCK, _encoded(located, ["begin", "id"], record_section, scratch)))
+    if tx is not None:
+        every = children[0] if len(children) == 1 else children[0].unionByName(children[1])
+        listed_blocks = every.filter("parent > 0").groupBy(F.col("parent").alias("id")).agg(F.sort_array(F.collect_set("block")).alias("child_blocks"))
+        no_rel = pd.DataFrame({"kind": [], "source": [], "destination": []})
+        encode = lambda p, number: transaction_section(p.assign(events=_dicts(p["events"]), stages=_dicts(p["stages"])), no_rel, number, strings)
+        made.insert(0, (C.TX_BLOCK, _encoded(tx.join(listed_blocks, "id", "left"), ["id"], encode, scratch)))
 
     def every_section():
         yield from declare()
@@ -338,6 +334,26 @@ def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame]
     C.write_sections(path, uuid.uuid4().bytes, every_section(), incomplete)
 
 
+def _with_detail(tables: dict[str, DataFrame]) -> DataFrame:
+    """Transactions with their embedded events and stages, in the order of ids."""
+    tx = tables["transactions"]
+    payload = F.col("payload") if "payload" in tx.columns else F.lit(None).cast("array<bigint>")
+    tx = tx.select("id", _zero("parent"), "generator", "begin", "end", _zero("status"), _zero("span_kind"), payload.alias("payload"))
+    none = {"events": "array<struct<id:bigint,time:bigint,name:string>>", "stages": "array<struct<id:bigint,name:string,lane:string,begin:bigint,end:bigint>>"}
+    if "embedded" not in tables:
+        return tx.select("*", *(F.array().cast(t).alias(c) for c, t in none.items()))
+    inside = tables["embedded"].groupBy(F.col("owner").alias("id")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "event", F.struct("id", F.col("begin").alias("time"), "name")))).alias("events"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "stage", F.struct("id", "name", "lane", "begin", "end")))).alias("stages"),
+    )
+    return tx.join(inside, "id", "left").select(*tx.columns, *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()))
+
+
+def _zero(column: str):
+    """Absent as 0, as the format has it; a column without NULLs stays whole numbers in pandas."""
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(0).cast("bigint")).alias(column)
+
+
 def _dicts(column: pd.Series) -> list:
     return [[] if x is None else [e if isinstance(e, dict) else e.asDict() for e in x] for x in column]
 

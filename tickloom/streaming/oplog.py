@@ -107,8 +107,11 @@ _LIFE = T.StructType([T.StructField("id", T.LongType()), T.StructField("parent",
 _STATE = "begin long, parent long, payload string, ended boolean"
 
 
-def _apply(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+def _apply(key, frames: Iterator[pd.DataFrame], state, forget: int | None = None) -> Iterator[pd.DataFrame]:
     """One owner's operations of a micro-batch, in order, on its state."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     begin, parent, payload, ended = state.get if state.exists else (None, None, None, False)
     rows = []
 
@@ -134,6 +137,8 @@ def _apply(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
             else:
                 rows.append((key[0], parent, begin, max(int(r.time), begin), 0 if pd.isna(r.status) else int(r.status), payload, None))
     state.update((begin, parent, payload, ended))
+    if ended and forget is not None:
+        state.setTimeoutDuration(forget)
     out = pd.DataFrame(rows, columns=[f.name for f in _LIFE])
     for c in ("parent", "begin", "end"):
         out[c] = out[c].astype("Int64")
@@ -141,16 +146,22 @@ def _apply(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]
     yield out
 
 
-def stream_lifetimes(ops: DataFrame) -> DataFrame:
+def stream_lifetimes(ops: DataFrame, forget: int | None = None) -> DataFrame:
     """Owners as they end, from a streaming log: (id, parent, begin, end, status, payload, fault).
 
     State per owner is four fields; operations of a micro-batch apply in order of (stamp, seq).
     Faults (operations without a live owner, a missing payload) are rows, so nothing is lost
     silently. An ended owner keeps a tombstone, so that late operations are told apart from
-    those of an owner that never began.
+    those of an owner that never began. With `forget` (milliseconds) tombstones that get no operation for
+    so long are dropped, so that the state holds what is live; without it they stay.
     """
     wanted = ops.filter(F.col("op").isin("begin", "payload", "end") & F.col("id").isNotNull())
-    return wanted.groupBy("id").applyInPandasWithState(_apply, _LIFE, _STATE, "append", "NoTimeout")
+    timeout = "NoTimeout" if forget is None else "ProcessingTimeTimeout"
+
+    def apply(key, frames, state):
+        yield from _apply(key, frames, state, forget)
+
+    return wanted.groupBy("id").applyInPandasWithState(apply, _LIFE, _STATE, "append", timeout)
 
 
 def stream_windows(events: DataFrame, time: str, key: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:

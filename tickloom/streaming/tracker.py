@@ -200,32 +200,40 @@ class Tracker:
 _NUMBERS = ("seq", "key", "to_key", "id", "parent", "status", "count", "time")
 
 
-def _run(name: str, ops: pd.DataFrame, saved: str | None) -> tuple[Tracker, pd.DataFrame]:
-    t = Tracker(name, saved)
-    for o in ops.sort_values("seq").to_dict("records"):
+def _applied(t: Tracker, ops: pd.DataFrame) -> pd.DataFrame:
+    """The rows that operations, in order, add to those of a tracker."""
+    t.rows = []
+    for o in ops.to_dict("records"):
         o = {k: None if pd.isna(v) else int(v) if k in _NUMBERS else v for k, v in o.items()}
         t.apply(o)
     out = pd.DataFrame(t.rows, columns=_OUT)
     for c in ("id", "begin", "end", "other"):
         out[c] = out[c].astype("Int64")
     out["status"] = out["status"].astype("Int32")
-    return t, out
+    return out
 
 
 def process(ops: DataFrame) -> DataFrame:
-    """Trackers in batch. Items that are still live at the end give no owner row."""
+    """Trackers in batch. Items that are still live at the end give no owner row. A task holds the state
+    of one tracker and one batch of its operations at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _run(pdf["tracker"].iloc[0], pdf, None)[1]
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: Tracker | None = None
+        for pdf in it:
+            for name, part in pdf.groupby("tracker", sort=False):
+                if now is None or now.name != name:
+                    now = Tracker(name)
+                yield _applied(now, part)
 
-    return ops.filter("tracker is not null").groupBy("tracker").applyInPandas(run, OUT_SCHEMA)
+    return ops.filter("tracker is not null").repartition("tracker").sortWithinPartitions("tracker", "seq").mapInPandas(run, OUT_SCHEMA)
 
 
 def stream(ops: DataFrame) -> DataFrame:
     """Trackers over a streaming log; the state is what is live, as text."""
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        t, out = _run(key[0], pd.concat(list(frames), ignore_index=True), state.get[0] if state.exists else None)
+        t = Tracker(key[0], state.get[0] if state.exists else None)
+        out = _applied(t, pd.concat(list(frames), ignore_index=True).sort_values("seq"))
         state.update((t.saved(),))
         yield out
 
