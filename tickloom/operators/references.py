@@ -104,14 +104,15 @@ def canonical_kind(column: str = "kind") -> F.Column:
 
 
 def report_drift(orphans: DataFrame, report: DataFrame) -> DataFrame:
-    """An old report against the orphans found now, per kind: confirmed, resolved since and
-    unreported references. A report names endpoints by target only (its source is 0), so the
+    """An old report against the orphans found now, per kind: confirmed, resolved since, unreported and
+    unchecked references; the last are those of kinds that `orphans` doesn't look for. A report names endpoints by target only (its source is 0), so the
     comparison is by (kind, source of parents, target); rows of unknown kind have kind ''."""
     key = lambda df, kind: df.select(
         F.coalesce(kind, F.lit("")).alias("kind"),
         F.when(kind == PARENT, F.col("source")).otherwise(0).alias("source"),
         F.coalesce(F.col("target"), F.lit(0)).alias("target"),
     ).distinct()
+    checked = F.col("kind").isin(PARENT, RELATION_SOURCE, RELATION_DESTINATION)
     now = key(orphans, F.col("kind")).withColumn("now", F.lit(1))
     old = key(report, canonical_kind()).withColumn("old", F.lit(1))
     return (
@@ -119,7 +120,8 @@ def report_drift(orphans: DataFrame, report: DataFrame) -> DataFrame:
         .groupBy("kind")
         .agg(
             F.count_if(F.col("now").isNotNull() & F.col("old").isNotNull()).alias("confirmed"),
-            F.count_if(F.col("now").isNull()).alias("resolved"),
+            F.count_if(F.col("now").isNull() & checked).alias("resolved"),
             F.count_if(F.col("old").isNull()).alias("unreported"),
+            F.count_if(F.col("now").isNull() & ~checked).alias("unchecked"),
         )
     )

@@ -73,16 +73,25 @@ def query_located(
 
 
 def records_all(tx: DataFrame, embedded: DataFrame, located: DataFrame, clocks: DataFrame) -> DataFrame:
-    """One relation of all record kinds: (id, kind, generator, parent, begin, end). An embedded
-    record has its owner as parent and its owner's generator; an open stage its effective end."""
-    cols = ["id", "kind", "generator", "parent", "begin", "end"]
-    t = tx.withColumn("kind", F.lit("transaction")).select(*cols)
+    """One relation of all record kinds: (id, kind, generator, parent, begin, end, status, span_kind, name, lane,
+    explicit_end). An embedded record has its owner as parent and its owner's generator; an open stage its effective
+    end, and no explicit one. What a kind or table doesn't have is NULL."""
+    plain = ["id", "kind", "generator", "parent", "begin", "end"]
+    more = {"status": "int", "span_kind": "int", "name": "string", "lane": "string"}
+
+    def every(df: DataFrame, *own: str, explicit=True) -> DataFrame:
+        rest = [F.col(c).cast(k).alias(c) if c in own and c in df.columns else F.lit(None).cast(k).alias(c) for c, k in more.items()]
+        return df.select(*plain, *rest, (F.col("end") if explicit is True else explicit).alias("explicit_end"))
+
+    t = every(tx.withColumn("kind", F.lit("transaction")), "status", "span_kind")
     o = tx.select(F.col("id").alias("owner"), "generator", F.col("end").alias("owner_end"))
-    e = embedded.join(o, "owner", "left").select(
-        "id", F.lit("embedded_stage").alias("kind"), "generator", F.col("owner").alias("parent"), "begin", effective_end("begin", "end", "owner_end").alias("end")
+    kind = F.when(F.col("kind") == "event", "embedded_event").otherwise("embedded_stage") if "kind" in embedded.columns else F.lit("embedded_stage")
+    inner = embedded.join(o, "owner", "left").select(
+        "id", kind.alias("kind"), "generator", F.col("owner").alias("parent"), "begin", effective_end("begin", "end", "owner_end").alias("end"), F.col("end").alias("given"), "name", "lane"
     )
-    c = clocks.select("id", F.lit("clock").alias("kind"), F.col("clock").alias("generator"), F.lit(None).cast("bigint").alias("parent"), "begin", "end")
-    return t.unionByName(e).unionByName(located.select(*cols)).unionByName(c)
+    e = every(inner, "name", "lane", explicit=F.col("given"))
+    c = every(clocks.select("id", F.lit("clock").alias("kind"), F.col("clock").alias("generator"), F.lit(None).cast("bigint").alias("parent"), "begin", "end"))
+    return t.unionByName(e).unionByName(every(located)).unionByName(c)
 
 
 def lookup(records: DataFrame, ids: DataFrame) -> DataFrame:

@@ -278,9 +278,10 @@ def records_all_kinds(t):
     return _all(t).groupBy("kind").agg(F.count(F.lit(1)).alias("records"), F.min("begin").alias("first"), F.max("end").alias("last"), F.count("parent").alias("owned"))
 
 
-@query(f"with {_ALL} select id, kind, parent from every where id in (select record_id from discarded_records)")
+@query(f"with {_ALL} select v.id, v.kind, v.parent, t.status, m.name, case when v.kind = 'embedded_stage' then m.e else v.e end as explicit_end from every v left join tx t on t.id = v.id and v.kind = 'transaction'"
+    f"    left join emb m on m.id = v.id and v.kind = 'embedded_stage' where v.id in (select record_id from discarded_records)")
 def record_lookup(t):
-    return transactions.lookup(_all(t), t.raw("discarded_records").select(F.col("record_id").alias("id"))).select("id", "kind", "parent")
+    return transactions.lookup(_all(t), t.raw("discarded_records").select(F.col("record_id").alias("id"))).select("id", "kind", "parent", "status", "name", "explicit_end")
 
 
 @query(f"with {_TX}, {_EMB} select m.id, coalesce(m.e, greatest(m.b, t.e)) as effective_end from emb m join tx t on t.id = m.owner where m.e is null")
@@ -461,15 +462,11 @@ def clock_for_generator(t):
     return clocks.clock_of(t.generators)
 
 
-@query("""with recursive v as (select range as id, case when range % 4 = 0 then null else range - 1 - (range % 3) end as ref, range * 10 as value from range(1, 41)),
-    v2 as (select id, case when ref < 1 then null else ref end as ref, value from v),
-    walk as (select id, id as at from v2 union all select w.id, v2.ref from walk w join v2 on v2.id = w.at where v2.ref is not null)
-    select w.id, w.at as target, v2.value from walk w join v2 on v2.id = w.at where v2.ref is null""")
+@query(f"""with recursive {_TX}, v as (select id, case when parent < id then parent end as ref, b as value from tx), kept as (select v.id, r.id as ref, v.value from v left join v r on r.id = v.ref),
+    walk as (select id, id as target, value from kept where ref is null union all select k.id, w.target, w.value from walk w join kept k on k.ref = w.id) select id, target, value from walk""")
 def ref_resolution(t):
-    i = F.col("id")
-    ref = F.when(i % 4 == 0, None).otherwise(i - 1 - i % 3)
-    values = t.spark.range(1, 41).select("id", F.when(ref >= 1, ref).alias("ref"), (i * 10).alias("value"))
-    return scopes.resolve_refs(values)
+    """Values that refer to earlier ones, here transactions to older parents, followed to the last one."""
+    return scopes.resolve_refs(t.transactions.select("id", F.when(F.col("parent") < F.col("id"), F.col("parent")).alias("ref"), F.col("begin").alias("value")))
 
 
 @query("""select g.gen_name, s.scope_name, count(*) as n from trace_generators g join (select distinct scope, scope_name from census_scopes) s using (scope) group by 1, 2""")
@@ -567,9 +564,10 @@ def word_packing(t):
     return t.raw("lineitem").groupBy(F.col("l_orderkey").alias("k"), bits.masked("l_orderkey", 8).alias("low8"), bits.word32(v, 1).alias("word1")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select n, case when n < 94 then chr(cast(33 + n as int)) else chr(cast(33 + n % 94 as int)) || chr(cast(33 + n // 94 as int)) end as code from (select range as n from range(0, 8000, 7))""")
+@query(f"""with {_TX} select id, chr(cast(33 + id % 94 as int)) || case when id >= 94 then chr(cast(33 + id // 94 % 94 as int)) else '' end || case when id >= 8836 then chr(cast(33 + id // 8836 % 94 as int)) else '' end
+    || case when id >= 830584 then chr(cast(33 + id // 830584 % 94 as int)) else '' end as code from tx where id < 78074896""")
 def vcd_id_codes(t):
-    return t.spark.range(0, 8000, 7).select(F.col("id").alias("n"), bits.vcd_id("id").alias("code"))
+    return t.transactions.filter("id < 78074896").select("id", bits.vcd_id("id").alias("code"))
 
 
 @query("""select e, case when e between -15 and 2 then cast([1, 10, 100][(e + 15) % 3 + 1] as varchar) || ['fs', 'ps', 'ns', 'us', 'ms', 's'][(e + 15) // 3 + 1] end as scale from (select range - 17 as e from range(22))""")

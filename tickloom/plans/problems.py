@@ -187,8 +187,8 @@ SQL = {
       old as (select distinct kind, case when kind = 'Parent' then source else 0 end as source, coalesce(target, 0) as target from kinds),
       both_sides as (select coalesce(n.kind, o.kind) as kind, n.kind as n, o.kind as o from now n full join old o
         on n.kind = o.kind and n.source = o.source and n.target = o.target)
-      select kind, count(*) filter (where n is not null and o is not null) as confirmed, count(*) filter (where n is null) as resolved,
-        count(*) filter (where o is null) as unreported from both_sides group by kind""",
+      select kind, count(*) filter (where n is not null and o is not null) as confirmed, count(*) filter (where n is null and kind in ('Parent', 'RelationSource', 'RelationDestination')) as resolved,
+        count(*) filter (where o is null) as unreported, count(*) filter (where n is null and kind not in ('Parent', 'RelationSource', 'RelationDestination')) as unchecked from both_sides group by kind""",
     "p5_found": f"""with {_INTERVALS} select entity, entity_id, lane, top + 1 as gap_begin, b - 1 as gap_end from tops where b - 1 > top""",
     "p5_busy": f"""with {_INTERVALS}, isl as (select *, sum(case when top is null or b - 1 > top then 1 else 0 end)
         over (partition by entity, entity_id, lane order by b, e rows unbounded preceding) as island from tops)

@@ -106,8 +106,8 @@ def transaction_section(tx: pd.DataFrame, rel: pd.DataFrame, block: int, strings
         svarints(deltas(ids)), varints([index[g] for g in tx["generator"]]), svarints(deltas(begins)), varints(ends - begins),
         (tx["status"].to_numpy(np.uint8) | tx["span_kind"].to_numpy(np.uint8) << 4).tobytes(),
         varints(np.where(parents > 0, ids - parents, 0)), bytes(len(tx) + len(events) + len(stages) + len(rel)), b"", b"", b"", b"", b"", b"",
-        varints([len(e) for e in tx["events"]]), svarints([e["time"] - b for b, e in events]), varints([strings[e["name"]] for _, e in events]),
-        varints([len(s) for s in tx["stages"]]), varints([strings[s["name"]] for _, s in stages]), varints([strings[s["lane"] or ""] for _, s in stages]),
+        varints([len(e) for e in tx["events"]]), svarints([e["time"] - b for b, e in events]), varints([strings[e["name"] or ""] for _, e in events]),
+        varints([len(s) for s in tx["stages"]]), varints([strings[s["name"] or ""] for _, s in stages]), varints([strings[s["lane"] or ""] for _, s in stages]),
         svarints([s["begin"] - b for b, s in stages]), varints([0 if s["end"] is None else s["end"] - s["begin"] + 1 for _, s in stages]),
         varints([strings[k or ""] for k in rel["kind"]]), svarints(deltas(source)), svarints(destination - source),
         numbers, b"", b"", one(0), b"",
