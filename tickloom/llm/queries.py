@@ -52,7 +52,8 @@ LOSS_SHARE, SEGMENT_TOKENS = 0.9, 64
 
 def _limited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     capacities = table(spark, d, "pack_capacities").dropDuplicates()
-    packed = packing.fill(tokens.sizes(table(spark, d, "documents")), capacities, LOSS_SHARE, tokens_per_segment=SEGMENT_TOKENS)
+    # written, since both checks read it
+    packed = Scratch(spark, "limited").write(packing.fill(tokens.sizes(table(spark, d, "documents")), capacities, LOSS_SHARE, tokens_per_segment=SEGMENT_TOKENS))
     limits = capacities.select(
         "container", "capacity_tokens", F.greatest(F.floor(F.col("capacity_tokens") / SEGMENT_TOKENS), F.lit(1)).alias("segments"),
         F.floor(F.col("capacity_tokens") * F.lit(LOSS_SHARE)).alias("loss"),
