@@ -49,9 +49,13 @@ def varints(values) -> bytes:
     return out.tobytes()
 
 
-def svarints(values) -> bytes:
+def zigzag(values) -> np.ndarray:
     v = np.asarray(values, np.int64)
-    return varints(((v << 1) ^ (v >> 63)).view(np.uint64))
+    return ((v << 1) ^ (v >> 63)).view(np.uint64)
+
+
+def svarints(values) -> bytes:
+    return varints(zigzag(values))
 
 
 def deltas(values) -> np.ndarray:
@@ -97,10 +101,16 @@ def transaction_section(tx: pd.DataFrame, rel: pd.DataFrame, block: int, strings
     events = [(b, e) for b, es in zip(begins, tx["events"], strict=True) for e in es]
     stages = [(b, s) for b, ss in zip(begins, tx["stages"], strict=True) for s in ss]
     source, destination = (rel[c].to_numpy(np.int64) for c in ("source", "destination"))
-    payloads = [[] if p is None else [int(x) for x in p] for p in tx["payload"]]
-    words = np.array([x for p in payloads for x in p], np.int64)
+    payloads = [np.zeros(0, np.int64) if p is None else np.asarray(p, np.int64) for p in tx["payload"]]
+    sizes = np.array([len(p) for p in payloads], np.int64)
     # counts stand before the values of each payload
-    numbers = b"".join(one(len(p)) + svarints(p) for p in payloads) if len(words) else varints([0] * len(payloads))
+    stream = np.zeros(len(payloads) + int(sizes.sum()), np.uint64)
+    counts = np.arange(len(payloads)) + np.append(0, np.cumsum(sizes)[:-1]) if len(payloads) else sizes
+    values = np.ones(len(stream), bool)
+    values[counts] = False
+    stream[counts] = sizes.astype(np.uint64)
+    stream[values] = zigzag(np.concatenate(payloads)) if len(payloads) else 0
+    numbers = varints(stream)
     lists = [[] if c is None else sorted(set(map(int, c))) for c in tx["child_blocks"]]
     columns = [
         svarints(deltas(ids)), varints([index[g] for g in tx["generator"]]), svarints(deltas(begins)), varints(ends - begins),
@@ -148,12 +158,23 @@ def record_section(rows: pd.DataFrame, block: int) -> bytes:
 # --- waveforms ---------------------------------------------------------------------------------
 
 
-def pack_states(text: str, states: int) -> bytes:
+_CODES = np.full(256, 255, np.uint8)
+_CODES[np.frombuffer(STATES.encode(), np.uint8)] = np.arange(len(STATES), dtype=np.uint8)
+
+
+def state_codes(texts: list[str], width: int) -> np.ndarray:
+    """Codes of the states of texts of one width, a row each, the highest state first."""
+    codes = _CODES[np.frombuffer("".join(texts).encode(), np.uint8)]
+    C.need(len(codes) == len(texts) * width and not (codes == 255).any(), "value of another width or alphabet")
+    return codes.reshape(len(texts), width)
+
+
+def pack_codes(codes: np.ndarray, states: int) -> np.ndarray:
+    """The packed bytes of rows of codes."""
     bits = 1 if states == 2 else 2 if states == 4 else 4
-    n = 0
-    for ch in text:
-        n = n << bits | STATES.index(ch)
-    return n.to_bytes(C.packed_size(len(text), states), "little")
+    C.need(not codes.size or codes.max() < (2 if states == 2 else 4 if states == 4 else 9), "state of another alphabet")
+    low = (codes[:, ::-1, None] >> np.arange(bits)) & 1
+    return np.packbits(low.reshape(len(codes), -1), axis=1, bitorder="little")
 
 
 def _default(encoding: str, width: int, states: int):
@@ -163,23 +184,36 @@ def _default(encoding: str, width: int, states: int):
 def _whole(encoding: str, states: int, value) -> bytes:
     if encoding == "real":
         return struct.pack("<d", value)
-    return pack_states(value, states) if encoding == "bits" else blob(value.encode())
+    return pack_codes(state_codes([value], len(value)), states).tobytes() if encoding == "bits" else blob(value.encode())
 
 
 def signal_column(encoding: str, width: int, states: int, at: np.ndarray, values: list) -> bytes:
     """A column of changes at time indices, in order."""
     step = np.diff(at, prepend=0)
     if encoding == "bits" and width == 1:
-        return varints([int(d) << 5 | STATES.index(v) << 1 | 1 for d, v in zip(step, values, strict=True)])
+        codes = state_codes(values, 1)[:, 0]
+        C.need(not codes.size or codes.max() < (2 if states == 2 else 4 if states == 4 else 9), "state of another alphabet")
+        return varints(step.astype(np.uint64) << np.uint64(5) | codes.astype(np.uint64) << np.uint64(1) | np.uint64(1))
     if encoding == "bits":
-        plain = np.array([set(v) <= {"0", "1"} for v in values])
+        codes = state_codes(values, width)
+        plain = (codes < 2).all(axis=1)
         head = varints(step.astype(np.uint64) << np.uint64(1) | plain.astype(np.uint64))
         same = bool(plain.all() or not plain.any())
-        return one(len(head) << 2 | same << 1 | (same and not plain[0])) + head + b"".join(pack_states(v, 2 if p else states) for v, p in zip(values, plain, strict=True))
+        return one(len(head) << 2 | same << 1 | (same and not plain[0])) + head + _rows(codes, plain, states)
     head = varints(step)
     return one(len(head) << 2 | (encoding == "real") << 1) + head + b"".join(_whole(encoding, states, v) for v in values)
 
 
+def _rows(codes: np.ndarray, plain: np.ndarray, states: int) -> bytes:
+    """Values in order, those of two states only packed as such."""
+    if plain.all() or not plain.any():
+        return pack_codes(codes, 2 if plain.all() else states).tobytes()
+    packed_rows = np.empty(len(codes), object)
+    for mask, alphabet in ((plain, 2), (~plain, states)):
+        packed_rows[mask] = [r.tobytes() for r in pack_codes(codes[mask], alphabet)]
+    return b"".join(packed_rows)
+
+
 def group_container(rows: pd.DataFrame, first: int, kinds: list[tuple[str, int, int]], held: dict[int, object]) -> bytes:
     """A group's container of changes (signal_id, at, seq, text, real); `held` are the values before."""
     columns = []
@@ -219,7 +253,11 @@ def _waveforms(changes: DataFrame, kinds: list[tuple[str, int, int]], scratch: S
     starts = times.select("block", F.col("times")[0].alias("start_time"))
     listed = starts.agg(F.collect_list(F.struct("block", "start_time"))).scalar()  # one entry a block
     asked = changes.select("signal_id").distinct().withColumn("s", F.explode(listed)).select("signal_id", "s.*")
-    held = value_at(changes, asked.withColumn("probe_time", F.col("start_time") - 1), ["text", "real"]).filter("since is not null")
+    # before the first block nothing is held
+    asked = asked.filter("block > 0").withColumn("probe_time", F.col("start_time") - 1)
+    held = value_at(changes, asked, ["text", "real"]).filter("since is not null")
+    if seen["b"] - seen["a"] < width:
+        held = held.limit(0)
     ranks = times.select("block", F.posexplode("times").alias("at", "time"))
     placed = rows.join(ranks, ["block", "time"]).select("block", "signal_id", "at", "seq", "text", "real", F.lit(True).alias("change"))
     before = held.select("block", "signal_id", F.lit(-1).alias("at"), F.lit(-1).cast("bigint").alias("seq"), "text", "real", F.lit(False).alias("change"))
