@@ -47,7 +47,7 @@ def p6_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Limits of p6_limits that bind: at most so much of a container bears loss, one segment per so many tokens.
-LOSS_SHARE, SEGMENT_TOKENS = 0.9, 64
+LOSS_SHARE, SEGMENT_TOKENS = 0.96, 256
 
 
 def _limited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
