@@ -95,7 +95,7 @@ def test_old_reports_are_matched_by_kind_in_any_spelling(spark):
     now = spark.createDataFrame([("Parent", 1, 10), ("RelationSource", 5, 11), ("Parent", 2, 12)], "kind string, source long, target long")
     old = spark.createDataFrame([("missing parent", 1, 10), ("PARENT", 1, 10), ("relation-source", 0, 11), ("Relation Dest.", 0, 13), (None, 0, 14), ("ChildBlock", 3, None)], "kind string, source long, target long")
     got = {r["kind"]: tuple(r)[1:] for r in R.report_drift(now, old).collect()}
-    assert got == {"Parent": (1, 0, 1), "RelationSource": (1, 0, 0), "RelationDestination": (0, 1, 0), "": (0, 1, 0), "ChildBlock": (0, 1, 0)}
+    assert got == {"Parent": (1, 0, 1, 0), "RelationSource": (1, 0, 0, 0), "RelationDestination": (0, 1, 0, 0), "": (0, 0, 0, 1), "ChildBlock": (0, 0, 0, 1)}
 
 
 def plain(rows):
