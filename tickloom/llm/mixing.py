@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
@@ -117,7 +118,7 @@ def _planned(sizes: DataFrame, targets: DataFrame, total: float | None, scratch:
     given = budgets(leaves, total)
     plan = []
     for x in leaves:
-        budget = round(given[x["source"]])
+        budget = math.floor(given[x["source"]] + 0.500001)  # halves go up, whatever the last bits of a sum are
         epochs, rest = divmod(budget, x["tokens"]) if x["tokens"] else (0, 0)
         plan.append((x["source"], budget, int(epochs), int(rest), max(1, -(-x["docs"] // BUCKET))))
     planned = spark.createDataFrame(plan, "source string, budget_tokens long, epochs int, rest long, buckets long")

@@ -157,7 +157,7 @@ _BUDGETS = f"""docs as (select doc_id, any_value(source) as source, any_value(la
 SQL = {
     "p6_limits": """select container, (select count(distinct doc_id) from documents where length(text) > 0 and doc_id is not null) as documents, 0 as broken, 0 as over_tokens, 0 as over_segments, 0 as over_loss
       from (select distinct container from pack_capacities)""",
-    "p7_budgets": f"with {_BUDGETS} select node as source, cast(round(amount) as bigint) as budget from s",
+    "p7_budgets": f"with {_BUDGETS} select node as source, cast(floor(amount + 0.500001) as bigint) as budget from s",
     "p4_found": f"""with {_LENGTHS} select cast(generator as bigint) as generator from lengths where generator is not null group by generator
       having count(*) >= 100 and quantile_disc(length, 0.99) >= 50 * quantile_disc(length, 0.5)""",
     "p4_percentiles": f"""with {_LENGTHS}, ranked as (select generator, length, row_number() over (partition by generator order by length) as r,
