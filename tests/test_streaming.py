@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,63 @@ def test_streamed_lifetimes_equal_batch(spark, tmp_path):
     assert [r[0] for r in got if r[6] == "ended without a payload"] == [3]
 
 
+def test_streamed_owners_share_state_by_spans(spark, tmp_path):
+    n, far = 3000, 2**60 + 1
+    rows = [op("a", i, 2 * i, "begin", id=i, time=i, value=f"v{i}", parent=far if i % 2 else None) for i in range(n)]
+    ends = [op("a", n + i, 2 * i + 1, "end", id=i, time=i - 1 if i % 3 else i + far, status=i % 4) for i in range(n)]
+    folder = str(tmp_path / "in")
+    for part in (rows, [*ends, op("a", 9 * n, 9 * n, "end", id=5, time=1), op("a", 9 * n, 9 * n + 1, "begin", id=6, time=1), op("a", 0, 0, "payload", id=10**6, value="x")]):
+        ops(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    stream = oplog.stream_lifetimes(spark.readStream.schema(oplog.OP_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder))
+    q = stream.writeStream.format("memory").queryName("spans").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [tuple(r) for r in spark.sql("select * from spans").collect()]
+    assert sorted(r for r in got if r[6] is None) == [(i, far if i % 2 else None, i, i if i % 3 else i + far, i % 4, f"v{i}", None) for i in range(n)]
+    assert sorted((r[0], r[6]) for r in got if r[6]) == [(5, "end without a live owner"), (6, "begun twice"), (10**6, "payload without a live owner")]
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= n // oplog.SPAN + 1
+
+
+class State:
+    """A group's state without a stream."""
+
+    def __init__(self, now):
+        self.now, self.held, self.wait, self.hasTimedOut = now, None, None, False
+
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+
+    def update(self, held):
+        self.held = held
+
+    def remove(self):
+        self.held = None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_tombstones_of_a_span_are_forgotten_one_by_one():
+    state = State(1000)
+
+    def apply(*rows):
+        frame = pd.DataFrame([{"stamp": state.now, "seq": k, "parent": 0, "child": False, "status": 1, "value": None, **r} for k, r in enumerate(rows)])
+        return [tuple(r) for f in oplog._apply(iter([frame] if rows else []), state, 100) for r in f.itertuples(index=False)]
+
+    begin = [{"id": i, "op": "begin", "time": i, "value": "v"} for i in (1, 2, 3)]
+    assert [r[0] for r in apply(*begin, {"id": 1, "op": "end", "time": 9})] == [1] and state.wait == 100
+    state.now = 1060
+    assert [r[0] for r in apply({"id": 2, "op": "end", "time": 9})] == [2] and state.wait == 40
+    state.now, state.hasTimedOut = 1100, True
+    assert apply() == [] and state.wait == 60
+    state.hasTimedOut = False
+    assert [(r[0], r[6]) for r in apply({"id": 1, "op": "begin", "time": 5, "value": "w"}, {"id": 2, "op": "begin", "time": 5})] == [(2, "begun twice")] and state.wait == 100
+    state.now = 1300
+    assert [(r[0], r[2], r[3]) for r in apply({"id": 3, "op": "end", "time": 9})] == [(3, 3, 9)]
+
+
 def top(seq, _op, **more):
     return {"tracker": "t", "seq": seq, "op": _op, "time": more.pop("time", seq), **more}
 
