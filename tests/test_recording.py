@@ -180,3 +180,29 @@ def test_commands(spark, tmp_path):
     (tmp_path / "part").write_bytes(open(path, "rb").read()[:-30])
     assert ask("recover", tmp_path / "part", tmp_path / "fixed")[0] == 3 and ask("recover", path, tmp_path / "copy") == (0, ["0 bytes dropped"])
     assert ask("value", path, "top.none", 8) == (0, []) and ask("info", tmp_path / "nothing")[0] == 1 and ask("unknown")[0] == 2
+
+
+def test_tables_are_evaluated_once(spark, tmp_path, monkeypatch):
+    """However many passes a table's sections need, what gives the table runs once."""
+    monkeypatch.setattr(R, "TX_ROWS", 7)
+    monkeypatch.setattr(R, "CHANGE_ROWS", 8)
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(rows, ddl):
+        def run(it):
+            for p in it:
+                ran.add(len(p))
+                yield p
+
+        return spark.createDataFrame(rows, ddl).mapInPandas(run, ddl)
+
+    tx = counted([(i * 2, i - i % 2, 1, i, i, 0, 0) for i in range(1, 31)], "id long, parent long, generator long, begin long, end long, status int, span_kind int")
+    inside = counted([(100 + i, "stage", 2 * i, "a", "L", i, i) for i in range(1, 11)], "id long, kind string, owner long, name string, lane string, begin long, end long")
+    rel = counted([("k", i, i) for i in range(1, 21)], "kind string, source long, destination long")
+    changes = counted([(0, i, i, "01"[i % 2], None) for i in range(40)], "signal_id long, time long, seq long, text string, real double")
+    path = str(tmp_path / "o")
+    R.write_recording(spark, path, {"nodes": nodes(spark), "signals": signals(spark), "changes": changes, "transactions": tx, "embedded": inside, "relations": rel})
+    assert ran.value == 30 + 10 + 20 + 40
+    trace = api.read_trace(spark, path)
+    assert trace.faults().filter("rule = 'child blocks'").count() == 0
+    assert {t: read(spark, path, t).count() for t in ("transactions", "embedded", "relations", "changes")} == {"transactions": 30, "embedded": 10, "relations": 20, "changes": 40}

@@ -11,15 +11,16 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.model import SCOPE_TYPE, STATES
-from tickloom.operators.waveform import value_at
 from tickloom.session import Scratch
 from tickloom.sources import container as C
 
@@ -34,9 +35,9 @@ NONE = 0xFFFFFFFF
 
 def varints(values) -> bytes:
     """LEB128 of unsigned 64-bit values, all at once."""
+    if len(values) < 24:
+        return b"".join(map(one, values.tolist() if isinstance(values, np.ndarray) else values))
     v = np.asarray(values, np.uint64)
-    if not len(v):
-        return b""
     size = np.ones(len(v), np.int64)
     for k in range(1, 10):
         size += v >= np.uint64(1 << (7 * k))
@@ -64,7 +65,15 @@ def deltas(values) -> np.ndarray:
 
 
 def one(v: int) -> bytes:
-    return varints([v])
+    if 0 <= v < 128:
+        return bytes((v,))
+    C.need(0 <= v < 1 << 64, "no unsigned 64-bit value")
+    out = bytearray()
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    out.append(v)
+    return bytes(out)
 
 
 def blob(data: bytes) -> bytes:
@@ -91,45 +100,73 @@ def _bounds(*columns) -> bytes:
 # --- transactions ------------------------------------------------------------------------------
 
 
-def transaction_section(tx: pd.DataFrame, rel: pd.DataFrame, block: int, strings: dict[str, int]) -> bytes:
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists of a column, 0 for NULL, and all their items in order."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, column.flatten()
+
+
+def _whole_numbers(column: pa.Array) -> np.ndarray:
+    """Numbers of a column, 0 for NULL."""
+    return pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+
+
+def _indices(column: pa.Array, strings: dict[str, int]) -> np.ndarray:
+    """Numbers of the texts of a column; NULL is the empty one."""
+    coded = pc.fill_null(column, "").dictionary_encode()
+    return np.array([strings[w] for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(column) else np.zeros(0, np.int64)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def transaction_section(tx: pa.Table, rel: pa.Table, block: int, strings: dict[str, int]) -> bytes:
     """A TX_BLOCK of transactions in the order of their ids, each with `events` (id, time, name) and `stages`
     (id, name, lane, begin, end or None), and of relations."""
-    generators = sorted(set(tx["generator"]))
-    index = {g: i for i, g in enumerate(generators)}
-    ids, begins, ends = (tx[c].to_numpy(np.int64) for c in ("id", "begin", "end"))
-    parents = tx["parent"].to_numpy(np.int64)
-    events = [(b, e) for b, es in zip(begins, tx["events"], strict=True) for e in es]
-    stages = [(b, s) for b, ss in zip(begins, tx["stages"], strict=True) for s in ss]
-    source, destination = (rel[c].to_numpy(np.int64) for c in ("source", "destination"))
-    payloads = [np.zeros(0, np.int64) if p is None else np.asarray(p, np.int64) for p in tx["payload"]]
-    sizes = np.array([len(p) for p in payloads], np.int64)
+    tx, rel = ({c: t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0) for c in t.column_names} for t in (tx, rel))
+    ids, begins, ends, parents, gens, status, spans = (_whole_numbers(tx[c]) for c in ("id", "begin", "end", "parent", "generator", "status", "span_kind"))
+    C.need(bool((ends >= begins).all()), "end before begin")
+    generators, generator_index = np.unique(gens, return_inverse=True)
+    n_events, events = _lists(tx["events"])
+    n_stages, stages = _lists(tx["stages"])
+    event_begin, stage_begin = np.repeat(begins, n_events), np.repeat(begins, n_stages)
+    event_ids, event_times, stage_ids, at = (_whole_numbers(c) for c in (events.field("id"), events.field("time"), stages.field("id"), stages.field("begin")))
+    open_end = pc.is_null(stages.field("end")).to_numpy(zero_copy_only=False)
+    until = _whole_numbers(stages.field("end"))
+    C.need(bool((open_end | (until >= at)).all()), "end before begin")
+    source, destination = (_whole_numbers(rel[c]) for c in ("source", "destination"))
+    sizes, payload = _lists(tx["payload"])
     # counts stand before the values of each payload
-    stream = np.zeros(len(payloads) + int(sizes.sum()), np.uint64)
-    counts = np.arange(len(payloads)) + np.append(0, np.cumsum(sizes)[:-1]) if len(payloads) else sizes
+    stream = np.zeros(len(ids) + int(sizes.sum()), np.uint64)
+    counts = np.arange(len(ids)) + _starts(sizes)
     values = np.ones(len(stream), bool)
     values[counts] = False
     stream[counts] = sizes.astype(np.uint64)
-    stream[values] = zigzag(np.concatenate(payloads)) if len(payloads) else 0
-    numbers = varints(stream)
-    lists = [[] if c is None else sorted(set(map(int, c))) for c in tx["child_blocks"]]
+    stream[values] = zigzag(_whole_numbers(payload))
+    n_children, children = _lists(tx["child_blocks"])  # sorted, each once
+    children = _whole_numbers(children)
+    steps = deltas(children)
+    first = _starts(n_children)[n_children > 0]
+    steps[first] = children[first]
     columns = [
-        svarints(deltas(ids)), varints([index[g] for g in tx["generator"]]), svarints(deltas(begins)), varints(ends - begins),
-        (tx["status"].to_numpy(np.uint8) | tx["span_kind"].to_numpy(np.uint8) << 4).tobytes(),
-        varints(np.where(parents > 0, ids - parents, 0)), bytes(len(tx) + len(events) + len(stages) + len(rel)), b"", b"", b"", b"", b"", b"",
-        varints([len(e) for e in tx["events"]]), svarints([e["time"] - b for b, e in events]), varints([strings[e["name"] or ""] for _, e in events]),
-        varints([len(s) for s in tx["stages"]]), varints([strings[s["name"] or ""] for _, s in stages]), varints([strings[s["lane"] or ""] for _, s in stages]),
-        svarints([s["begin"] - b for b, s in stages]), varints([0 if s["end"] is None else s["end"] - s["begin"] + 1 for _, s in stages]),
-        varints([strings[k or ""] for k in rel["kind"]]), svarints(deltas(source)), svarints(destination - source),
-        numbers, b"", b"", one(0), b"",
-        varints([len(c) for c in lists]), varints([x for c in lists for x in np.diff([0, *c])]), svarints(deltas([e["id"] for _, e in events])), svarints(deltas([s["id"] for _, s in stages])),
+        svarints(deltas(ids)), varints(generator_index), svarints(deltas(begins)), varints(ends - begins),
+        (status.astype(np.uint8) | spans.astype(np.uint8) << 4).tobytes(),
+        varints(np.where(parents > 0, ids - parents, 0)), bytes(len(ids) + len(event_ids) + len(stage_ids) + len(source)), b"", b"", b"", b"", b"", b"",
+        varints(n_events), svarints(event_times - event_begin), varints(_indices(events.field("name"), strings)),
+        varints(n_stages), varints(_indices(stages.field("name"), strings)), varints(_indices(stages.field("lane"), strings)),
+        svarints(at - stage_begin), varints(np.where(open_end, 0, until - at + 1)),
+        varints(_indices(rel["kind"], strings)), svarints(deltas(source)), svarints(destination - source),
+        varints(stream), b"", b"", one(0), b"",
+        varints(n_children), varints(steps), svarints(deltas(event_ids)), svarints(deltas(stage_ids)),
     ]
     page = column_set(columns)
     body = packed(page)
-    inside = [e["id"] for _, e in events] + [s["id"] for _, s in stages]
+    inside = np.append(event_ids, stage_ids)
     bounds = _bounds(ids, np.append(begins, ends), parents[parents > 0], inside, source, destination)
     # the second pair is first begin and last end
-    head = struct.pack("<QQQ", block, len(tx), len(rel)) + bounds + struct.pack("<II", len(generators), 1) + struct.pack(f"<{len(generators)}I", *generators)
-    return head + struct.pack("<QQ", len(tx), len(rel)) + bounds + struct.pack("<III", 0, len(body), len(page)) + body
+    head = struct.pack("<QQQ", block, len(ids), len(source)) + bounds + struct.pack("<II", len(generators), 1) + struct.pack(f"<{len(generators)}I", *map(int, generators))
+    return head + struct.pack("<QQ", len(ids), len(source)) + bounds + struct.pack("<III", 0, len(body), len(page)) + body
 
 
 # --- located records ---------------------------------------------------------------------------
@@ -181,10 +218,15 @@ def _default(encoding: str, width: int, states: int):
     return ("0" if states == 2 else "x") * width if encoding == "bits" else 0.0 if encoding == "real" else ""
 
 
+@lru_cache(1 << 14)
+def _short(encoding: str, states: int, value: str) -> bytes:
+    return pack_codes(state_codes([value], len(value)), states).tobytes() if encoding == "bits" else blob(value.encode())
+
+
 def _whole(encoding: str, states: int, value) -> bytes:
     if encoding == "real":
         return struct.pack("<d", value)
-    return pack_codes(state_codes([value], len(value)), states).tobytes() if encoding == "bits" else blob(value.encode())
+    return _short(encoding, states, value) if len(value) <= 64 else _short.__wrapped__(encoding, states, value)
 
 
 def signal_column(encoding: str, width: int, states: int, at: np.ndarray, values: list) -> bytes:
@@ -217,30 +259,26 @@ def _rows(codes: np.ndarray, plain: np.ndarray, states: int) -> bytes:
 def group_container(rows: pd.DataFrame, first: int, kinds: list[tuple[str, int, int]], held: dict[int, object]) -> bytes:
     """A group's container of changes (signal_id, at, seq, text, real); `held` are the values before."""
     columns = []
-    by_signal = {s: part for s, part in rows.groupby("signal_id")}
-    for s, (encoding, width, states) in enumerate(kinds, first):
-        part = by_signal.get(s)
-        if part is None:
-            columns.append(b"")
-            continue
-        part = part.sort_values(["at", "seq"])
-        columns.append(signal_column(encoding, width, states, part["at"].to_numpy(np.int64), part["real" if encoding == "real" else "text"].tolist()))
+    order = np.lexsort((rows["seq"].to_numpy(np.int64), rows["at"].to_numpy(np.int64), rows["signal_id"].to_numpy(np.int64)))
+    owner, at, texts, reals = (rows[c].to_numpy()[order] for c in ("signal_id", "at", "text", "real"))
+    ends = np.searchsorted(owner, np.arange(first, first + len(kinds) + 1))
+    for a, b, (encoding, width, states) in zip(ends[:-1].tolist(), ends[1:].tolist(), kinds, strict=True):
+        columns.append(signal_column(encoding, width, states, at[a:b].astype(np.int64), (reals if encoding == "real" else texts)[a:b].tolist()) if b > a else b"")
     frame = b"".join(_whole(e, n, held.get(s, _default(e, w, n))) for s, (e, w, n) in enumerate(kinds, first))
     run = packed(varints([len(c) for c in columns]) + b"".join(columns))
     return one(len(kinds)) + one(0) + blob(packed(frame)) + one(1) + one(len(columns)) + b"\x00" + one(len(run)) + run
 
 
-def signal_head(times: list[int], n_signals: int, dirty: list[tuple[int, int]], before: dict[int, int]) -> bytes:
-    """The head of a SIGNAL_BLOCK whose dirty groups (group, bytes) follow; `before` is the block that a
-    group was last dirty in."""
-    table = packed(varints(np.diff(np.array(times, np.int64), prepend=0)))
+def signal_head(first: int, last: int, n_times: int, table: bytes, n_signals: int, dirty: list[tuple[int, int]], before: dict[int, int]) -> bytes:
+    """The head of a SIGNAL_BLOCK with a packed table of times, whose dirty groups (group, bytes) follow; `before` is
+    the block that a group was last dirty in."""
     n_groups = -(-n_signals // GROUP)
     index, at = b"", 0
     for group, size in dirty:
         index += struct.pack("<IIQ", group, size, at)
         at += size
     previous = struct.pack(f"<{n_groups}I", *(before.get(g, NONE) for g in range(n_groups)))
-    return struct.pack("<QQIIIIII", times[0], times[-1], len(times), n_signals, GROUP, len(dirty), n_groups, len(table)) + table + index + previous
+    return struct.pack("<QQIIIIII", first, last, n_times, n_signals, GROUP, len(dirty), n_groups, len(table)) + table + index + previous
 
 
 def _waveforms(changes: DataFrame, kinds: list[tuple[str, int, int]], scratch: Scratch) -> Iterator[tuple[int, bytes]]:
@@ -250,14 +288,11 @@ def _waveforms(changes: DataFrame, kinds: list[tuple[str, int, int]], scratch: S
     width = -(-(seen["b"] - seen["a"] + 1) // max(1, -(-seen["n"] // CHANGE_ROWS)))
     rows = changes.withColumn("block", F.expr(f"(time - {seen['a']}) div {width}"))
     times = scratch.write(rows.groupBy("block").agg(F.sort_array(F.collect_set("time")).alias("times")))
-    starts = times.select("block", F.col("times")[0].alias("start_time"))
-    listed = starts.agg(F.collect_list(F.struct("block", "start_time"))).scalar()  # one entry a block
-    asked = changes.select("signal_id").distinct().withColumn("s", F.explode(listed)).select("signal_id", "s.*")
-    # before the first block nothing is held
-    asked = asked.filter("block > 0").withColumn("probe_time", F.col("start_time") - 1)
-    held = value_at(changes, asked, ["text", "real"]).filter("since is not null")
-    if seen["b"] - seen["a"] < width:
-        held = held.limit(0)
+    final = (seen["b"] - seen["a"]) // width
+    # the last change of a signal in a block is held from the next block to the next in which it changes
+    last_in = rows.groupBy("signal_id", "block").agg(F.max_by(F.struct("text", "real"), F.struct("time", "seq")).alias("v"))
+    until = F.coalesce(F.lead("block").over(Window.partitionBy("signal_id").orderBy("block")), F.lit(final))
+    held = last_in.withColumn("until", until).filter("until > block").select("signal_id", F.explode(F.sequence(F.col("block") + 1, "until")).alias("block"), "v.*")
     ranks = times.select("block", F.posexplode("times").alias("at", "time"))
     placed = rows.join(ranks, ["block", "time"]).select("block", "signal_id", "at", "seq", "text", "real", F.lit(True).alias("change"))
     before = held.select("block", "signal_id", F.lit(-1).alias("at"), F.lit(-1).cast("bigint").alias("seq"), "text", "real", F.lit(False).alias("change"))
@@ -273,34 +308,59 @@ def _waveforms(changes: DataFrame, kinds: list[tuple[str, int, int]], scratch: S
         out = [group_container(moved, first, own, held_values)] if len(moved) else []
         return pd.DataFrame({"block": [block] * len(out), "grp": [group] * len(out), "data": out})
 
+    def table(it):
+        for p in it:
+            for block, t in zip(p["block"], p["times"], strict=True):
+                t = np.asarray(t, np.int64)
+                yield pd.DataFrame({"block": [block], "first": [t[0]], "last": [t[-1]], "n": [len(t)], "data": [packed(varints(np.diff(t, prepend=0)))]})
+
     groups = scratch.write(both.groupBy("block", "grp").applyInPandas(encode, "block long, grp long, data binary"))
+    heads = scratch.write(times.mapInPandas(table, "block long, first long, last long, n long, data binary"))
     last: dict[int, int] = {}
-    for number, t in enumerate(times.orderBy("block").collect()):
-        dirty = [(r["grp"], r["data"]) for r in groups.filter(F.col("block") == t["block"]).orderBy("grp").collect()]
-        yield C.SIGNAL_BLOCK, signal_head(list(t["times"]), len(kinds), [(g, len(d)) for g, d in dirty], last) + b"".join(d for _, d in dirty)
+    blocks = sorted(r["block"] for r in heads.select("block").collect())
+    for number, b in enumerate(blocks):
+        t = heads.filter(F.col("block") == b).first()
+        dirty = [(r["grp"], r["data"]) for r in groups.filter(F.col("block") == b).select("grp", "data").orderBy("grp").collect()]
+        yield C.SIGNAL_BLOCK, signal_head(t["first"], t["last"], t["n"], bytes(t["data"]), len(kinds), [(g, len(d)) for g, d in dirty], last) + b"".join(d for _, d in dirty)
         last.update({g: number for g, _ in dirty})
+    scratch.drop(times, groups, heads)
 
 
 # --- whole recordings --------------------------------------------------------------------------
 
 
-def _placed(df: DataFrame, order: list[str], rows: int, scratch: Scratch, first: int) -> tuple[DataFrame, int]:
-    """A table, written, with the `block` of each row: ranges of `order` of about `rows`, numbered from `first`."""
-    parts = max(1, -(-df.count() // rows))
-    return scratch.write(df.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id() + F.lit(first))), first + parts
+def _parts(n: int, rows: int) -> int:
+    return max(1, -(-n // rows))
+
 
+def _ranges(df: DataFrame, order: list[str], parts: int, first: int) -> DataFrame:
+    """A table in ranges of `order`, a partition each, with their `block`, numbered from `first`."""
+    return df.repartitionByRange(parts, *order).withColumn("block", F.spark_partition_id() + F.lit(first))
 
-def _encoded(placed: DataFrame, order: list[str], encode, scratch: Scratch) -> DataFrame:
-    """(block, data) of a table with blocks, each encoded by the task that gathers it."""
+
+def _encoded(placed: DataFrame, order: list[str], encode, scratch: Scratch, ddl: str = "block long, data binary") -> DataFrame:
+    """A row of each block of a table whose blocks stand whole in their partitions, encoded where they are."""
 
     def run(it):
-        held = [p for p in it if len(p)]
+        held = [b for b in it if b.num_rows]
         if held:
-            for block, rows in pd.concat(held, ignore_index=True).groupby("block", sort=True):
-                yield pd.DataFrame({"block": [int(block)], "data": [encode(rows.reset_index(drop=True), int(block))]})
+            rows = pa.Table.from_batches(held)
+            number = rows["block"].to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                found = encode(rows.slice(a, b - a).drop_columns(["block"]), int(number[a]))
+                yield pa.RecordBatch.from_pydict({c: pa.array([v], t) for (c, t), v in zip(types, (int(number[a]), *found), strict=True)})
+
+    types = [(c.split()[0], {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[c.split()[1]]) for c in ddl.split(", ")]
+    return scratch.write(placed.sortWithinPartitions("block", *order).mapInArrow(run, ddl))
+
 
-    parts = max(1, placed.select("block").distinct().count())
-    return scratch.write(placed.repartition(parts, "block").sortWithinPartitions("block", *order).mapInPandas(run, "block long, data binary"))
+def _block_of(starts: list[int], first: int, column: str):
+    """The block of an id, by binary search in the least ids of the blocks."""
+    bounds = F.lit(starts).cast("array<bigint>")
+    steps = F.lit([1 << k for k in reversed(range(len(starts).bit_length()))]).cast("array<int>")
+    found = F.aggregate(steps, F.lit(0), lambda lo, w: F.when(F.get(bounds, lo + w - 1) <= F.col(column), lo + w).otherwise(lo))
+    return F.greatest(found - 1, F.lit(0)) + F.lit(first)
 
 
 def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame], timescale: int = -9, incomplete: bool = False) -> None:
@@ -314,6 +374,12 @@ def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame]
     hold its children.
     """
     scratch = Scratch(spark, "recording")
+    # each is read several times; what a count needs is counted as it is written
+    counts: dict[str, int] = {}
+    tables = dict(tables)
+    for name in ("nodes", "signals", "changes", "transactions", "embedded", "relations"):
+        if name in tables:
+            tables[name], counts[name] = scratch.counted(tables[name])
     nodes = [r.asDict() for r in tables["nodes"].orderBy("node_id").collect()] if "nodes" in tables else []
     signals = [(r["encoding"], r["width"], r["states"]) for r in tables["signals"].orderBy("signal_id").collect()] if "signals" in tables else []
     words = [tables["nodes"].select(F.explode(F.array("name", "gen_kind")).alias("w"))] if nodes else []
@@ -340,31 +406,55 @@ def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame]
         marks = tables["blackouts"].orderBy("time", "seq").collect()
         steps = np.diff([0, *(m["time"] for m in marks)])
         sections.append((C.BLACKOUT, one(len(marks)) + b"".join(bytes([m["active"]]) + one(int(d)) for m, d in zip(marks, steps, strict=True))))
-    made, block, children = [], 1, []
-    tx = located = None
+    made, block = [], 1
+    no_tx = pa.table({c: pa.array([], t) for c, t in _TX_TYPES})
+    no_rel = pa.table({"kind": pa.array([], pa.string()), "source": pa.array([], pa.int64()), "destination": pa.array([], pa.int64())})
+    tx_range, children = None, []
     if "transactions" in tables:
-        tx, block = _placed(_with_detail(tables), ["id"], TX_ROWS, scratch, block)
-        children.append(tx.select("parent", "block"))
+        tx_parts = _parts(counts["transactions"], TX_ROWS)
+        slim = scratch.write(_ranges(tables["transactions"].select("id", _zero("parent")), ["id"], tx_parts, block))
+        starts = [(r["lo"], r["hi"]) for r in slim.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("block").collect()]
+        numbers = [r["block"] for r in slim.select("block").distinct().orderBy("block").collect()]
+        tx_first, block = block, block + tx_parts
+        children.append(slim.select("parent", "block"))
+        tx_range = (starts[0][0], starts[-1][1]) if starts else (1, 0)
     if "relations" in tables:
-        no_tx = pd.DataFrame({c: [] for c in ("id", "parent", "generator", "begin", "end", "status", "span_kind", "payload", "child_blocks", "events", "stages")})
-        rel, block = _placed(tables["relations"].select("kind", _zero("source"), _zero("destination")), ["source", "destination"], TX_ROWS, scratch, block)
-        made.append((C.TX_BLOCK, _encoded(rel, ["source", "destination"], lambda p, number: transaction_section(no_tx, p, number, strings), scratch)))
+        parts = _parts(counts["relations"], TX_ROWS)
+        rel = _ranges(tables["relations"].select("kind", _zero("source"), _zero("destination")), ["source", "destination"], parts, block)
+        made.append((C.TX_BLOCK, _encoded(rel, ["source", "destination"], lambda p, number: (transaction_section(no_tx, p, number, strings),), scratch)))
+        block += parts
     if "located" in tables:
-        located, block = _placed(tables["located"].select("id", "kind", "generator", "begin", "end", _zero("parent")), ["begin", "id"], RECORD_ROWS, scratch, block)
-        children.append(located.filter("kind <> 'log'").select("parent", "block"))
-        made.append((C.RECORD_BLOCK, _encoded(located, ["begin", "id"], record_section, scratch)))
-    if tx is not None:
+        parts = _parts(tables["located"].count(), RECORD_ROWS)
+        located = _ranges(tables["located"].select("id", "kind", "generator", "begin", "end", _zero("parent")), ["begin", "id"], parts, block)
+
+        def record(p, number):
+            rows = p.to_pandas()
+            owners = rows["parent"][(rows["kind"] != "log").to_numpy(bool)].to_numpy(np.int64)
+            # only those that transactions of the recording can have
+            owners = np.unique(owners[(owners >= tx_range[0]) & (owners <= tx_range[1])]) if tx_range else owners[:0]
+            return record_section(rows, number), owners
+
+        encoded = _encoded(located, ["begin", "id"], record, scratch, "block long, data binary, owners array<long>")
+        made.append((C.RECORD_BLOCK, encoded.select("block", "data")))
+        children.append(encoded.select(F.explode("owners").alias("parent"), "block"))
+        block += parts
+    if "transactions" in tables:
         every = children[0] if len(children) == 1 else children[0].unionByName(children[1])
-        listed_blocks = every.filter("parent > 0").groupBy(F.col("parent").alias("id")).agg(F.sort_array(F.collect_set("block")).alias("child_blocks"))
-        no_rel = pd.DataFrame({"kind": [], "source": [], "destination": []})
-        encode = lambda p, number: transaction_section(p.assign(events=_dicts(p["events"]), stages=_dicts(p["stages"])), no_rel, number, strings)
-        made.insert(0, (C.TX_BLOCK, _encoded(tx.join(listed_blocks, "id", "left"), ["id"], encode, scratch)))
+        listed_blocks = every.filter("parent > 0").groupBy(F.col("parent").alias("id")).agg(F.sort_array(F.collect_set(F.col("block").cast("bigint"))).alias("child_blocks"))
+        rows = _with_detail(tables).join(listed_blocks, "id", "left")
+        # ranges may be empty, so blocks are told by their place among those that aren't
+        place = _block_of([lo for lo, _ in starts], 0, "id") if starts else F.lit(0)
+        block_at = F.get(F.lit(numbers or [tx_first]).cast("array<int>"), place)
+        rows = rows.withColumn("block", block_at).repartitionById(tx_parts, F.col("block") - F.lit(tx_first))
+        made.insert(0, (C.TX_BLOCK, _encoded(rows, ["id"], lambda p, number: (transaction_section(p, no_rel, number, strings),), scratch)))
+    scratch.drop(*(tables[t] for t in ("transactions", "embedded", "relations") if t in tables))
 
     def every_section():
         yield from declare()
         yield from sections
         if "changes" in tables:
             yield from _waveforms(tables["changes"], signals, scratch)
+            scratch.drop(tables["changes"])
         for kind, table in made:
             for r in table.orderBy("block").toLocalIterator():
                 yield kind, bytes(r["data"])
@@ -372,6 +462,13 @@ def write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame]
     C.write_sections(path, uuid.uuid4().bytes, every_section(), incomplete)
 
 
+_TX_TYPES = [
+    *((c, pa.int64()) for c in ("id", "parent", "generator", "begin", "end", "status", "span_kind")), ("payload", pa.list_(pa.int64())), ("child_blocks", pa.list_(pa.int64())),
+    ("events", pa.list_(pa.struct([("id", pa.int64()), ("time", pa.int64()), ("name", pa.string())]))),
+    ("stages", pa.list_(pa.struct([("id", pa.int64()), ("name", pa.string()), ("lane", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))),
+]
+
+
 def _with_detail(tables: dict[str, DataFrame]) -> DataFrame:
     """Transactions with their embedded events and stages, in the order of ids."""
     tx = tables["transactions"]
@@ -392,10 +489,6 @@ def _zero(column: str):
     return F.coalesce(F.col(column).cast("bigint"), F.lit(0).cast("bigint")).alias(column)
 
 
-def _dicts(column: pd.Series) -> list:
-    return [[] if x is None else [e if isinstance(e, dict) else e.asDict() for e in x] for x in column]
-
-
 def _node(n: dict, strings: dict[str, int], signals: list[tuple[str, int, int]], declared: dict[int, int]) -> bytes:
     up = one(n["node_id"] - n["parent_id"] if n["parent_id"] is not None else 0)
     name = one(strings[n["name"] or ""])
