@@ -206,3 +206,18 @@ def test_tables_are_evaluated_once(spark, tmp_path, monkeypatch):
     trace = api.read_trace(spark, path)
     assert trace.faults().filter("rule = 'child blocks'").count() == 0
     assert {t: read(spark, path, t).count() for t in ("transactions", "embedded", "relations", "changes")} == {"transactions": 30, "embedded": 10, "relations": 20, "changes": 40}
+
+
+def test_faults_decode_records_once(spark, tmp_path):
+    tx = spark.createDataFrame([(10, None, 1, 3, 8, 1, 0), (20, 10, 1, 4, 6, 0, 0)], "id long, parent long, generator long, begin long, end long, status int, span_kind int")
+    located = spark.createDataFrame([(30, "stage", 2, 4, 6, 10), (30, "log", 3, 5, 5, None)], "id long, kind string, generator long, begin long, end long, parent long")
+    path = str(tmp_path / "d")
+    R.write_recording(spark, path, {"nodes": nodes(spark), "signals": signals(spark), "transactions": tx, "located": located})
+    trace = api.read_trace(spark, path)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "tickloom" in plan(trace.table("located"))
+    for t in ("nodes", "datatypes", "signals", "changes"):  # small ones are read where they are
+        trace.tables[t] = spark.createDataFrame([], trace.tables[t].schema)
+    found = trace.faults()
+    assert "tickloom" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("repeated id", 30)]

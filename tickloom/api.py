@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickloom import model
 from tickloom.operators import activity, clocks, logs, relations, scopes, transactions, validation, waveform
-from tickloom.session import ship
+from tickloom.session import Scratch, ship
 from tickloom.sources import container, kanata, vcd
 
 #: Rows that listings give by default.
@@ -36,6 +36,9 @@ def format_of(path: str) -> str:
 class Trace:
     """The canonical tables of one trace; missing tables are empty."""
 
+    #: Whether each reading of a table decodes it again.
+    decoded = False
+
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], fingerprint: str | None = None):
         self.spark, self.tables, self.fingerprint = spark, tables, fingerprint
 
@@ -241,9 +244,14 @@ class Trace:
         return counted.unionByName(self.faults().groupBy(F.col("rule").alias("what")).agg(F.count(F.lit(1)).alias("n")))
 
     def faults(self) -> DataFrame:
-        """(rule, id) of every record that breaks a rule; see `validation.faults`."""
+        """(rule, id) of every record that breaks a rule; see `validation.faults`. Many rules read the same
+        records, so those of a recording are decoded once and written, without payloads."""
         known = ("transactions", "embedded", "located", "nodes", "datatypes", "signals", "changes")
-        return validation.faults({**{t: self.table(t) for t in known}, "clocks": self.clock_stretches()})
+        trace = self
+        if self.decoded:
+            scratch = Scratch(self.spark, "faults")
+            trace = Trace(self.spark, {**self.tables, **{t: scratch.write(self.table(t).drop("payload")) for t in known[:3]}})
+        return validation.faults({**{t: trace.table(t) for t in known}, "clocks": trace.clock_stretches()})
 
     def listed(self, df: DataFrame, n: int = LISTING) -> tuple[list, int]:
         """The first n rows of a listing, and how many more there are."""
@@ -305,7 +313,9 @@ def read_trace(spark: SparkSession, path: str, **options: str) -> Trace:
     container.register(spark)
     names = [t for t in container.TABLES if t != "sections"]
     tables = {t: spark.read.format("tickloom").options(table=t, **options).load(path) for t in names}
-    return Trace(spark, tables, tables["recording"].first()["fingerprint"])
+    trace = Trace(spark, tables, tables["recording"].first()["fingerprint"])
+    trace.decoded = True
+    return trace
 
 
 def convert(spark: SparkSession, source: str, target: str) -> None:
