@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,32 @@ def test_faults_decode_records_once(spark, tmp_path):
     found = trace.faults()
     assert "tickloom" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [("repeated id", 30)]
+
+
+def test_transactions_are_decoded_by_columns(monkeypatch):
+    """The columns of a block are those of its rows, and no row is decoded on its own."""
+    rng, n, m = random.Random(5), 60, 20
+    kinds = {1: ("REQUEST", 23), 2: ("CLOCK", 23), 3: ("REQUEST", 23)}
+    types, strings = dict(R._TX_TYPES), {"": 0, "a": 1, "L": 2}
+    of = lambda name, values: pa.array(values, types[name])
+    tx = pa.table({
+        "id": of("id", [7 * i + 10 for i in range(n)]), "parent": of("parent", [0 if i % 3 else 7 * i for i in range(n)]), "generator": of("generator", [1 + i % 3 for i in range(n)]),
+        "begin": of("begin", [rng.randrange(10**12) for _ in range(n)]), "end": of("end", [2**63 - 1 if i % 5 == 0 else 10**12 + i for i in range(n)]),
+        "status": of("status", [i % 5 for i in range(n)]), "span_kind": of("span_kind", [i % 6 for i in range(n)]),
+        "payload": of("payload", [None if i % 4 == 0 else [rng.choice([-(2**63), 2**63 - 1, -1, 0]) for _ in range(rng.randrange(6))] for i in range(n)]),
+        "child_blocks": of("child_blocks", [sorted(rng.sample(range(1, 50), rng.randrange(4))) for _ in range(n)]),
+        "events": of("events", [[{"id": 1000 + i, "time": 5 * i, "name": rng.choice(["a", None])}] * rng.randrange(3) for i in range(n)]),
+        "stages": of("stages", [[{"id": 2000 + i, "name": "a", "lane": rng.choice(["L", None]), "begin": 5 + i, "end": rng.choice([None, 10**6])}] * rng.randrange(3) for i in range(n)]),
+    })
+    rel = pa.table({"kind": pa.array([rng.choice(["a", None]) for _ in range(m)]), "source": pa.array([rng.choice([0, 2**50]) for _ in range(m)]), "destination": pa.array([rng.choice([0, 10]) for _ in range(m)])})
+    data = R.transaction_section(tx, rel, 9, strings)
+    d = C.Declarations()
+    d.strings, d.types = list(strings), {23: C.Datatype(3, "words", element=5)}
+    rows = C.transaction_block(data, d, kinds)
+    monkeypatch.setattr(C, "_general_page", None)
+    for table in ("transactions", "embedded", "relations"):
+        got = [r for page in C.transaction_columns(data, d, kinds, table) for r in zip(*(c.cast(f.type).to_pylist() for c, f in zip(page, C._arrow(table), strict=True)), strict=True)]
+        assert got == getattr(rows, table) and got
+    with pytest.raises(C._Unusual):  # payloads of other types are decoded by rows
+        d.types[23] = C.Datatype(3, "words", element=9)
+        C.transaction_columns(data, d, kinds, "transactions")
