@@ -1,7 +1,9 @@
 """Recordings written and read again, with nulls, every kind of signal, several blocks and empty tables."""
 
 import random
+from threading import Barrier
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +253,37 @@ def test_transactions_are_decoded_by_columns(monkeypatch):
     with pytest.raises(C._Unusual):  # payloads of other types are decoded by rows
         d.types[23] = C.Datatype(3, "words", element=9)
         C.transaction_columns(data, d, kinds, "transactions")
+
+
+def test_columns_of_many_signals_at_once():
+    """Signals encoded together are the same as each alone."""
+    rng = np.random.default_rng(4)
+    for kind in KINDS:
+        n = rng.integers(1, 5, 9)
+        at = np.concatenate([np.sort(rng.integers(0, 300, k)) for k in n])
+        texts = ["".join(rng.choice(list("01" if kind[2] == 2 or rng.random() < 0.5 else "01xz"), kind[1])) for _ in at] if kind[0] == "bits" else ["\u00e9" * k for k in rng.integers(0, 4, len(at))]
+        values = pa.array(rng.random(len(at))) if kind[0] == "real" else pa.array(texts)
+        starts = np.cumsum(n) - n
+        alone = [R.signal_columns(kind, n[i : i + 1], at[a : a + n[i]], values[a : a + n[i]]) for i, a in enumerate(starts)]
+        assert R.signal_columns(kind, n, at, values) == ([c for c, _ in alone for c in c], [w for _, w in alone for w in w])
+
+
+def test_tables_are_written_side_by_side(spark, tmp_path, monkeypatch):
+    """Tables that don't need each other don't wait for each other, and one that stands written is not written again."""
+    both, counted, written = Barrier(2, timeout=60), R.Scratch.counted, []
+
+    def meet(self, df):
+        written.append(df.columns)
+        if df.columns in (changes.columns, rel.columns):
+            both.wait()
+        return counted(self, df)
+
+    monkeypatch.setattr(R.Scratch, "counted", meet)
+    changes = spark.createDataFrame([(0, 5, 0, "1", None)], "signal_id long, time long, seq long, text string, real double")
+    rel = spark.createDataFrame([("k", 1, 2)], "kind string, source long, destination long")
+    scratch = R.Scratch(spark, "mine")
+    mine = counted(scratch, spark.createDataFrame([(10, None, 1, 3, 8, 1, 0)], "id long, parent long, generator long, begin long, end long, status int, span_kind int"))[0]
+    path = str(tmp_path / "s")
+    R.write_recording(spark, path, {"nodes": nodes(spark), "signals": signals(spark), "changes": changes, "relations": rel, "transactions": mine})
+    assert mine.columns not in written and mine.count() == 1
+    assert [read(spark, path, t).count() for t in ("changes", "relations", "transactions")] == [1, 1, 1]
