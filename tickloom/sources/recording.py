@@ -504,8 +504,13 @@ def _write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame
                     written[n] = tables[n] = table
 
     ready("nodes", "signals")
-    nodes = [r.asDict() for r in tables["nodes"].orderBy("node_id").collect()] if "nodes" in tables else []
-    signals = [(r["encoding"], r["width"], r["states"]) for r in tables["signals"].orderBy("signal_id").collect()] if "signals" in tables else []
+    # declarations pass the driver as Arrow, which needs a fraction of the memory of rows
+    nodes = tables["nodes"].orderBy("node_id").toArrow() if "nodes" in tables else None
+    kinds: dict[tuple, tuple] = {}
+    signals = []
+    if "signals" in tables:
+        found = tables["signals"].orderBy("signal_id").toArrow()
+        signals = [kinds.setdefault(k, k) for k in zip(*(found[c].to_pylist() for c in ("encoding", "width", "states")), strict=True)]
     waves = start(lambda job: _waveforms(job.result()[0], signals, scratch), jobs["changes"]) if "changes" in tables else None
     made, block = [], 1
     no_tx = pa.table({c: pa.array([], t) for c, t in _TX_TYPES})
@@ -534,7 +539,7 @@ def _write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame
 
         records = start(_encoded, located, ["begin", "id"], record, scratch, "block long, data binary, owners array<long>")
     ready("embedded")
-    words = [tables["nodes"].select(F.explode(F.array("name", "gen_kind")).alias("w"))] if nodes else []
+    words = [tables["nodes"].select(F.explode(F.array("name", "gen_kind")).alias("w"))] if nodes is not None else []
     words += [tables["embedded"].select(F.explode(F.array("name", "lane")).alias("w"))] if "embedded" in tables else []
     words += [tables["relations"].select(F.col("kind").alias("w"))] if "relations" in tables else []
     listed = [""]
@@ -542,7 +547,7 @@ def _write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame
         every = words[0]
         for w in words[1:]:
             every = every.unionByName(w)
-        listed += [r["w"] for r in every.filter("w is not null and w <> ''").distinct().orderBy("w").collect()]
+        listed += every.filter("w is not null and w <> ''").distinct().orderBy("w").toArrow()["w"].to_pylist()
     strings = {s: i for i, s in enumerate(listed)}
     relations = None
     if "relations" in tables:
@@ -577,7 +582,7 @@ def _write_recording(spark: SparkSession, path: str, tables: dict[str, DataFrame
         yield C.META, one(1) + svarints([timescale]) + svarints([0]) + b"\x00" + blob(b"tickloom") + blob(b"") + blob(b"") + one(GROUP) + one(0)
         yield C.DATATYPES, one(SEQUENCE) + one(1) + b"\x03" + blob(b"words") + one(I64)
         if nodes:
-            yield C.HIERARCHY, packed(one(0) + one(len(nodes)) + b"".join(_node(n, strings, signals, declared) for n in nodes))
+            yield C.HIERARCHY, packed(one(0) + one(len(nodes)) + b"".join(_node(n, strings, signals, declared) for b in nodes.to_batches(max_chunksize=4096) for n in b.to_pylist()))
         yield from sections
         if waves:
             yield from waves.result()()
